@@ -9,10 +9,11 @@ band are first compared by the maximum-likelihood joint estimate from their
 registers, then by their full shingle sets.
 
 Completeness: 40 bands of 8 registers miss a pair at similarity 0.85 with
-probability 3e-6. In a band every document is compared with the band's
-smallest one; after these links have formed components, all remaining pairs of
-different components within a band are compared too, so no link that would
-join two classes stays untested, however large a band is.
+probability 3e-6. In a band every document is compared with the band's most
+central one; where these links leave a band in several components, its
+documents are compared across components by an exact join on their rarest
+shingles, so no link that would join two classes stays untested, however large
+a band is.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
@@ -156,8 +157,8 @@ def confirmed_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, per
     left = own.select(F.col("id").alias("leader"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
     right = own.select(F.col("id").alias("node"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
     likely = (
-        pairs.join(right, "node")
-        .join(left, "leader")
+        pairs.join(right.hint("merge"), "node")
+        .join(left.hint("merge"), "leader")
         .where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
         .where(_likely(percent / 100 - SLACK)("regs_a", "regs_b", "n_a", "n_b"))
         .select("leader", "node")
@@ -169,7 +170,7 @@ def confirmed_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, per
     heads = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("id"))
     asked = members.union(heads)
     return (
-        texts.join(asked, "id")
+        texts.join(asked.hint("merge"), "id")
         .select("leader", "part", "id", "text")
         .repartition("leader", "part")
         .sortWithinPartitions("leader", "part", F.col("id") != F.col("leader"))
@@ -177,6 +178,38 @@ def confirmed_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, per
     )
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, offsets in chunks(batch.column(2)):
+            sets = [s.view(np.int64) for s in shingle_sets(data, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(sets, pa.list_(pa.int64()))], ["node", "c", "shingles"])
+
+
+def remaining_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``(a, b)`` between different components ``c`` of ``nodes(node, c)``, none left out.
+
+    Two sets at the threshold share one of the rarest shingles of each, as many
+    as the smaller may lack, so only documents that share one of these are
+    compared. In a group of edited copies these are the edits themselves: what
+    all copies have in common brings no pair together.
+    """
+    sets = texts.join(nodes.hint("merge"), F.col("id") == F.col("node")).select("node", "c", "text")
+    sets = stage_table(sets.mapInArrow(_sets, "node long, c long, shingles array<long>"), "sets")
+    single = sets.select("node", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    used = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses"))
+    ranked = single.join(used.hint("merge"), "shingle")
+    rarest = Window.partitionBy("node").orderBy("uses", "shingle")
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
+    rare = stage_table(ranked.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= most) & (F.col("uses") > 1)).select("shingle", "node", "c", "n"), "rare")
+    other = rare.select(F.col("shingle").alias("s"), F.col("node").alias("leader"), F.col("c").alias("d"), F.col("n").alias("k"))
+    near = (F.col("shingle") == F.col("s")) & (F.col("leader") < F.col("node")) & (F.col("c") != F.col("d")) & (100 * F.least("n", "k") >= percent * F.greatest("n", "k"))
+    pairs = rare.join(other, near).select("leader", "node").distinct()
+    a = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("x"))
+    both = pairs.join(sets.select("node", F.col("shingles").alias("y")).hint("merge"), "node").join(a.hint("merge"), "leader")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``.
 
@@ -192,21 +225,24 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sketches = stage_table(texts.mapInArrow(_sketches, "id long, n_shingles long, key_hi long, key_lo long, regs binary"), "sketches")
     classes = sketches.where("regs is not null and id is not null").groupBy("key_hi", "key_lo", "n_shingles").agg(F.min("id").alias("rep"))
     classes = stage_table(classes, "classes")
-    reps = sketches.where("regs is not null").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = sketches.where("regs is not null").join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * 2 * ROWS + 1, F.lit(2 * ROWS))))
     rows = stage_table(reps.select(F.col("id").alias("node"), F.explode(bands).alias("band")), "bands")
-    shared = rows.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
-    members = stage_table(rows.join(shared, "band"), "members")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    members = stage_table(rows.join(shared.select("band", "size").hint("merge"), "band"), "members")
+    # The member that shares bands with most documents leads: in a group of near copies, the one they were made from.
+    central = members.groupBy("node").agg(F.sum("size").alias("score"))
+    members = members.join(central.hint("merge"), "node")
+    leaders = members.groupBy("band").agg(F.max(F.struct("score", (-F.col("node")).alias("by"))).alias("top")).select("band", (-F.col("top.by")).alias("leader"))
+    members = stage_table(members.select("band", "node").join(leaders.hint("merge"), "band"), "members")
     links = stage_table(confirmed_links(members.where("node <> leader").select("leader", "node").distinct(), sketches, texts, percent), "links")
     found = stage_table(connected_components(links), "components")
 
-    # Pairs within a band that the leaders have not brought together.
-    placed = members.join(found, "node", "left").select("band", "node", "leader", F.coalesce("component", "node").alias("c"))
-    head = placed.where("node = leader").select("band", F.col("c").alias("head")).distinct()
-    placed = stage_table(placed.join(head, "band").select("band", "node", "c", (F.col("c") != F.col("head")).alias("apart")), "placed")
-    x = placed.where("apart").select(F.col("band").alias("band_x"), F.col("node").alias("leader"), F.col("c").alias("c_x"))
-    rest = x.join(placed, (F.col("band_x") == F.col("band")) & (F.col("c_x") != F.col("c")) & (~F.col("apart") | (F.col("leader") < F.col("node"))))
-    more = stage_table(confirmed_links(rest.select("leader", "node").distinct(), sketches, texts, percent), "links")
+    # Bands whose members the leaders have not brought together.
+    placed = members.join(found.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    left = placed.join(mixed.hint("merge"), "band").select("node", "c").distinct()
+    more = stage_table(remaining_links(left, texts, percent), "links")
     if not more.isEmpty():
         found = stage_table(connected_components(links.union(more)), "components")
 
