@@ -128,12 +128,7 @@ def disclosing_terms(docs: DataFrame, near: DataFrame) -> DataFrame:
     by_pair = stage_table(by_pair.where(F.col("contexts") >= CONTEXTS), "pairs")
     text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.sum(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
-    terms = by_pair.select("term").distinct()
-    used = docs.select(F.explode(F.split(F.lower(text), _WORD_BREAK)).alias("term"))
-    if by_pair.count() <= SMALL:
-        used = used.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
-    else:
-        used = used.groupBy("term").agg(F.count(F.lit(1)).alias("uses")).join(terms, "term", "left_semi")
+    used = docs.select(F.explode(F.split(F.lower(text), _WORD_BREAK)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
     sizes = by_place.groupBy("entity").agg(F.sum("n").alias("words"))
     content = -F.log2(F.least(F.col("words") / F.lit(float(max(total, 2))), F.lit(0.5)))
     chance = F.least(F.col("joint") / F.col("uses"), F.lit(1.0))
@@ -158,16 +153,22 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
     of_doc = near.select("node", "entity", "term").distinct().join(shown, ["entity", "term"]).groupBy("node", "term").agg(F.max("share").alias("share"))
     of_doc = of_doc.groupBy("node").agg(F.collect_list(F.when(F.col("share") < REMOVE, F.col("term"))).alias("general_t"), F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("removed_t"))
     of_doc = stage_table(of_doc.withColumnRenamed("node", "node_"), "terms")
-    few = of_doc.count() <= SMALL
-    with_base = with_base.join(F.broadcast(of_doc) if few else of_doc, F.col("node") == F.col("node_"), "left")
-    for kind in ("general", "removed"):
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort(f"{kind}_t"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        with_base = with_base.withColumn("pattern_", F.when(F.size(f"{kind}_t") > 0, pattern).otherwise(F.lit("(?!)")))
-        with_base = _matches(with_base, F.col("pattern_"), f"{kind}_", F.coalesce(F.size(f"{kind}_t") > 0, F.lit(False)))
-        with_base = with_base.withColumn(f"{kind}_", F.filter(f"{kind}_", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     names = [*[F.col(f"keep_{c}").alias(c) for c in keep], "text", "base"]
+    if of_doc.count() <= SMALL:
+        node = F.when(F.size("base") > 0, F.md5(F.col("text").cast("binary")))
+        return _with_terms(found.withColumn("node", node).join(F.broadcast(of_doc), F.col("node") == F.col("node_"), "left")).select(*names, "all")
     plain = found.where(F.size("base") == 0).select(*names, F.col("base").alias("all"))
-    return with_base.select(*names, _all_spans((*KINDS, "general", "removed")).alias("all")).unionByName(plain)
+    return _with_terms(with_base.join(of_doc, F.col("node") == F.col("node_"), "left")).select(*names, "all").unionByName(plain)
+
+
+def _with_terms(df: DataFrame) -> DataFrame:
+    """Adds ``all``: base spans, and those of a document's ``general_t`` and ``removed_t`` outside of them."""
+    for kind in ("general", "removed"):
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort(f"{kind}_t"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        df = df.withColumn("pattern_", F.when(F.size(f"{kind}_t") > 0, pattern).otherwise(F.lit("(?!)")))
+        df = _matches(df, F.col("pattern_"), f"{kind}_", F.coalesce(F.size(f"{kind}_t") > 0, F.lit(False)))
+        df = df.withColumn(f"{kind}_", F.filter(f"{kind}_", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    return df.withColumn("all", _all_spans((*KINDS, "general", "removed")))
 
 
 def sanitise(found: DataFrame, text_col: str = "text") -> DataFrame:
