@@ -200,9 +200,14 @@ def remaining_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFra
     ranked = single.join(used.hint("merge"), "shingle")
     rarest = Window.partitionBy("node").orderBy("uses", "shingle")
     most = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
-    rare = stage_table(ranked.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= most) & (F.col("uses") > 1)).select("shingle", "node", "c", "n"), "rare")
-    other = rare.select(F.col("shingle").alias("s"), F.col("node").alias("leader"), F.col("c").alias("d"), F.col("n").alias("k"))
-    near = (F.col("shingle") == F.col("s")) & (F.col("leader") < F.col("node")) & (F.col("c") != F.col("d")) & (100 * F.least("n", "k") >= percent * F.greatest("n", "k"))
+    ranked = ranked.withColumn("i", F.row_number().over(rarest)).where((F.col("i") <= most) & (F.col("uses") > 1))
+    rare = stage_table(ranked.select("shingle", "node", "c", "n", "i"), "rare")
+    # The smaller set looks at fewer shingles yet, and what follows both places must suffice.
+    other = rare.select(F.col("shingle").alias("s"), F.col("node").alias("leader"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("i").alias("j"))
+    other = other.where(F.col("j") <= F.col("k") - F.ceil(F.lit(2 * percent) * F.col("k") / (100 + percent)) + 1)
+    smaller = (F.col("k") < F.col("n")) | ((F.col("k") == F.col("n")) & (F.col("leader") < F.col("node")))
+    enough = F.least(F.col("n") - F.col("i"), F.col("k") - F.col("j")) + 1 >= F.ceil(F.lit(percent) * (F.col("n") + F.col("k")) / (100 + percent))
+    near = (F.col("shingle") == F.col("s")) & smaller & enough & (F.col("c") != F.col("d")) & (100 * F.col("k") >= percent * F.col("n"))
     pairs = rare.join(other, near).select("leader", "node").distinct()
     a = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("x"))
     both = pairs.join(sets.select("node", F.col("shingles").alias("y")).hint("merge"), "node").join(a.hint("merge"), "leader")
