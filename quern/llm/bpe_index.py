@@ -24,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers; when there are more, it starts again.
-REMEMBERED = 150_000
+#: Tokens between white space that a worker remembers; when there are more, it starts again.
+REMEMBERED = 500_000
 #: Characters of text whose new words are encoded together.
 RUN = 1 << 21
 #: Words longer than this are not remembered.
@@ -65,25 +65,29 @@ class PairIndexBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split.replace("\\s", _WHITE))
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.space = regex.compile(f"[{_WHITE}]+")
+        #: What Python's split takes for white space and the tokenizer doesn't.
+        self.separators = regex.compile("[\\x1c-\\x1f]")
+        self.known: dict[str, tuple[str, str]] = {}
+        self.ids = {t: str(i) for t, i in self.special.items()}
+        self.decoded = {t: t for t in self.special}
 
     @classmethod
     def from_file(cls, path: str) -> PairIndexBpe:
         with open(path, encoding="utf-8") as file:
             return cls(json.load(file))
 
-    def pieces(self, text: str) -> list[tuple[str, bool]]:
-        """The words of a text, and its special tokens marked as such."""
-        out: list[tuple[str, bool]] = []
-        parts = self.special_at.split(text) if self.special_at and any(s in text for s in self.special) else [text]
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append((part, True))
-                continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower-casing looks at single letters
-            out += [(w, False) for w in self.word.findall(part.lower())]
-        return out
+    def tokens_of(self, text: str) -> list[str]:
+        """A text cut at white space, and around its special tokens."""
+        if self.special_at and "<|" in text and any(s in text for s in self.special):
+            return [t for k, part in enumerate(self.special_at.split(text)) for t in ([part] if k % 2 else self.space.split(part)) if t]
+        return text.split() if not self.separators.search(text) else [t for t in self.space.split(text) if t]
+
+    def words_of(self, token: str) -> list[str]:
+        """The words of a token without white space, normalised."""
+        if not token.isascii():
+            token = unicodedata.normalize("NFC", token).replace("Σ", "σ")  # lower-casing looks at single letters
+        return self.word.findall(token.lower())
 
     def encode_words(self, new: list[str]) -> list[list[int]]:
         """Ids of each word, all words at once."""
@@ -151,22 +155,37 @@ class PairIndexBpe:
             out.append(ids)
         return out
 
+    def _learn(self, tokens: set[str]) -> None:
+        """Remembers ids and decoded text of tokens between white space."""
+        cut = {t: self.words_of(t) for t in tokens}
+        known = self.known
+        new = list({w for ws in cut.values() for w in ws if w not in known})
+        for w, ids in zip(new, self.encode_words(new), strict=True):
+            known[w] = (" ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+        for t, ws in cut.items():
+            if len(ws) == 1:
+                self.ids[t], self.decoded[t] = known[ws[0]]
+            else:
+                got = [known[w] for w in ws]
+                self.ids[t], self.decoded[t] = " ".join([g[0] for g in got if g[0]]), " ".join([g[1] for g in got if g[0]])
+
     def encoded(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, ids joined by spaces and decoded text of each text."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.ids) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = list({w for pieces in cut for w, special in pieces if not special and w not in known})
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            known[w] = (len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids))
-        for pieces in cut:
-            got = [(1, str(self.special[w]), w) if special else known[w] for w, special in pieces]
-            got = [g for g in got if g[0]]
-            yield sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
-        for w in new:
-            if len(w) > LONG_WORD:
-                del known[w]
+            self.ids = {t: str(i) for t, i in self.special.items()}
+            self.decoded = {t: t for t in self.special}
+        cut = [self.tokens_of(t) for t in texts]
+        new = set().union(*cut).difference(self.ids)
+        self._learn(new)
+        for tokens in cut:
+            ids = " ".join(filter(None, map(self.ids.__getitem__, tokens)))
+            yield (ids.count(" ") + 1 if ids else 0), ids, " ".join(filter(None, map(self.decoded.__getitem__, tokens)))
+        for t in new:
+            if len(t) > LONG_WORD and t not in self.special:
+                for w in self.words_of(t):
+                    self.known.pop(w, None)
+                del self.ids[t], self.decoded[t]
 
 
 def _runs(texts: list[str | None]) -> Iterator[list[str]]:
