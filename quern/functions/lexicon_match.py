@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import lexicons as L
-from quern.functions.text import _col, text_or_empty
+from quern.functions.text import _col, let, text_or_empty
 
 #: Regex metacharacters get a backslash, nothing else does.
 _META = re.compile(r"([\\.^$|?*+()\[\]{}-])")
@@ -36,15 +36,21 @@ def infer_domain(text, default="governance", domains=L.DOMAINS) -> Column:
 
     Another domain than the default needs two hits and more than the default has.
     """
-    lowered = F.lower(text_or_empty(text))
     default = default if isinstance(default, Column) else F.lit(default)
-    scored = F.array(*[F.struct(_hits(lowered, kws).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("domain"), F.lit(s).alias("sub")) for i, (d, s, kws) in enumerate(domains)])
-    best = F.array_max(scored)
-    own = F.array_max(F.filter(scored, lambda x: x["domain"] == default))
-    own_n = F.coalesce(own["n"], F.lit(0))
-    own_sub = F.when(own_n > 0, own["sub"])
-    keep = (best["n"] == 0) | ((best["domain"] != default) & (best["n"] < F.greatest(F.lit(2), own_n + 1)))
-    return F.struct(F.when(keep, default).otherwise(best["domain"]).alias("domain"), F.when(keep, own_sub).otherwise(best["sub"]).alias("sub_category"))
+
+    def scores(lowered: Column) -> Column:
+        return F.array(*[F.struct(_hits(lowered, kws).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("domain"), F.lit(s).alias("sub")) for i, (d, s, kws) in enumerate(domains)])
+
+    def choice(x: Column) -> Column:
+        best, own = x["best"], x["own"]
+        own_n = F.coalesce(own["n"], F.lit(0))
+        keep = (best["n"] == 0) | ((best["domain"] != default) & (best["n"] < F.greatest(F.lit(2), own_n + 1)))
+        return F.struct(F.when(keep, default).otherwise(best["domain"]).alias("domain"), F.when(~keep, best["sub"]).when(own_n > 0, own["sub"]).alias("sub_category"))
+
+    def bests(scored: Column) -> Column:
+        return F.struct(F.array_max(scored).alias("best"), F.array_max(F.filter(scored, lambda x: x["domain"] == default)).alias("own"))
+
+    return let(let(let(F.lower(text_or_empty(text)), scores), bests), choice)
 
 
 def infer_urgency(text, levels=L.URGENCY) -> Column:

@@ -130,14 +130,17 @@ def mention_count(c) -> Column:
 
 def code_switching(normalised, language, cues: list[str] = L.SWAHILI_CUES) -> Column:
     """TXT-15: struct (code_switch, sw_cue_count, sw_cue_ratio, lang_primary)."""
-    own = word_tokens(normalised)
-    n = F.size(own)
-    hits = F.size(F.filter(own, lambda w: w.isin(cues)))
-    ratio = hits / n
-    mixed = (ratio.between(0.08, 0.55) & (hits >= 2)) | (F.coalesce(_col(language) == "en", F.lit(False)) & (hits >= 3)) | (F.coalesce(_col(language) == "sw", F.lit(False)) & (ratio < 0.5))
-    value = F.struct(mixed.alias("code_switch"), hits.alias("sw_cue_count"), F.bround(ratio, 4).alias("sw_cue_ratio"), _col(language).alias("lang_primary"))
-    none = F.struct(F.lit(False).alias("code_switch"), F.lit(0).alias("sw_cue_count"), F.lit(0.0).alias("sw_cue_ratio"), F.lit(None).cast("string").alias("lang_primary"))
-    return F.when(n > 0, value).otherwise(none)
+    language = _col(language)
+
+    def signals(f: Column) -> Column:
+        hits, n = f["hits"], f["n"]
+        ratio = hits / n
+        mixed = (ratio.between(0.08, 0.55) & (hits >= 2)) | (F.coalesce(language == "en", F.lit(False)) & (hits >= 3)) | (F.coalesce(language == "sw", F.lit(False)) & (ratio < 0.5))
+        value = F.struct(mixed.alias("code_switch"), hits.alias("sw_cue_count"), F.bround(ratio, 4).alias("sw_cue_ratio"), language.alias("lang_primary"))
+        none = F.struct(F.lit(False).alias("code_switch"), F.lit(0).alias("sw_cue_count"), F.lit(0.0).alias("sw_cue_ratio"), F.lit(None).cast("string").alias("lang_primary"))
+        return F.when(n > 0, value).otherwise(none)
+
+    return let(word_tokens(normalised), lambda own: let(F.struct(F.size(_hits(own, cues)).alias("hits"), F.size(own).alias("n")), signals))
 
 
 def language_by_markers(c, markers: list[str] = L.SWAHILI_MARKERS) -> Column:
@@ -162,10 +165,13 @@ def guess_language(c, least_words: int = 5) -> Column:
     ``unknown`` with fewer than ``least_words`` words, null where no function word is found; ties go to the first.
     """
     sample = F.substring(text_or_empty(c), 1, 2000)
+
+    def best(own: Column) -> Column:
+        scores = [F.struct(F.size(_hits(own, ws)).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("code")) for i, (code, ws) in enumerate(FUNCTION_WORDS.items())]
+        return let(F.greatest(*scores), lambda b: F.when(b["n"] > 0, b["code"]))
+
     own = F.regexp_extract_all(F.lower(sample), F.lit(r"[\p{L}]+"), F.lit(0))
-    scores = [F.struct(F.size(_hits(own, ws)).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("code")) for i, (code, ws) in enumerate(FUNCTION_WORDS.items())]
-    best = F.greatest(*scores)
-    return F.when(word_count(sample) < least_words, "unknown").when(best["n"] > 0, best["code"])
+    return F.when(word_count(sample) < least_words, "unknown").otherwise(let(own, best))
 
 
 def _hits(own: Column, known: list[str]) -> Column:
@@ -190,7 +196,8 @@ def content_hash(c) -> Column:
 
 def primary_text(en, sw) -> Column:
     """TXT-23: the version with more words, the first on a tie."""
-    return F.when(word_count(en) >= word_count(sw), text_or_empty(en)).otherwise(text_or_empty(sw))
+    both = F.struct(text_or_empty(en).alias("en"), text_or_empty(sw).alias("sw"))
+    return let(both, lambda b: F.when(word_count(b["en"]) >= word_count(b["sw"]), b["en"]).otherwise(b["sw"]))
 
 
 def title_hint(c) -> Column:

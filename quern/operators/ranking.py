@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.stage_table import stage_table
+
 
 def keep_first(df: DataFrame, key: str, *order) -> DataFrame:
     """WIN-01/08: the first row of each key, decided by a partial aggregation and not by a sort of the key.
@@ -20,16 +22,15 @@ def keep_first(df: DataFrame, key: str, *order) -> DataFrame:
     return df.withColumn("own_", own).join(first.withColumnRenamed(key, "key_"), (F.col(key) == F.col("key_")) & (F.col("own_") == F.col("first_"))).drop("own_", "key_", "first_")
 
 
-def dense_number(df: DataFrame, out: str, *order, buckets: int = 256) -> DataFrame:
+def dense_number(df: DataFrame, out: str, *order, buckets: int | None = None) -> DataFrame:
     """WIN-02: numbers from 1 without gaps, without one task for all rows.
 
     Rows are range-partitioned by the order; each partition's rows are counted,
-    and a row's number is its place within the partition after all before. The
-    order must be unique.
+    and a row's number is its place within the partition after all before. There
+    are as many partitions as a shuffle has. The order must be unique.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(buckets, *order).withColumn("part_", F.spark_partition_id())
-    from quern.plans.stage_table import stage_table
-
     placed = stage_table(placed, "numbered")
     sizes = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,7 +1,7 @@
 """Corpus BLEU and chrF as their papers define them (Papineni 2002, Popovic 2015).
 
-N-grams are matched within each row by higher-order functions; rows add up to
-one row of counts, from which the score follows in closed form.
+N-grams of all pairs are counted in one partial aggregation; the counts add up
+to one row, from which the score follows in closed form.
 """
 
 from __future__ import annotations
@@ -26,43 +26,39 @@ def mt_tokens(c) -> Column:
     return words(F.regexp_replace(c, r"([0-9])(-)", "$1 $2 "))
 
 
-def _grams(units: Column, n: int, sep: str) -> Column:
-    last = F.size(units) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(units, i, n), sep))).otherwise(F.array().cast("array<string>"))
+def _counts(df: DataFrame, sides: dict[str, Column], orders: int, sep: str) -> DataFrame:
+    """One row: matched n-grams ``m1..``, and each side's totals ``h1.., r1..``, and the number of pairs ``n``.
 
-
-def _matched(a: Column, b: Column) -> Column:
-    """How many n-grams of ``a`` are in ``b``, each as often as it is there at most.
-
-    Both sides are sorted and numbered within equal grams, so that the clipped
-    count is the size of an intersection of sets.
+    N-grams of a pair are counted for both sides and clipped to the smaller
+    count. Equal pairs share a key: their counts add up on either side alike.
     """
-    def numbered(x: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(0).alias("k"))
-
-        def add(s: Column, g: Column) -> Column:
-            k = F.when(g == s["last"], s["k"] + 1).otherwise(0)
-            return F.struct(F.concat(s["out"], F.array(F.concat(g, F.lit("\x1f"), k.cast("string")))).alias("out"), g.alias("last"), k.alias("k"))
+    key = F.md5(F.concat_ws("\x1f", *[text_or_empty(c) for c in ("hyp_", "ref_")]).cast("binary"))
+    rows = df.select(key.alias("k"), *[c.alias(s) for s, c in sides.items()])
 
-        return F.aggregate(F.array_sort(x), start, add)["out"]
+    def grams(side: str) -> DataFrame:
+        units = F.col(side)
+        runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(units) - n + 1), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(units, i, n), sep).alias("g")))
+        every = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(orders), F.size(units))), runs))
+        one = rows.where(F.size(units) > 0).select("k", F.explode(every).alias("x"))
+        return one.select("k", "x.n", "x.g", *[F.lit(int(side == s)).alias(s) for s in sides])
 
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
+    clipped = grams("h").unionByName(grams("r")).groupBy("k", "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    by_order = clipped.groupBy("n").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+    pick = [F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, orders + 1) for c in ("m", "h", "r")]
+    return by_order.agg(*pick).crossJoin(df.agg(F.count(F.lit(1)).alias("n")))
 
 
 def corpus_bleu(df: DataFrame, hypothesis: str, reference: str, orders: int = 4) -> DataFrame:
     """AGG-15: one row: ``bleu, n``; exponential smoothing, brevity penalty, 0 to 100."""
-    rows = df.select(mt_tokens(hypothesis).alias("h"), mt_tokens(reference).alias("r"))
-    k = range(1, orders + 1)
-    rows = rows.select(F.size("h").alias("hl"), F.size("r").alias("rl"), *[x for n in k for x in (_matched(_grams(F.col("h"), n, " "), _grams(F.col("r"), n, " ")).alias(f"m{n}"), F.greatest(F.size("h") - n + 1, F.lit(0)).alias(f"t{n}"))])
-    total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
+    pairs = df.select(F.col(hypothesis).alias("hyp_"), F.col(reference).alias("ref_"))
+    total = _counts(pairs, {"h": mt_tokens("hyp_"), "r": mt_tokens("ref_")}, orders, " ")
     smooth, logs, dead = F.lit(1.0), [], F.lit(False)
-    for n in k:
-        m, t = F.col(f"m{n}"), F.col(f"t{n}")
-        empty = (m == 0) & (t > 0)
-        smooth = F.when(empty, smooth * 2).otherwise(smooth)
+    for n in range(1, orders + 1):
+        m, t = F.col(f"m{n}"), F.col(f"h{n}")
+        smooth = F.when((m == 0) & (t > 0), smooth * 2).otherwise(smooth)
         logs.append(F.log(F.when(m > 0, F.lit(100.0) * m / t).when(t > 0, F.lit(100.0) / (smooth * t)).otherwise(F.lit(1.0))))
         dead = dead | (t == 0)
-    brevity = F.when(F.col("hl") >= F.col("rl"), 1.0).when(F.col("hl") > 0, F.exp(1 - F.col("rl") / F.col("hl"))).otherwise(0.0)
+    brevity = F.when(F.col("h1") >= F.col("r1"), 1.0).when(F.col("h1") > 0, F.exp(1 - F.col("r1") / F.col("h1"))).otherwise(0.0)
     score = brevity * F.exp(reduce(lambda a, b: a + b, logs) / orders)
     return total.select(F.when(dead | (F.col("m1") == 0), 0.0).otherwise(score).alias("bleu"), "n")
 
@@ -70,12 +66,10 @@ def corpus_bleu(df: DataFrame, hypothesis: str, reference: str, orders: int = 4)
 def corpus_chrf(df: DataFrame, hypothesis: str, reference: str, orders: int = 6, beta: float = 2.0) -> DataFrame:
     """AGG-15: one row: ``chrf, n``; character orders 1 to ``orders``, white space removed, 0 to 100."""
     chars = lambda c: F.filter(F.split(F.replace(collapse(c), F.lit(" "), F.lit("")), ""), lambda x: x != "")
-    rows = df.select(chars(hypothesis).alias("h"), chars(reference).alias("r"))
-    k = range(1, orders + 1)
-    left = lambda c, n: F.greatest(F.size(c) - n + 1, F.lit(0))
-    rows = rows.select(*[x for n in k for x in (_matched(_grams(F.col("h"), n, ""), _grams(F.col("r"), n, "")).alias(f"m{n}"), left("h", n).alias(f"h{n}"), left("r", n).alias(f"r{n}"))])
-    total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
+    pairs = df.select(F.col(hypothesis).alias("hyp_"), F.col(reference).alias("ref_"))
+    total = _counts(pairs, {"h": chars("hyp_"), "r": chars("ref_")}, orders, "")
     # Orders that either side is too short for don't count.
+    k = range(1, orders + 1)
     both = [(F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0) for n in k]
     many = reduce(lambda a, b: a + b, [x.cast("int") for x in both])
     mean = lambda side: reduce(lambda a, b: a + b, [F.when(x, F.col(f"m{n}") / F.col(f"{side}{n}")).otherwise(0.0) for n, x in zip(k, both, strict=True)]) / many

@@ -169,7 +169,8 @@ def canonical(df: DataFrame, psa_id, domain, english, kiswahili, source, date, f
         (targets if targets is not None else F.lit(TARGETS)).alias("Target Languages"), text_or_empty(source).alias("Source"), text_or_empty(date).alias("Date"),
         *[v.alias(f"m_{k}") for k, v in fixed.items()], (extra if extra is not None else F.create_map().cast("map<string,string>")).alias("m_extra_"),
     ).where((word_count("English") >= 8) | (word_count("Kiswahili") >= 8))
-    main = primary_text("English", "Kiswahili")
+    main = F.col("main_")
+    rows = rows.withColumn("main_", primary_text("English", "Kiswahili"))
     own = F.struct(
         *[F.col(f"m_{k}").alias(k) for k in fixed], F.coalesce(guess_language(main), F.lit("unknown")).alias("lang_detected"), word_count(main).alias("token_count"),
         sentence_parts(main).alias("sentence_count"), content_hash(main).alias("content_hash"),
