@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 
@@ -10,6 +12,18 @@ def strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+_TEXT = T.StringType()
+_KINDS = {
+    "string": _TEXT, "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(_TEXT), "map<string,string>": T.MapType(_TEXT, _TEXT),
+}
+
+
+def record(fields: str) -> T.StructType:
+    """A typed record of ``name kind`` pairs; needs no session, as parsing DDL would."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (f.split(" ", 1) for f in re.split(r",\s+", fields))])
+
+
 CORPUS = strings("PSA_ID", "Domain", "English", "Kiswahili", "Target Languages", "Source", "Date", "Metadata")
 QUARANTINE = strings(*CORPUS.names, "Quarantine_Reason")
 CLEANED = strings(
@@ -41,21 +55,21 @@ AGRICULTURE = strings("PSA_ID", "Domain", "English", "Kiswahili", "Source", "Dat
 MEDIA = strings("PSA_ID", "Domain", "English", "Kiswahili", "Target Languages", "Source", "Metadata")
 RAW_TEXT = strings("cleaned_text", "raw_text", "source_url")
 
-SCRAPE_CONFIG = T.StructType.fromDDL(
+SCRAPE_CONFIG = record(
     "listing_url string, article_selector string, title_selector string, body_selector string, date_selector string, rate_limit_seconds double, "
     "requires_psa_filter boolean, link_href_contains string, link_min_slug_chars int, max_items int, max_listing_pages int, page_param string, fetch_full_article boolean"
 )
-SOURCE = T.StructType.fromDDL(
+SOURCE = record(
     "source_id string, name string, organization string, source_type string, base_url string, country string, domains_covered array<string>, primary_language string, "
     "trust_score int, priority string, adapter string, active boolean"
 ).add("scrape_config", SCRAPE_CONFIG)
-RAW_ITEM = T.StructType.fromDDL("source_id string, source_url string, title string, raw_html string, raw_text string, published_at timestamp, scraped_at timestamp")
-NOTICE = T.StructType.fromDDL(
+RAW_ITEM = record("source_id string, source_url string, title string, raw_html string, raw_text string, published_at timestamp, scraped_at timestamp")
+NOTICE = record(
     "psa_id string, title string, text string, language string, domain string, sub_category string, urgency string, audience array<string>, location map<string,string>, "
     "organization string, published_at timestamp, scraped_at timestamp, source_id string, source_url string, trust_score int, verified boolean, is_psa boolean, "
     "classification_confidence double, keywords array<string>, token_count int, content_hash string, metadata map<string,string>, status string"
 )
-TRANSLATION = T.StructType.fromDDL("psa_id string, target_language string, method string, source_text string, target_text string, confidence double, verified boolean, metadata map<string,string>, created_at timestamp")
-SCRAPE_LOG = T.StructType.fromDDL("source_id string, started_at timestamp, finished_at timestamp, status string, items_found int, items_stored int, items_rejected int, error string")
-PSA_PAIRS = T.StructType.fromDDL("en_psa_id string, sw_psa_id string, alignment_method string, alignment_score double, verified boolean, created_at timestamp")
-FEEDBACK = T.StructType.fromDDL("translation_id string, verdict string, suggestion string, reviewer string, created_at timestamp")
+TRANSLATION = record("psa_id string, target_language string, method string, source_text string, target_text string, confidence double, verified boolean, metadata map<string,string>, created_at timestamp")
+SCRAPE_LOG = record("source_id string, started_at timestamp, finished_at timestamp, status string, items_found int, items_stored int, items_rejected int, error string")
+PSA_PAIRS = record("en_psa_id string, sw_psa_id string, alignment_method string, alignment_score double, verified boolean, created_at timestamp")
+FEEDBACK = record("translation_id string, verdict string, suggestion string, reviewer string, created_at timestamp")

@@ -39,7 +39,7 @@ def write_sheet(df: DataFrame, path: str, schema: T.StructType, mode: str = "ove
     """SNK-01: a CSV sheet of the schema's columns in order; missing ones and nulls are empty, booleans lower case."""
     there = set(df.columns)
     out = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string") if c in there else F.lit(None), F.lit("")).alias(c) for c in schema.names])
-    out.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
