@@ -221,9 +221,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Two documents are linked when 100 * intersection >= ``percent`` * union of
     their distinct five-word shingles (A-Z lower-cased, words of ASCII white
     space); with fewer words the whole sequence is one shingle. Null, empty and
-    blank texts have no shingle and are linked with nothing. Rows with equal
-    ids are one node and each is returned; a row whose id is null is linked
-    with nothing and has a null component. Equal sets are one class from the
+    blank texts have no shingle and are linked with nothing. Rows with equal ids
+    and different texts each have the class of their text, but an id that is the
+    smallest of two classes joins them; a row whose id is null is linked with
+    nothing and has a null component. Equal sets are one class from the
     start, so groups of copies cost one comparison. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -6,8 +6,9 @@ cell of its nearest codewords. It visits cells in the order of a lower bound of
 their distance, the squared distances to the bisecting hyperplanes summed over
 the halves, until a reach that is calibrated for the target recall of pairs at
 the threshold, and every vector met there is verified by its cosine in double
-precision. With ``recall=1`` the reach is the distance of the threshold itself;
-the bound is then exact and no pair can be missed.
+precision. Pairs whose squared distance lies within the reach can't be missed at
+all, since it bounds them exactly; with ``recall=1`` the reach is the distance of
+the threshold itself and no pair can be missed, but many more cells are visited.
 
 Scale: codebooks are fitted on a bounded sample (``SAMPLE`` rows with the
 smallest hashes), every row is indexed. Cells hold about ``CELL`` vectors of the
@@ -174,10 +175,10 @@ def _met(cosine: float):
                     vectors += x[at:end]
                     label, linked = np.arange(len(home)), np.zeros(len(home))
                 elif home:
-                    r, weight = np.array(home), np.array(mult, float)
+                    r, weight, block = np.array(home), np.array(mult, float), np.stack(vectors)
                     for lo in range(at, end, 512):
                         hi = min(end, lo + 512)
-                        near = np.stack(vectors) @ np.stack(x[lo:hi]).T >= cosine
+                        near = block @ np.stack(x[lo:hi]).T >= cosine
                         q = np.array(reps[lo:hi])
                         near &= (own[lo:hi] != key[2])[None, :] | (q[None, :] > r[:, None])  # neighbours at home meet once
                         linked += near @ np.array(mults[lo:hi], float)

@@ -109,12 +109,12 @@ def test_terms_that_reveal_an_entity(spark):
     common = [f"com{i}x" for i in range(20)]
     filler = lambda k: " ".join(common[j % 20] for j in rng.integers(0, 20, k))
     rows = [(i, f"{filler(8)} Zorblat {filler(2)} boss@corp.example {filler(8)}") for i in range(6)]
-    rows += [(6 + i, filler(40)) for i in range(300)] + [(400, "Zorblat alone, and zorblat@x.y")]
+    rows += [(6 + i, filler(40)) for i in range(300)] + [(400, "Zorblat alone, and z@x.y")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = I.find_personal_data(df)
     kinds = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["all"]] for r in found.collect()}
     assert all(("removed", "Zorblat") in kinds[i] and ("email", "boss@corp.example") in kinds[i] and len(kinds[i]) == 2 for i in range(6))
-    assert kinds[400] == [("email", "zorblat@x.y")] and kinds[7] == []
+    assert kinds[400] == [("email", "z@x.y")] and kinds[7] == []
     clean = {r["doc_id"]: r["text"] for r in I.sanitise(found).collect()}
     assert "Zorblat" not in clean[0] and "[EMAIL]" in clean[0] and "boss" not in clean[0] and clean[7] == dict(rows)[7]
 
