@@ -13,12 +13,15 @@ broadcast as one compressed value of fixed size.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -52,13 +55,14 @@ class PairIndexBpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if not isinstance(pair, str) else pair.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        self.pairs = [None] * len(model["merges"])
-        for pair, (rank, _) in self.merges.items():
-            self.pairs[rank] = pair
+        self.numbers = list(map(str, range(len(self.names))))
+        pairs = [p if not isinstance(p, str) else p.split(" ") for p in model["merges"]]
+        self.pairs = [(self.vocab[a], self.vocab[b]) for a, b in pairs]
+        self.whole_of = [self.vocab[a + b] for a, b in pairs]
+        self.wide = len(self.names)
+        self.ranks = {a * self.wide + b: rank for rank, (a, b) in enumerate(self.pairs)}
+        self.pair_keys = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[k] for k in self.pair_keys.tolist()], np.int64)
         letters = byte_letters()
         self.inner = [self.vocab.get(c) for c in letters]
         self.final = [self.vocab.get(c + self.suffix) for c in letters]
@@ -85,89 +89,111 @@ class PairIndexBpe:
 
     def words_of(self, token: str) -> list[str]:
         """The words of a token without white space, normalised."""
-        if not token.isascii():
-            token = unicodedata.normalize("NFC", token).replace("Σ", "σ")  # lower-casing looks at single letters
+        if token.isascii():
+            token = token.lower()
+            return [token] if token.isalpha() else self.word.findall(token)
+        token = unicodedata.normalize("NFC", token).replace("Σ", "σ")  # lower-casing looks at single letters
         return self.word.findall(token.lower())
 
-    def encode_words(self, new: list[str]) -> list[list[int]]:
-        """Ids of each word, all words at once."""
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        heads: list[int] = []
-        for w in new:
-            data = w.encode("utf-8", "surrogatepass")
-            ids = [self.inner[b] for b in data[:-1]] + [self.final[b] for b in data[-1:]]
-            ids = [i for i in ids if i is not None]
-            at = len(symbol)
-            heads.append(at if ids else -1)
-            symbol += ids
-            before += [-1, *range(at, at + len(ids) - 1)] if ids else []
-            after += [*range(at + 1, at + len(ids)), -1] if ids else []
-        merges, pairs = self.merges, self.pairs
-        places: dict[int, list[int]] = {}
-        for at, nxt in enumerate(after):
-            if nxt >= 0 and (m := merges.get((symbol[at], symbol[nxt]))):
-                places.setdefault(m[0], []).append(at)
-        active = list(places)
-        heapq.heapify(active)
+    def _laid_out(self, new: list[str]) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Symbols of all words in one row, the places after and before each, and the words' ends."""
+        parts = [w.encode("utf-8", "surrogatepass") for w in new]
+        symbol = list(map(self.inner.__getitem__, b"".join(parts)))
+        ends = list(accumulate(map(len, parts)))
+        for data, end in zip(parts, ends, strict=True):
+            symbol[end - 1] = self.final[data[-1]]
+        if None in symbol:  # bytes that the vocabulary lacks are left out
+            kept = [[x for x in symbol[a:b] if x is not None] for a, b in zip([0, *ends], ends, strict=False)]
+            symbol, ends = list(chain.from_iterable(kept)), list(accumulate(map(len, kept)))
+        n = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        for end in ends:
+            if end:
+                after[end - 1] = -1
+            if end < n:
+                before[end] = -1
+        return symbol, after, before, ends
+
+    def encode_words(self, new: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of all words in one row, and where each word's end."""
+        symbol, after, before, ends = self._laid_out(new)
+        if not symbol:
+            return [], ends
+        ranks, whole_of, pairs, wide = self.ranks.get, self.whole_of, self.pairs, self.wide
+        # The index of the first pairs, each list in order.
+        row = np.array(symbol, np.int64)
+        found = np.minimum(np.searchsorted(self.pair_keys, key := row[:-1] * wide + row[1:]), len(self.pair_keys) - 1)
+        there = (self.pair_keys[found] == key) & (np.array(after[:-1]) >= 0)
+        at, rank = np.flatnonzero(there), self.pair_ranks[found[there]]
+        order = np.argsort(rank, kind="stable")
+        first = np.flatnonzero(np.diff(rank[order], prepend=-1))
+        places = dict(zip(rank[order][first].tolist(), map(np.ndarray.tolist, np.split(at[order], first[1:])), strict=False)) if len(at) else {}
+        active = sorted(places)
         while active:
             rank = heapq.heappop(active)
             found = places.pop(rank, None)
             if found is None:
                 continue
             a, b = pairs[rank]
-            whole = merges[a, b][1]
+            whole = whole_of[rank]
             found.sort()
-            for k, at in enumerate(found):
+            rest = iter(found)
+            for at in rest:
                 nxt = after[at]
                 if symbol[at] != a or nxt < 0 or symbol[nxt] != b:
                     continue  # the pair has gone meanwhile
                 symbol[at], symbol[nxt] = whole, -1
                 after[at] = far = after[nxt]
-                lower = False
+                least = rank + 1
                 if far >= 0:
                     before[far] = at
-                    if m := merges.get((whole, symbol[far])):
-                        if m[0] not in places:
-                            places[m[0]] = []
-                            heapq.heappush(active, m[0])
-                        places[m[0]].append(at)
-                        lower = m[0] <= rank
-                if (left := before[at]) >= 0 and (m := merges.get((symbol[left], whole))):
-                    if m[0] not in places:
-                        places[m[0]] = []
-                        heapq.heappush(active, m[0])
-                    places[m[0]].append(left)
-                    lower |= m[0] <= rank
-                if lower and k + 1 < len(found):  # a lower rank has come up; the rest of this one waits
+                    r = ranks(whole * wide + symbol[far])
+                    if r is not None:
+                        if r in places:
+                            places[r].append(at)
+                        else:
+                            places[r] = [at]
+                            heapq.heappush(active, r)
+                        least = min(least, r)
+                left = before[at]
+                if left >= 0:
+                    r = ranks(symbol[left] * wide + whole)
+                    if r is not None:
+                        if r in places:
+                            places[r].append(left)
+                        else:
+                            places[r] = [left]
+                            heapq.heappush(active, r)
+                        least = min(least, r)
+                if least <= rank and (later := list(rest)):  # a lower rank has come up; the others of this one wait
                     if rank not in places:
-                        places[rank] = []
                         heapq.heappush(active, rank)
-                    places[rank] += found[k + 1 :]
+                    places[rank] = places.get(rank, []) + later
                     break
-        out = []
-        for at in heads:
-            ids = []
-            while at >= 0:
-                ids.append(symbol[at])
-                at = after[at]
-            out.append(ids)
-        return out
+        row = np.array(symbol)
+        return row[row >= 0].tolist(), np.concatenate([[0], np.cumsum(row >= 0)])[ends].tolist()
 
     def _learn(self, tokens: set[str]) -> None:
         """Remembers ids and decoded text of tokens between white space."""
-        cut = {t: self.words_of(t) for t in tokens}
-        known = self.known
-        new = list({w for ws in cut.values() for w in ws if w not in known})
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            known[w] = (" ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
-        for t, ws in cut.items():
+        known, single, several = self.known, {}, {}
+        for t in tokens:
+            ws = self.words_of(t)
             if len(ws) == 1:
-                self.ids[t], self.decoded[t] = known[ws[0]]
+                single[t] = ws[0]
             else:
-                got = [known[w] for w in ws]
-                self.ids[t], self.decoded[t] = " ".join([g[0] for g in got if g[0]]), " ".join([g[1] for g in got if g[0]])
+                several[t] = ws
+        new = list(set(single.values()).union(*several.values()).difference(known))
+        row, ends = self.encode_words(new)
+        ids, names = list(map(self.numbers.__getitem__, row)), list(map(self.names.__getitem__, row))
+        at = 0
+        for w, end in zip(new, ends, strict=True):
+            known[w] = (ids[at], names[at]) if end - at == 1 else (" ".join(ids[at:end]), " ".join(names[at:end]))
+            at = end
+        for t, w in single.items():
+            self.ids[t], self.decoded[t] = known[w]
+        for t, ws in several.items():
+            got = [known[w] for w in ws]
+            self.ids[t], self.decoded[t] = " ".join([g[0] for g in got if g[0]]), " ".join([g[1] for g in got if g[0]])
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, ids joined by spaces and decoded text of each text."""
@@ -177,7 +203,13 @@ class PairIndexBpe:
             self.decoded = {t: t for t in self.special}
         cut = [self.tokens_of(t) for t in texts]
         new = set().union(*cut).difference(self.ids)
-        self._learn(new)
+        running = gc.isenabled()
+        gc.disable()  # learning makes many small lists and no cycles
+        try:
+            self._learn(new)
+        finally:
+            if running:
+                gc.enable()
         for tokens in cut:
             ids = " ".join(filter(None, map(self.ids.__getitem__, tokens)))
             yield (ids.count(" ") + 1 if ids else 0), ids, " ".join(filter(None, map(self.decoded.__getitem__, tokens)))
