@@ -439,6 +439,20 @@ def harvest(bitext: DataFrame, limit: int = 3000, scan: int = 50_000, source: st
     )
 
 
+def curated_sentences(items: DataFrame, curated: DataFrame, low: int = 6, high: int = 45) -> DataFrame:
+    """SRC-19: sentences of ``low`` to ``high`` words from feed items without tags, after curated rows, the first of equal texts.
+
+    ``items`` and ``curated`` have ``text`` and ``ord``; curated rows also ``domain`` and ``lang``.
+    """
+    from quern.functions.lexicon_match import bilingual_domain
+    from quern.functions.text import language_by_markers, simple_sentences, strip_tags
+
+    rows = items.select("ord", F.posexplode(simple_sentences(strip_tags("text"))).alias("at", "text")).where(word_count("text").between(low, high))
+    rows = rows.select("text", bilingual_domain("text").alias("domain"), language_by_markers("text").alias("lang"), F.lit(1).alias("src_"), "ord", "at")
+    first = curated.select("text", "domain", "lang", F.lit(0).alias("src_"), "ord", F.lit(0).alias("at"))
+    return keep_first(first.unionByName(rows), "text", "src_", "ord", "at").select("text", "domain", "lang")
+
+
 def training_report(pairs: DataFrame, source: str, target: str) -> DataFrame:
     """JOB-18, CLS-12: train and dev rows of a language pair, and whether they suffice; nothing is trained."""
     from quern.functions.rules import training_ready

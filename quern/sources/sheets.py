@@ -59,6 +59,12 @@ def merge_stats(previous: Column, new: Column) -> Column:
     return serialise(overlay(parse(previous), parse(new)))
 
 
+def freeze(df: DataFrame, path: str) -> DataFrame:
+    """SNK-08: a version of a table that is written once; an existing one is an error, other names read this one."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_view(notices: DataFrame) -> DataFrame:
     """SNK-07: the active rows as other tools take them."""
     return notices.where("status = 'active'").select(*S.EXPORT.names)

@@ -147,6 +147,21 @@ def test_feed_bitext_and_registry(spark, tmp_path):
         pass
 
 
+def test_curated_and_frozen(spark, tmp_path):
+    feed = spark.createDataFrame([("<b>One two three four five six.</b> Few words here. Serikali na watu wa Kenya wapo leo hapa.", 0)], "text string, ord int")
+    known = spark.createDataFrame([("One two three four five six.", "Health", "en", 0)], "text string, domain string, lang string, ord int")
+    got = jobs.curated_sentences(feed, known)
+    assert sorted(tuple(r) for r in got.collect()) == [("One two three four five six.", "Health", "en"), ("Serikali na watu wa Kenya wapo leo hapa.", "Governance", "sw")]
+    assert sheets.freeze(got, str(tmp_path / "v1")).count() == 2
+    try:
+        sheets.freeze(got, str(tmp_path / "v1"))
+        raise RuntimeError
+    except RuntimeError:
+        raise
+    except Exception as e:
+        assert "already exists" in str(e).lower()
+
+
 def test_streams(spark, tmp_path):
     batch = items(spark, NOTICE, NOTICE.upper(), "another text that is new").drop("ord")
     batch.write.parquet(str(tmp_path / "in"))
