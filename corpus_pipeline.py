@@ -2,8 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
-return the columns of ``documents``. A document whose id is null can't be told
-from another by its id, so the filtering stages keep it.
+return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -12,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe_index import encode
-from quern.llm.mixing import mix_sources
+from quern.llm.mixing import mix_documents
 from quern.llm.near_minhash import near_duplicate_classes
 from quern.llm.pii_information import find_personal_data, sanitise
-from quern.llm.quality_gam import score_quality
+from quern.llm.quality_gam import keep_good
 from quern.llm.queries import table, tokenizer_path
 from quern.plans.stage_table import stage_table
 
+#: Ids up to which a table of them is broadcast (8 MB).
+SMALL = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,17 +28,20 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    docs = docs.select(_columns(docs))
-    rejected = score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Documents that the quality classifier rejects go, judged where they are."""
+    return keep_good(docs.select(_columns(docs)), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    The ids of the others are broadcast up to ``SMALL`` of them, so that the
+    documents stay in place; more are joined by a shuffle. A document whose id
+    is null can't be told from another by its id and stays.
+    """
     docs = docs.select(_columns(docs))
-    gone = near_duplicate_classes(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stage_table(near_duplicate_classes(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source fills its target: documents appear as many times as the mix takes them."""
-    names = _columns(docs)
-    times = mix_sources(docs).where("epochs > 0").groupBy("doc_id").agg(F.max("epochs").cast("int").alias("epochs"))
-    return docs.select(names).join(times, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(names)
+    return mix_documents(docs.select(_columns(docs)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from quern.plans.stage_table import stage_table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
+#: Sources up to which their cuts are broadcast.
+SMALL = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -38,6 +40,32 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return ranked.withColumn("level", level).select("source", "source_size", F.least("cap", F.col("weight") * F.max("level").over(everything)).alias("target"))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_, keep_*, source, size, key`` of every document."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(
+        F.col(id_col).alias("id_"), *[F.col(c).alias(f"keep_{c}") for c in keep], F.col(source_col).cast("string").alias("source"),
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+        hash_key(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).alias("key"),
+    )
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """Null sources as a group of their own that joins."""
+    return df.withColumn("none_", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
+
+
+def _placed(sized: DataFrame) -> DataFrame:
+    """Adds ``source_size, target``, the whole times ``whole`` that a source is taken, and ``cut``: whether a row is taken once more."""
+    sized = stage_table(sized, "sizes")
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    placed = exclusive_sums(_named(sized), ["none_", "source"], "key", "size", "before", sized.count())
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    rest = F.col("target") - whole * F.col("source_size")
+    cut = (F.col("size") > 0) & (2 * F.col("before") + F.col("size") <= 2 * rest)
+    return placed.join(_named(targets), ["none_", "source"]).withColumn("whole", whole.cast("long")).withColumn("cut", cut)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``id_col, *keep, size, source_size, target, epochs, taken``.
 
@@ -49,20 +77,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reruns agree; equal rows share a key and are taken in any order. Other
     columns are ignored unless named in ``keep``.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(
-        F.col(id_col).alias("id_"), *[F.col(c).alias(f"keep_{c}") for c in keep], F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        hash_key(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).alias("key"),
-    )
-    sized = stage_table(sized, "sizes")
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    # Null sources join as a group of their own.
-    named = lambda df: df.withColumn("none_", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
-    placed = exclusive_sums(named(sized), ["none_", "source"], "key", "size", "before", sized.count())
-    out = placed.join(named(targets), ["none_", "source"])
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - whole * F.col("source_size")
-    epochs = F.when(F.col("size") > 0, whole + (2 * F.col("before") + F.col("size") <= 2 * rest).cast("long")).otherwise(0)
-    out = out.withColumn("epochs", epochs.cast("long"))
+    out = _placed(_sized(docs, id_col, text_col, source_col, keep))
+    out = out.withColumn("epochs", F.when(F.col("size") > 0, F.col("whole") + F.col("cut").cast("long")).otherwise(F.lit(0)).cast("long"))
     return out.select(F.col("id_").alias(id_col), *[F.col(f"keep_{c}").alias(c) for c in keep], "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every document as many times as :func:`mix_sources` takes it, all columns kept.
+
+    Only sizes and keys are shuffled. What they decide is one cut in the order
+    of the keys for each source, by which the documents are judged in place;
+    equal rows at a cut share its side. Cuts of up to ``SMALL`` sources are
+    broadcast, more are joined by a shuffle.
+    """
+    cuts = _placed(_sized(docs, id_col, text_col, source_col)).groupBy("none_", F.col("source").alias("source_")).agg(F.first("whole").alias("whole_"), F.max(F.when(F.col("cut"), F.col("key"))).alias("cut_"))
+    cuts = stage_table(cuts.withColumnRenamed("none_", "none_of_"), "cuts")
+    few = cuts.count() <= SMALL
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = hash_key(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary")))
+    own = docs.withColumn("key_", key)
+    same = (F.col(source_col).isNull() == F.col("none_of_")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("source_"))
+    out = own.join(F.broadcast(cuts) if few else cuts, same)
+    times = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.col("whole_") + F.coalesce(F.col("key_") <= F.col("cut_"), F.lit(False)).cast("long")).otherwise(F.lit(0))
+    out = out.withColumn("times_", times.cast("int")).where("times_ > 0")
+    return out.withColumn("epoch_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(docs.columns)

@@ -38,7 +38,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: (more than five standard deviations of the estimate).
 SLACK = 0.12
 #: Members of one leader that are verified in one group.
-GROUP = 512
+GROUP = 128
 
 _PLACES = random_words(SHINGLE + 1, 11) | np.uint64(1)
 _A = (random_words(REGISTERS, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)

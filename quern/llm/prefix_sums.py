@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: Bits of a key that :func:`hash_key` makes.
 KEY_BITS = 60
+#: Most bits that name a bucket, so that a group's sums stay some million rows.
+MOST_BITS = 20
 #: Rows that one bucket of the order holds on average.
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 256
 
 
 def hash_key(*columns):
@@ -26,7 +28,7 @@ def exclusive_sums(rows: DataFrame, group: list[str], key: str, weight: str, out
     spread over as many tasks as it has buckets. The group columns must hold no
     null. Which buckets there are changes nothing in the sums.
     """
-    bits = min(max((max(n_rows, 1) // BUCKET_ROWS).bit_length(), 4), 24)
+    bits = min(max((max(n_rows, 1) // BUCKET_ROWS).bit_length(), 4), MOST_BITS)
     rows = rows.withColumn("bucket_", F.shiftright(F.col(key), KEY_BITS - bits))
     at = [*group, "bucket_"]
     totals = rows.groupBy(at).agg(F.sum(weight).alias("sum_"))

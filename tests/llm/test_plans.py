@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import url_filter as U
-from quern.llm.mixing import mix_sources, source_targets
+from quern.llm.mixing import mix_documents, mix_sources, source_targets
 from quern.llm.queries import ORACLE_SQL, QUERIES
 from quern.llm.sharding import assign_shards, longest_first
 from tests.llm import brute, odd
@@ -121,6 +121,16 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_mix_documents(spark):
+    df = odd.documents(spark)
+    expected = Counter()
+    for r in mix_sources(df, keep=("text", "source")).collect():
+        expected[r["doc_id"], r["text"], r["source"]] += r["epochs"]
+    got = mix_documents(df)
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect()) == +expected
+
+
 def test_pipeline_stages_decide(spark, sf):
     import corpus_pipeline
 
