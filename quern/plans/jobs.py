@@ -16,7 +16,7 @@ from quern.functions import lexicons as L
 from quern.functions.jsonmeta import field, overlay, parse, serialise, set_default, without
 from quern.functions.lexicon_match import extract_keywords, glossary_hits, glossary_rewrite, infer_audience, infer_domain, infer_urgency
 from quern.functions.pairs import pair_check
-from quern.functions.python_hooks import with_nfkc
+from quern.functions.python_hooks import nfkc, with_nfkc
 from quern.functions.rules import framework_label, gate_reason, notice_score, review_ok, validation
 from quern.functions.text import (
     alnum_boundaries, blank_to_null, clean_text, code_switching, collapse, collapse_punctuation, content_hash, dedup_key, dry_run_target, export_domain, extract_core, extract_text,
@@ -50,7 +50,7 @@ def item_columns(items: DataFrame, rules: SimpleNamespace = RULES) -> DataFrame:
     from quern.functions.html import html_to_text
 
     df = items.withColumn("text", collapse(strip_boilerplate(extract_text("raw_text", html_to_text("raw_html"))))).where("text <> ''")
-    df = with_nfkc(df, "text") if not df.isStreaming else df
+    df = df.withColumn("text", nfkc("text")) if df.isStreaming else with_nfkc(df, "text")  # a union would read a stream twice
     df = df.withColumn("language", F.coalesce(guess_language("text"), F.col("language_default")))
     df = df.withColumn("core", F.when(word_count("text") > 320, extract_core("title", F.col("text"), 340, rules.force)))
     df = df.withColumn("text", F.when(word_count("core") >= 12, F.col("core")).otherwise(F.col("text"))).drop("core")
