@@ -421,7 +421,7 @@ def export_job(spark, sf_dir):
     return ST.count_by(out["quarantined"], "Quarantine_Reason").union(out["added"].agg(F.lit("added").alias("key"), count("n")))
 
 
-@query("process_job")
+@query("process_job", f"SELECT split, g AS Domain, count(*) AS n FROM {_split_sql('(SELECT doc_id::VARCHAR AS pid FROM documents WHERE doc_id % 2 = 0 AND ' + D.strip('text') + ' <> ' + D.q('') + ')', 'pid', D.q('Health'))} GROUP BY 1, 2")
 def process_job(spark, sf_dir):
     """JOB-11: the cleaned sheet by split and domain."""
     from quern.plans.jobs import process_and_split

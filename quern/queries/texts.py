@@ -148,7 +148,14 @@ def marker_language(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", T.language_by_markers("text").alias("lang"), T.notice_score_words("text").cast("long").alias("notice_words"))
 
 
-@query("guessed_language")
+_GUESS = "list_max([" + ", ".join(f"{{'n': len(list_filter(own, lambda w: w IN ({', '.join(map(D.q, ws))}))), 'o': {-i}, 'code': {D.q(code)}}}" for i, (code, ws) in enumerate(T.FUNCTION_WORDS.items())) + "])"
+
+
+@query(
+    "guessed_language",
+    f"""SELECT lang, CASE WHEN words < 5 THEN 'unknown' WHEN best.n > 0 THEN best.code END AS guess, count(*) AS n FROM (SELECT lang, words, {_GUESS} AS best FROM (
+      SELECT lang, {D.wc('substr(text, 1, 2000)')} AS words, regexp_extract_all(lower(substr(text, 1, 2000)), '[\\pL]+') AS own FROM documents)) GROUP BY 1, 2""",
+)
 def guessed_language(spark, sf_dir):
     """TXT-17/18: guesses against the table's languages."""
     return documents(spark, sf_dir).groupBy("lang", T.guess_language("text").alias("guess")).agg(F.count(F.lit(1)).alias("n"))
