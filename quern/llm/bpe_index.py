@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens between white space that a worker remembers; when there are more, it starts again.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Characters of text whose new words are encoded together.
 RUN = 1 << 21
 #: Words longer than this are not remembered.

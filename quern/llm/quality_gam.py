@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,10 +188,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", modulu
     """The documents that score 0.5 or more, with all their columns, in one pass without a shuffle."""
     model = fit_quality(docs, labels, modulus=modulus, remainder=remainder)
 
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        parts = [model.score(text_features(data, offsets)) for _, _, data, offsets in chunks(pa.array(texts, pa.large_string(), from_pandas=True))]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [model.score(text_features(data, offsets)) for _, _, data, offsets in chunks(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.where(score(text_col) >= 0.5)
 
