@@ -37,6 +37,8 @@ LONG_WORD = 64
 #: White space as Unicode's White_Space property has it.
 _WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+_UNASSIGNED = chr(0xFFFF)
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where printable, else from U+0100 on."""
@@ -93,7 +95,12 @@ class PairIndexBpe:
             token = token.lower()
             return [token] if token.isalpha() else self.word.findall(token)
         token = unicodedata.normalize("NFC", token).replace("Σ", "σ")  # lower-casing looks at single letters
-        return self.word.findall(token.lower())
+        token = token.lower()
+        if token.isprintable():
+            return self.word.findall(token)
+        # Code points that Unicode 15.1 doesn't assign are no letters to the tokenizer, though the pattern's library may know later ones.
+        plain = "".join([_UNASSIGNED if unicodedata.category(c) == "Cn" else c for c in token])
+        return [token[m.start() : m.end()] for m in self.word.finditer(plain)]
 
     def _laid_out(self, new: list[str]) -> tuple[list[int], list[int], list[int], list[int]]:
         """Symbols of all words in one row, the places after and before each, and the words' ends."""
@@ -240,7 +247,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     one space, and of the decoded text in UTF-8). Null counts as empty: no ids,
     an empty text. Strings of the special tokens within a text are these tokens,
     as the library has it; decoding joins token strings by spaces, as it does
-    for a file without a decoder. Other columns are ignored.
+    for a file without a decoder. Code points that Unicode 15.1 doesn't assign are
+    cut as no letters; the library knows some 4,400 letters of later versions.
+    Other columns are ignored.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
