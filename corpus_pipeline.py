@@ -18,6 +18,8 @@ from quern.llm.quality_gam import keep_good
 from quern.llm.queries import table, tokenizer_path
 from quern.plans.stage_table import stage_table
 
+#: Similarity of five-word shingles, in percent, from which documents are near duplicates here.
+NEAR_PERCENT = 80
 #: Ids up to which a table of them is broadcast (8 MB).
 SMALL = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     is null can't be told from another by its id and stays.
     """
     docs = docs.select(_columns(docs))
-    gone = stage_table(near_duplicate_classes(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    gone = stage_table(near_duplicate_classes(docs, percent=NEAR_PERCENT).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti")
 
 

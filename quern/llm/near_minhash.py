@@ -8,8 +8,9 @@ of the Jaccard similarity; runs of registers are band keys. Candidates of a
 band are first compared by the maximum-likelihood joint estimate from their
 registers, then by their full shingle sets.
 
-Completeness: 40 bands of 8 registers miss a pair at similarity 0.85 with
-probability 3e-6. In a band every document is compared with the band's most
+Completeness: bands and rows follow from the threshold, so that a pair at it is
+missed with probability 3e-6 at most (at 0.85 by 40 bands of 8 registers, at 0.80
+by 42 of 6). In a band every document is compared with the band's most
 central one; where these links leave a band in several components, its
 documents are compared across components by an exact join on their rarest
 shingles, so no link that would join two classes stays untested, however large
@@ -18,6 +19,7 @@ a band is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,9 @@ from quern.llm.text_bytes import LOWER, chunks, mix, random_words, run_hashes, w
 from quern.plans.stage_table import stage_table
 
 SHINGLE = 5
-BANDS, ROWS = 40, 8
-REGISTERS = BANDS * ROWS
+REGISTERS = 320
+#: Probability that no band holds a pair at the threshold.
+MISS = 3e-6
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: A candidate whose joint estimate lies this far below the threshold is dropped
 #: (more than five standard deviations of the estimate).
@@ -45,6 +48,16 @@ _A = (random_words(REGISTERS, 21) >> np.uint64(32)).astype(np.uint32) | np.uint3
 _B = (random_words(REGISTERS, 22) >> np.uint64(32)).astype(np.uint32)
 
 
+def bands_and_rows(percent: int) -> tuple[int, int]:
+    """As many registers a band as leave a pair at ``percent`` missed with probability ``MISS`` at most."""
+    for rows in range(REGISTERS, 0, -1):
+        alike = (percent / 100) ** rows
+        bands = math.ceil(math.log(MISS) / math.log1p(-alike)) if alike < 1 else 1
+        if bands * rows <= REGISTERS:
+            return bands, rows
+    return REGISTERS, 1
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; shorter rows give one hash, empty ones none."""
     data = LOWER[data]
@@ -232,7 +245,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     classes = sketches.where("regs is not null and id is not null").groupBy("key_hi", "key_lo", "n_shingles").agg(F.min("id").alias("rep"))
     classes = stage_table(classes, "classes")
     reps = sketches.where("regs is not null").join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * 2 * ROWS + 1, F.lit(2 * ROWS))))
+    n_bands, n_rows = bands_and_rows(percent)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * 2 * n_rows + 1, F.lit(2 * n_rows))))
     rows = stage_table(reps.select(F.col("id").alias("node"), F.explode(bands).alias("band")), "bands")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     members = stage_table(rows.join(shared.select("band", "size").hint("merge"), "band"), "members")

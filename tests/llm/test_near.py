@@ -69,6 +69,31 @@ def test_remaining_links_are_complete(spark):
     assert got == {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
 
 
+def test_bands_follow_the_threshold():
+    assert N.bands_and_rows(85) == (40, 8)
+    for percent in (50, 70, 80, 90, 99, 100):
+        bands, rows = N.bands_and_rows(percent)
+        assert bands * rows <= N.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= 3e-6
+
+
+def test_pipeline_stage_at_similarity_080(spark):
+    """Pairs from 0.80 to below 0.85 go, pairs right below 0.80 stay."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        base = [f"w{i}.{k}" for k in range(int(rng.integers(60, 160)))]
+        shingles = len(base) - 4
+        lost = int(shingles * rng.uniform(0.08, 0.13))  # shingles that the copy's end lacks
+        edited = [*base[: len(base) - lost], *(f"e{i}.{k}" for k in range(lost))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+    found = {p: {i for i, (_, c) in brute.near_classes(rows, p).items() if i == c} for p in (80, 85)}
+    assert 60 < len(found[80]) < len(found[85])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == found[80]
+
+
 def test_joint_estimate():
     rng = np.random.default_rng(5)
     for j in (0.5, 0.85, 0.95):
