@@ -140,8 +140,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
     """Rows with ``*keep, text, base, all``: spans (start, place, end, kind, value) in order.
 
     ``base`` holds the patterns' valid matches, ``all`` also kinds ``general``
-    and ``removed`` of disclosing terms outside of base spans. Null counts as
-    empty and has no span. Equal texts are treated alike, repeated rows stay;
+    and ``removed`` of disclosing terms outside of base spans, in every text that
+    has the term, whether or not it prints the entity. Null counts as empty and has no span. Equal texts are treated alike, repeated rows stay;
     only ``keep`` of the other columns is returned.
     """
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -149,16 +149,15 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
     with_base = found.where(F.size("base") > 0).withColumn("node", F.md5(F.col("text").cast("binary")))
     near = stage_table(_surroundings(with_base), "near")
     shown = stage_table(disclosing_terms(rows.select("text"), near), "shown")
-    # The strongest claim on each term of a document decides.
-    of_doc = near.select("node", "entity", "term").distinct().join(shown, ["entity", "term"]).groupBy("node", "term").agg(F.max("share").alias("share"))
-    of_doc = of_doc.groupBy("node").agg(F.collect_list(F.when(F.col("share") < REMOVE, F.col("term"))).alias("general_t"), F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("removed_t"))
-    of_doc = stage_table(of_doc.withColumnRenamed("node", "node_"), "terms")
-    names = [*[F.col(f"keep_{c}").alias(c) for c in keep], "text", "base"]
-    if of_doc.count() <= SMALL:
-        node = F.when(F.size("base") > 0, F.md5(F.col("text").cast("binary")))
-        return _with_terms(found.withColumn("node", node).join(F.broadcast(of_doc), F.col("node") == F.col("node_"), "left")).select(*names, "all")
-    plain = found.where(F.size("base") == 0).select(*names, F.col("base").alias("all"))
-    return _with_terms(with_base.join(of_doc, F.col("node") == F.col("node_"), "left")).select(*names, "all").unionByName(plain)
+    # A term gives its entity away wherever it stands; the strongest claim on it decides.
+    strongest = stage_table(shown.groupBy("term").agg(F.max("share").alias("share")), "strongest")
+    texts = rows.where("text <> ''").select("text").distinct().select(F.md5(F.col("text").cast("binary")).alias("node_"), F.explode(_terms(F.col("text"))).alias("term"))
+    of_doc = texts.join(F.broadcast(strongest) if strongest.count() <= SMALL else strongest, "term")
+    of_doc = of_doc.groupBy("node_").agg(F.collect_list(F.when(F.col("share") < REMOVE, F.col("term"))).alias("general_t"), F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("removed_t"))
+    of_doc = stage_table(of_doc, "terms")
+    placed = found.withColumn("node", F.md5(F.col("text").cast("binary")))
+    joined = placed.join(F.broadcast(of_doc) if of_doc.count() <= SMALL else of_doc, F.col("node") == F.col("node_"), "left")
+    return _with_terms(joined).select(*[F.col(f"keep_{c}").alias(c) for c in keep], "text", "base", "all")
 
 
 def _with_terms(df: DataFrame) -> DataFrame:

@@ -119,6 +119,19 @@ def test_terms_that_reveal_an_entity(spark):
     assert "Zorblat" not in clean[0] and "[EMAIL]" in clean[0] and "boss" not in clean[0] and clean[7] == dict(rows)[7]
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    """Also far from the entity, in texts that don't print it, and in texts without any base span."""
+    rng = np.random.default_rng(2)
+    filler = lambda k: " ".join(f"com{j}x" for j in rng.integers(0, 20, k))
+    rows = [(i, f"{filler(8)} Zorblat {filler(2)} boss@corp.example {filler(30)}") for i in range(30)] + [(100 + i, filler(40)) for i in range(300)]
+    rows += [(500, f"{filler(9)} ZORBLAT {filler(9)}"), (501, "Zorblat alone, and z@x.y"), (502, f"boss@corp.example {filler(40)} zorblat"), (503, "Zorblats stay")]
+    found = I.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    terms = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["all"] if s["kind"] in ("general", "removed")] for r in found.collect()}
+    assert {i: t for i, t in terms.items() if t} == {i: ["Zorblat"] for i in range(30)} | {500: ["ZORBLAT"], 501: ["Zorblat"], 502: ["zorblat"]}
+    clean = {r["doc_id"]: r["text"] for r in I.sanitise(found).collect()}
+    assert all("zorblat" not in clean[i].lower() for i in (0, 500, 501, 502)) and clean[503] == "Zorblats stay"
+
+
 def test_copies_prove_nothing(spark):
     rows = [(i, "quorzle thentary boss@corp.example vinter") for i in range(50)] + [(100 + i, "other words fill this") for i in range(50)]
     assert all(len(r["all"]) == len(r["base"]) for r in I.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
