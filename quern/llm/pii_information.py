@@ -2,12 +2,14 @@
 
 Method: base patterns find protected entities. How strongly a term discloses an
 entity is the pointwise mutual information of the two, estimated from the
-corpus: how many of the term's occurrences lie near the entity, against the
+corpus: in how many of the term's texts it stands near the entity, against the
 share of all words that do. A term that carries at least ``GENERALISE`` of the
 entity's information content is replaced by a general word, one that carries
-``REMOVE`` of it is removed (after Sanchez & Batet's C-sanitized). Terms count
-only if they met the entity in ``CONTEXTS`` different surroundings, so copies
-of one passage prove nothing.
+``REMOVE`` of it is removed (after Sanchez & Batet's C-sanitized). Each text
+counts once, so copies of it prove nothing. A term counts if the lower confidence
+bound of its share of texts carries that much; how much it carries is told by the
+share smoothed by ``DOUBT`` texts. So an entity of a single text is protected, but
+a common word that met it once is not taken for a disclosure.
 
 DataFrame functions only. Positions come from the pieces between matches, as no
 function returns them. Patterns use possessive repeats, so that no text makes
@@ -23,7 +25,10 @@ from quern.plans.stage_table import stage_table
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 64
-CONTEXTS = 3
+#: Texts without the entity that each term is taken to have besides its own.
+DOUBT = 0.5
+#: Normal quantile of the one-sided 95 % bound (Wilson's).
+BOUND = 1.645
 GENERALISE, REMOVE = 0.85, 0.95
 #: Rows up to which a table is broadcast; beyond, it is joined by a shuffle.
 SMALL = 100_000
@@ -110,7 +115,7 @@ def _terms(text: Column) -> Column:
 
 
 def _surroundings(found: DataFrame) -> DataFrame:
-    """(node, entity, around, term) of every word near a base span; words cut by the reach are left out."""
+    """(node, entity, term) of every word near a base span; words cut by the reach are left out."""
     spans = found.select("node", "text", F.explode("base").alias("s"))
     entity = F.concat(F.col("s.kind"), F.lit(":"), F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9]", "")))
     low = F.greatest(F.col("s.start") - REACH, F.lit(0))
@@ -118,22 +123,26 @@ def _surroundings(found: DataFrame) -> DataFrame:
     left = F.when(low > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
     right = F.regexp_replace(F.substring("text", F.col("s.end") + 1, F.lit(REACH)), r"[\p{L}\p{N}]+$", "")
     around = F.concat(left, F.lit(" "), right)
-    return spans.select("node", entity.alias("entity"), around.alias("around")).select("node", "entity", F.xxhash64("around").alias("around"), F.explode(_terms(F.col("around"))).alias("term"))
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """``(entity, term, share)``: terms that carry at least ``GENERALISE`` of an entity's information."""
-    by_place = near.groupBy("entity", "term", "around").agg(F.count(F.lit(1)).alias("n"))
-    by_pair = by_place.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count(F.lit(1)).alias("contexts"))
-    by_pair = stage_table(by_pair.where(F.col("contexts") >= CONTEXTS), "pairs")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    total = docs.agg(F.sum(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
-    used = docs.select(F.explode(F.split(F.lower(text), _WORD_BREAK)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
-    sizes = by_place.groupBy("entity").agg(F.sum("n").alias("words"))
+    return spans.select("node", entity.alias("entity"), F.explode(_terms(around)).alias("term"))
+
+
+def disclosing_terms(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """``(entity, term, share)``: terms that carry at least ``GENERALISE`` of an entity's information.
+
+    ``texts(words, terms)`` are the different texts, ``near(node, entity,
+    term)`` the terms near each entity, once a text.
+    """
+    by_pair = stage_table(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")), "pairs")
+    total = texts.agg(F.sum("words")).first()[0] or 0
+    used = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+    sizes = by_pair.groupBy("entity").agg(F.sum("joint").alias("words"))
     content = -F.log2(F.least(F.col("words") / F.lit(float(max(total, 2))), F.lit(0.5)))
-    chance = F.least(F.col("joint") / F.col("uses"), F.lit(1.0))
-    share = (F.log2(chance) + content) / content
-    return by_pair.join(used, "term").join(sizes, "entity").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    n, z2 = F.greatest("uses", "joint"), BOUND**2
+    p = F.col("joint") / n
+    least = (p + z2 / 2 / n - BOUND * F.sqrt(p * (1 - p) / n + z2 / 4 / n / n)) / (1 + z2 / n)
+    share = lambda chance: (F.log2(chance) + content) / content
+    both = by_pair.join(used, "term").join(sizes, "entity").select("entity", "term", share(least).alias("least"), share(F.col("joint") / (n + DOUBT)).alias("share"))
+    return both.where(F.least("least", "share") >= GENERALISE).drop("least")
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -141,18 +150,21 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
 
     ``base`` holds the patterns' valid matches, ``all`` also kinds ``general``
     and ``removed`` of disclosing terms outside of base spans, in every text that
-    has the term, whether or not it prints the entity. Null counts as empty and has no span. Equal texts are treated alike, repeated rows stay;
-    only ``keep`` of the other columns is returned.
+    has the term, whether or not it prints the entity. Null counts as empty and
+    has no span. Equal texts are treated alike, repeated rows stay; only ``keep``
+    of the other columns is returned.
     """
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = base_spans(rows).withColumn("base", _all_spans(KINDS))
     with_base = found.where(F.size("base") > 0).withColumn("node", F.md5(F.col("text").cast("binary")))
-    near = stage_table(_surroundings(with_base), "near")
-    shown = stage_table(disclosing_terms(rows.select("text"), near), "shown")
+    near = stage_table(_surroundings(with_base).distinct(), "near")
+    texts = rows.where("text <> ''").select("text").distinct()
+    texts = texts.select(F.md5(F.col("text").cast("binary")).alias("node_"), F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).alias("words"), _terms(F.col("text")).alias("terms"))
+    texts = stage_table(texts, "texts")
+    shown = stage_table(disclosing_terms(texts, near), "shown")
     # A term gives its entity away wherever it stands; the strongest claim on it decides.
     strongest = stage_table(shown.groupBy("term").agg(F.max("share").alias("share")), "strongest")
-    texts = rows.where("text <> ''").select("text").distinct().select(F.md5(F.col("text").cast("binary")).alias("node_"), F.explode(_terms(F.col("text"))).alias("term"))
-    of_doc = texts.join(F.broadcast(strongest) if strongest.count() <= SMALL else strongest, "term")
+    of_doc = texts.select("node_", F.explode("terms").alias("term")).join(F.broadcast(strongest) if strongest.count() <= SMALL else strongest, "term")
     of_doc = of_doc.groupBy("node_").agg(F.collect_list(F.when(F.col("share") < REMOVE, F.col("term"))).alias("general_t"), F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("removed_t"))
     of_doc = stage_table(of_doc, "terms")
     placed = found.withColumn("node", F.md5(F.col("text").cast("binary")))

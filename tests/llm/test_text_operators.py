@@ -124,7 +124,7 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     rng = np.random.default_rng(2)
     filler = lambda k: " ".join(f"com{j}x" for j in rng.integers(0, 20, k))
     rows = [(i, f"{filler(8)} Zorblat {filler(2)} boss@corp.example {filler(30)}") for i in range(30)] + [(100 + i, filler(40)) for i in range(300)]
-    rows += [(500, f"{filler(9)} ZORBLAT {filler(9)}"), (501, "Zorblat alone, and z@x.y"), (502, f"boss@corp.example {filler(40)} zorblat"), (503, "Zorblats stay")]
+    rows += [(500, f"{filler(9)} ZORBLAT {filler(9)}"), (501, f"Zorblat {filler(2)}, {filler(1)} z@x.y"), (502, f"boss@corp.example {filler(40)} zorblat"), (503, "Zorblats stay")]
     found = I.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
     terms = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["all"] if s["kind"] in ("general", "removed")] for r in found.collect()}
     assert {i: t for i, t in terms.items() if t} == {i: ["Zorblat"] for i in range(30)} | {500: ["ZORBLAT"], 501: ["Zorblat"], 502: ["zorblat"]}
@@ -132,6 +132,21 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     assert all("zorblat" not in clean[i].lower() for i in (0, 500, 501, 502)) and clean[503] == "Zorblats stay"
 
 
+def test_terms_of_an_entity_in_a_single_text(spark):
+    """One text holds the address and the name beside it; a word of five other texts that stands there too is no disclosure."""
+    rng = np.random.default_rng(2)
+    filler = lambda k: " ".join(f"com{j}x" for j in rng.integers(0, 20, k))
+    rows = [(0, f"{filler(6)} Zorblat seldom {filler(1)} boss@corp.example {filler(8)}")] + [(1 + i, f"{filler(40)} {'seldom' if i < 5 else ''}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["all"]] for r in I.find_personal_data(df).collect()}
+    assert [v for _, v in got.pop(0)] == ["Zorblat", "boss@corp.example"]
+    assert not any(got.values())
+    # Copies add nothing to what a term is known to disclose.
+    copies = spark.createDataFrame(rows + rows[:1] * 40 + rows[5:6] * 40, "doc_id long, text string")
+    again = {(r["doc_id"], *((s["kind"], s["start"]) for s in r["all"])) for r in I.find_personal_data(copies).collect()}
+    assert again == {(r["doc_id"], *((s["kind"], s["start"]) for s in r["all"])) for r in I.find_personal_data(df).collect()}
+
+
 def test_copies_prove_nothing(spark):
     rows = [(i, "quorzle thentary boss@corp.example vinter") for i in range(50)] + [(100 + i, "other words fill this") for i in range(50)]
     assert all(len(r["all"]) == len(r["base"]) for r in I.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
