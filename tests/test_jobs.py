@@ -171,3 +171,11 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
     events = spark.createDataFrame([("2026-01-01 00:10:00", "a", 1.0), ("2026-01-01 00:50:00", "a", 2.0), ("2026-01-01 01:10:00", "a", 4.0)], "t string, event_type string, value double").select(F.to_timestamp("t").alias("ts"), "event_type", "value")
     assert [(r["n"], r["total"]) for r in log_windows(events).orderBy("start").collect()] == [(2, 3.0), (1, 4.0)]
+
+
+def test_export_job_judges_every_text(spark, sf):
+    from quern.queries.corpus import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {" ".join(r["text"].lower().split()) for r in docs.select("text").collect()}
+    assert sum(r["n"] for r in QUERIES["export_job"](spark, sf).collect()) == len(texts - {""})
