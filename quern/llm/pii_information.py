@@ -12,8 +12,9 @@ share smoothed by ``DOUBT`` texts. So an entity of a single text is protected, b
 a common word that met it once is not taken for a disclosure.
 
 DataFrame functions only. Positions come from the pieces between matches, as no
-function returns them. Patterns use possessive repeats, so that no text makes
-them backtrack or recurse.
+function returns them, by running sums in blocks. Patterns use possessive
+repeats, so that no text makes them backtrack or recurse. A text of n characters
+with m spans or words takes some n + m^1.5 steps in one task.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import let
 from quern.plans.stage_table import stage_table
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 64
+CHUNK = 1024
 #: Texts without the entity that each term is taken to have besides its own.
 DOUBT = 0.5
 #: Normal quantile of the one-sided 95 % bound (Wilson's).
@@ -43,6 +46,8 @@ PATTERNS = {
 }
 #: A cheap look at whether a kind can be there at all.
 _HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+#: Noncharacters that stand for what base spans cover.
+_WORDLIKE, _OTHER = "\ufffe", "\uffff"
 _WORD_BREAK = r"[^\p{L}\p{N}]+"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -69,16 +74,54 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(df: DataFrame, pattern: Column, out: str, guard: Column) -> DataFrame:
-    """Adds ``out``: start, end (code points, exclusive) and value of each leftmost match in ``text``."""
-    none = F.array().cast("array<string>")
-    df = df.withColumn("m_", F.when(guard, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(none))
-    df = df.withColumn("p_", F.when(F.size("m_") > 0, F.split("text", pattern, -1)).otherwise(none))
-    lengths = F.transform("m_", lambda m, i: F.length(m) + F.length(F.get("p_", i)))
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    df = df.withColumn("e_", ends)
-    spans = F.transform("m_", lambda m, i: F.struct((F.get("e_", i + 1) - F.length(m)).alias("start"), F.get("e_", i + 1).alias("end"), m.alias("value")))
-    return df.withColumn(out, spans.cast(_SPAN)).drop("m_", "p_", "e_")
+def _running(values: Column, join, first: Column) -> Column:
+    """Array of ``first`` and of what ``join`` makes of it and each value in turn.
+
+    By blocks of as many values as there are blocks: an array that grows by one
+    value at a time is copied each time, which for n values in one go costs n^2.
+    """
+
+    def grown(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+    def joined(xs: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), wide)).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(starts, lambda at: grown(F.slice(xs, at, wide)))
+        whole = lambda bs, before: F.flatten(F.transform(bs, lambda b, j: F.transform(F.slice(b, 2, wide), lambda x: join(F.get(before, j), x))))
+        return let(blocks, lambda bs: let(grown(F.transform(bs, lambda b: F.element_at(b, -1))), lambda before: F.concat(F.array(first), whole(bs, before))))
+
+    return let(values, joined)
+
+
+def _found(text: Column, pattern: str, guard: Column) -> Column:
+    """Start, end (code points, exclusive) and value of each leftmost match; none where the guard says so."""
+
+    def spans(matches: Column, pieces: Column) -> Column:
+        lengths = F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(pieces, i)))
+        struct = lambda ends: lambda m, i: F.struct((F.get(ends, i + 1) - F.length(m)).alias("start"), F.get(ends, i + 1).alias("end"), m.alias("value"))
+        return let(_running(lengths, lambda a, b: a + b, F.lit(0)), lambda ends: F.transform(matches, struct(ends)))
+
+    pattern = F.lit(pattern)
+    found = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda p: spans(m, p))))
+    return F.coalesce(F.when(guard, found), F.array()).cast(_SPAN)
+
+
+def _chunks(text: Column) -> Column:
+    """A text in parts of ``CHUNK`` code points: a part of a long text is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, empty where that is not after ``start``."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    part = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substring(part, start - first * CHUNK + 1, end - start)).otherwise("")
+
+
+def _tops(spans: Column) -> Column:
+    """The largest end of all spans before each one, and of all."""
+    return _running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
 
 
 def _only(spans: str, kind: str) -> Column:
@@ -95,8 +138,9 @@ def _number(kind: str) -> Column:
 
 def base_spans(df: DataFrame) -> DataFrame:
     """Adds an array ``<kind>_`` of valid spans for each kind to rows with ``text``."""
+    text = F.col("text")
     for kind in KINDS:
-        df = _matches(df, F.lit(PATTERNS[kind]), f"{kind}_", F.col("text").rlike(_HINTS[kind]))
+        df = df.withColumn(f"{kind}_", _found(text, PATTERNS[kind], text.rlike(_HINTS[kind])))
         df = df.withColumn(f"{kind}_", _only(f"{kind}_", kind))
     return df
 
@@ -116,14 +160,19 @@ def _terms(text: Column) -> Column:
 
 def _surroundings(found: DataFrame) -> DataFrame:
     """(node, entity, term) of every word near a base span; words cut by the reach are left out."""
-    spans = found.select("node", "text", F.explode("base").alias("s"))
-    entity = F.concat(F.col("s.kind"), F.lit(":"), F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9]", "")))
-    low = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    left = F.substring("text", low + 1, F.col("s.start") - low)
-    left = F.when(low > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.regexp_replace(F.substring("text", F.col("s.end") + 1, F.lit(REACH)), r"[\p{L}\p{N}]+$", "")
-    around = F.concat(left, F.lit(" "), right)
-    return spans.select("node", entity.alias("entity"), F.explode(_terms(around)).alias("term"))
+
+    def of_span(chunks: Column, s: Column) -> Column:
+        value = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
+        low = F.greatest(s["start"] - REACH, F.lit(0))
+        left = _between(chunks, low, s["start"])
+        left = F.when(low > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
+        right = F.regexp_replace(_between(chunks, s["end"], s["end"] + REACH), r"[\p{L}\p{N}]+$", "")
+        return F.struct(F.concat(s["kind"], F.lit(":"), value).alias("entity"), _terms(F.concat(left, F.lit(" "), right)).alias("terms"))
+
+    # What a span's row needs is worked out before the spans part, so that they don't each take the text along.
+    near = let(_chunks(F.col("text")), lambda chunks: F.transform("base", lambda s: of_span(chunks, s)))
+    spans = found.select("node", near.alias("near")).select("node", F.explode("near").alias("s"))
+    return spans.select("node", F.col("s.entity").alias("entity"), F.explode("s.terms").alias("term"))
 
 
 def disclosing_terms(texts: DataFrame, near: DataFrame) -> DataFrame:
@@ -172,14 +221,27 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
     return _with_terms(joined).select(*[F.col(f"keep_{c}").alias(c) for c in keep], "text", "base", "all")
 
 
+def _masked(text: Column, base: Column) -> Column:
+    """A text of the same length with base spans blotted out: letters and digits by one noncharacter, the rest by another."""
+    blot = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\p{L}\p{N}]", _WORDLIKE), f"[^{_WORDLIKE}]", _OTHER)
+
+    def whole(chunks: Column, tops: Column) -> Column:
+        piece = lambda s, i: F.concat(_between(chunks, F.get(tops, i), s["start"]), blot(_between(chunks, F.greatest(F.get(tops, i), s["start"]), s["end"])))
+        return F.concat(F.array_join(F.transform(base, piece), ""), _between(chunks, F.element_at(tops, -1), F.length(text)))
+
+    return F.when(F.size(base) > 0, let(_chunks(text), lambda c: let(_tops(base), lambda t: whole(c, t)))).otherwise(text)
+
+
 def _with_terms(df: DataFrame) -> DataFrame:
     """Adds ``all``: base spans, and those of a document's ``general_t`` and ``removed_t`` outside of them."""
-    for kind in ("general", "removed"):
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort(f"{kind}_t"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        df = df.withColumn("pattern_", F.when(F.size(f"{kind}_t") > 0, pattern).otherwise(F.lit("(?!)")))
-        df = _matches(df, F.col("pattern_"), f"{kind}_", F.coalesce(F.size(f"{kind}_t") > 0, F.lit(False)))
-        df = df.withColumn(f"{kind}_", F.filter(f"{kind}_", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    return df.withColumn("all", _all_spans((*KINDS, "general", "removed")))
+    kinds = ("general", "removed")
+    some = F.coalesce(F.size("general_t") + F.size("removed_t") > 0, F.lit(False))
+    df = df.withColumn("masked_", F.when(some, _masked(F.col("text"), F.col("base"))))
+    # A run of letters that reaches into a base span holds a blot and so is no term.
+    df = df.withColumn("words_", _found(F.col("masked_"), rf"[\p{{L}}\p{{N}}{_WORDLIKE}]+", some))
+    for kind in kinds:
+        df = df.withColumn(f"{kind}_", F.when(some, F.filter("words_", lambda s: F.array_contains(f"{kind}_t", F.lower(s["value"])))).otherwise(F.array().cast(_SPAN)))  # noqa: B023
+    return df.withColumn("all", _all_spans((*KINDS, *kinds)))
 
 
 def sanitise(found: DataFrame, text_col: str = "text") -> DataFrame:
@@ -188,13 +250,14 @@ def sanitise(found: DataFrame, text_col: str = "text") -> DataFrame:
     Of overlapping spans the first to start names the replacement of their
     union. Rows without a span keep their text.
     """
-    tops = F.aggregate("all", F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s["end"]))))
-    df = found.withColumn("tops_", tops)
     word = lambda s: F.when(s["kind"] == "removed", "").when(s["kind"] == "general", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    piece = lambda s, i: F.when(s["start"] >= F.get("tops_", i), F.concat(F.substring("text", F.get("tops_", i) + 1, s["start"] - F.get("tops_", i)), word(s))).otherwise("")
-    rest = F.substring("text", F.element_at("tops_", -1) + 1, F.length("text"))
-    new = F.when(F.size("all") > 0, F.concat(F.array_join(F.transform("all", piece), ""), rest)).otherwise(F.col("text"))
-    return df.withColumn("text", new).drop("tops_")
+
+    def whole(chunks: Column, tops: Column) -> Column:
+        piece = lambda s, i: F.when(s["start"] >= F.get(tops, i), F.concat(_between(chunks, F.get(tops, i), s["start"]), word(s))).otherwise("")
+        return F.concat(F.array_join(F.transform("all", piece), ""), _between(chunks, F.element_at(tops, -1), F.length("text")))
+
+    new = let(_chunks(F.col("text")), lambda c: let(_tops(F.col("all")), lambda t: whole(c, t)))
+    return found.withColumn("text", F.when(F.size("all") > 0, new).otherwise(F.col("text")))
 
 
 def personal_data_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
