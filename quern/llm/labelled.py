@@ -19,7 +19,9 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
 
     Of several labels of an id the mean decides, 0.5 counting as 1; null ids and
     labels are ignored. The chosen ids number ``most`` at the most and hold a
-    long and a byte each, so they are broadcast; the documents stay in place.
+    long and a byte each, so they are broadcast; the other documents stay in
+    place. An id counts once however many rows have it: of several texts the one
+    with the least hash.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder))
@@ -28,7 +30,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
         .orderBy(F.xxhash64("id_"), "id_")
         .limit(most)
     )
-    return docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id_").select("text", "y")
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id_")
+    return rows.groupBy("id_", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")).select("first.text", "y")
 
 
 def scored(docs: DataFrame, score, modulus: int, remainder: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

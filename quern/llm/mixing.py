@@ -88,16 +88,19 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Only sizes and keys are shuffled. What they decide is one cut in the order
     of the keys for each source, by which the documents are judged in place;
     equal rows at a cut share its side. Cuts of up to ``SMALL`` sources are
-    broadcast, more are joined by a shuffle.
+    broadcast, more are joined by a shuffle. Null, empty and blank texts are never
+    taken, an empty table gives an empty one, a very long text costs its hash and
+    its words once; whatever the columns are called, none is touched.
     """
     cuts = _placed(_sized(docs, id_col, text_col, source_col)).groupBy("none_", F.col("source").alias("source_")).agg(F.first("whole").alias("whole_"), F.max(F.when(F.col("cut"), F.col("key"))).alias("cut_"))
     cuts = stage_table(cuts.withColumnRenamed("none_", "none_of_"), "cuts")
     few = cuts.count() <= SMALL
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = hash_key(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary")))
-    own = docs.withColumn("key_", key)
-    same = (F.col(source_col).isNull() == F.col("none_of_")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("source_"))
-    out = own.join(F.broadcast(cuts) if few else cuts, same)
-    times = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.col("whole_") + F.coalesce(F.col("key_") <= F.col("cut_"), F.lit(False)).cast("long")).otherwise(F.lit(0))
-    out = out.withColumn("times_", times.cast("int")).where("times_ > 0")
-    return out.withColumn("epoch_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(docs.columns)
+    # The documents' own columns go as one, so no name of theirs meets one of these.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    own = docs.select(whole, key.alias("key"), F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    out = own.join(F.broadcast(cuts) if few else cuts, (F.col("none") == F.col("none_of_")) & (F.col("source") == F.col("source_")))
+    times = F.when(F.col("words"), F.col("whole_") + F.coalesce(F.col("key") <= F.col("cut_"), F.lit(False)).cast("long")).otherwise(F.lit(0))
+    out = out.withColumn("times", times.cast("int")).where("times > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

@@ -26,6 +26,8 @@ RATE = 8000
 #: Bytes of an ADPCM block: 4 of header, two samples in each other.
 BLOCK = 64
 UNIT = 64
+#: Rates that are taken for real; others would blow a file up.
+LEAST_RATE, MOST_RATE = 1000, 384_000
 
 
 def mu_law_table() -> np.ndarray:
@@ -120,14 +122,16 @@ def wave_file(data: bytes, tag: int, rate: int = RATE, bits: int = 8, block: int
 
 
 def read_wave(media: bytes) -> tuple[int, int, int, bytes]:
-    """Format tag, rate, block size and stored samples of a WAVE file; ValueError if it is none."""
+    """Format tag, rate, block size and stored samples of a mono WAVE file; ValueError if it is none or has no real rate."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, form = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
-            tag, _, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            tag, channels, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            if channels != 1 or not LEAST_RATE <= rate <= MOST_RATE:
+                raise ValueError(f"{channels} channels at a rate of {rate}")
             form = tag, rate, block
         elif name == b"data" and form:
             return *form, media[at + 8 : at + 8 + size]
@@ -142,19 +146,22 @@ def expand(tag: int, block: int, data: bytes) -> np.ndarray:
         return MU[raw]
     if tag == A_LAW:
         return A[raw]
-    if tag == IMA_ADPCM:
+    if tag == IMA_ADPCM and block > 4:
         return decode_adpcm(raw[: len(raw) // block * block].reshape(-1, block)).ravel()
-    if tag == PCM:
+    if tag == PCM and block in (1, 2):
         return raw.view("<i2").astype(np.int16) if block == 2 else ((raw.astype(np.int16) - 128) << 8)
-    raise ValueError(f"unknown format {tag}")
+    raise ValueError(f"unknown format {tag} in blocks of {block}")
 
 
 def to_pcm(media: DataFrame, media_col: str = "media", rate: int = 2 * RATE) -> DataFrame:
     """Adds ``pcm``, the telephony files of ``media_col`` as 16-bit PCM WAVE files at ``rate``.
 
-    Null stays null, and what is no WAVE file of a known format gives null;
-    a file without samples gives one without samples. Other columns stay, an
-    older ``pcm`` column is replaced.
+    Null stays null, and what is no mono WAVE file of a known format gives null,
+    as do a block size or a rate that can't be; a file without samples gives one
+    without samples, an unfinished block at the end is left out. Repeated rows
+    are converted alike, an empty table stays empty. A file and its PCM, some
+    eight times its size, are held in memory one at a time. Other columns stay,
+    an older ``pcm`` column is replaced.
     """
 
     @F.pandas_udf("binary")
@@ -171,51 +178,82 @@ def to_pcm(media: DataFrame, media_col: str = "media", rate: int = 2 * RATE) ->
     return media.withColumn("pcm", convert(media_col))
 
 
-def _features(payloads: list[bytes]) -> list[str]:
-    """Loudness and zero crossings by each decoder, and a checksum of the resampled PCM."""
+def _features(payloads: list[bytes], pcms: list[bytes]) -> list[str]:
+    """Loudness and zero crossings by each decoder, and length and checksum of the resampled PCM."""
     flat = np.frombuffer(b"".join(payloads), np.uint8)
     ends = np.cumsum([len(p) for p in payloads])
     adpcm = np.split(decode_adpcm(flat.reshape(-1, BLOCK)), ends[:-1] // BLOCK)
     out = []
-    for p, x in zip(payloads, adpcm, strict=True):
+    for p, x, pcm in zip(payloads, adpcm, pcms, strict=True):
         raw = np.frombuffer(p, np.uint8)
         mu, a = MU[raw], A[raw]
         level = [int(np.sqrt(np.mean(np.square(s, dtype=np.float64)))) for s in (mu, a, x)]
         crossings = int(np.count_nonzero((mu[1:] < 0) != (mu[:-1] < 0)))
-        pcm = resample(mu, RATE, 2 * RATE)
-        out.append(f"mu_rms={level[0]};a_rms={level[1]};adpcm_rms={level[2]};crossings={crossings};pcm16k_samples={len(pcm)};pcm16k_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}")
+        out.append(f"mu_rms={level[0]};a_rms={level[1]};adpcm_rms={level[2]};crossings={crossings};pcm16k_samples={len(pcm) // 2};pcm16k_crc32={zlib.crc32(pcm)}")
     return out
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stored(texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Texts, filled up to whole units, as mu-law files, and these resampled as PCM files."""
+    media = [wave_file(t + b"\0" * (max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t)), MU_LAW) for t in texts]
+    pcm = [wave_file(resample(expand(tag, block, data), rate, 2 * RATE).astype("<i2").tobytes(), PCM, 2 * RATE, 16, 2) for tag, rate, block, data in map(read_wave, media)]
+    return media, pcm
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids and texts in UTF-8, about a megabyte at a time."""
     for batch in batches:
         for first, end, data, offsets in chunks(batch.column(1)):
             whole = data.tobytes()
-            sizes = np.diff(offsets)
-            media = [wave_file(t + b"\0" * (max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t)), MU_LAW) for t in (whole[offsets[i] : offsets[i + 1]] for i in range(end - first))]
-            payloads = [read_wave(m)[3] for m in media]
-            columns = [
-                batch.column(0).slice(first, end - first),
-                pa.array(sizes, pa.int64()),
-                pa.array([len(p) for p in payloads], pa.int64()),
-                pa.array([sha256(p).hexdigest() for p in payloads]),
-                pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()),
-                pa.array([len(m) for m in media], pa.int64()),
-                pa.array([sha256(m).hexdigest() for m in media]),
-                pa.array(_features(payloads)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield batch.column(0).slice(first, end - first), [whole[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in _texts(batches):
+        media, pcm = _stored(texts)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], ["id", "media", "pcm"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in _texts(batches):
+        media, pcm = _stored(texts)
+        payloads = [read_wave(m)[3] for m in media]
+        columns = [
+            ids,
+            pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([len(p) for p in payloads], pa.int64()),
+            pa.array([sha256(p).hexdigest() for p in payloads]),
+            pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()),
+            pa.array([len(m) for m in media], pa.int64()),
+            pa.array([sha256(m).hexdigest() for m in media]),
+            pa.array(_features(payloads, [read_wave(m)[3] for m in pcm])),
+            pa.array([len(m) for m in pcm], pa.int64()),
+            pa.array([sha256(m).hexdigest() for m in pcm]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"])
+
+
+def media_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, media, pcm``: every whole text as a mu-law WAVE file, and that resampled to 16-bit PCM as another.
+
+    Texts are stored and odd rows treated as by :func:`text_media`.
+    """
+    return _of_texts(docs, id_col, text_col, _files, "media binary, pcm binary")
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every whole text as a mu-law WAVE file, read back and measured.
+    """Every whole text as a mu-law WAVE file, read back and measured, and what its resampled PCM file is.
 
     The UTF-8 bytes, filled up with bytes 0 to a positive multiple of 64, are
     stored as mu-law samples. Null counts as empty: one unit of zeros. Equal
-    texts have equal values. Other columns are ignored.
+    texts have equal values, so repeated rows are measured alike; an empty table
+    gives an empty one, a null id stays null. A very long text takes some 30
+    times its size of memory by itself. Other columns are ignored.
     """
+    figures = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+    return _of_texts(docs, id_col, text_col, _digests, figures)
+
+
+def _of_texts(docs: DataFrame, id_col: str, text_col: str, run, columns: str) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _digests, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
-    return out.withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 #: Columns whose names clash with those the operators use inside.
-EXTRA = ["id", "key", "size", "band", "node", "rep", "bucket_", "shard", "held_out", "label", "vector", "group_"]
+EXTRA = ["id", "key", "size", "band", "node", "rep", "bucket_", "shard", "held_out", "label", "vector", "group_", "source_", "whole_", "times_", "times", "cut_", "key_", "none_of_", "none", "doc", "words", "part_", "n", "cuts", "rank"]
 
 
 def texts(seed=1, n=60):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quern.llm import sharding as H
 from quern.llm import url_filter as U
 from quern.llm.mixing import mix_documents, mix_sources, source_targets
 from quern.llm.queries import ORACLE_SQL, QUERIES
@@ -59,6 +62,24 @@ def test_sharding(spark):
     assert assign_shards(odd.no_documents(spark)).collect() == []
 
 
+@pytest.mark.parametrize("most", [1, 4096])
+def test_shards_as_a_heap_over_all_groups(spark, monkeypatch, most):
+    """Each group to the least-loaded shard, largest first; which of the groups of a size goes where is by hash."""
+    monkeypatch.setattr(H, "HOT", most)
+    df = odd.documents(spark)
+    df = df.unionByName(spark.createDataFrame([(5000 + i, f"{'y' * (i % 9)}{i % 150:03d}", "en", "s", 1) for i in range(700)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    texts = [r["text"] for r in df.collect()]
+    loads, of_size, sizes = brute.sharded(texts)
+    crc = {(zlib.crc32(t.encode()), len(t.encode()) + 1): n for t, n in sizes.items()}
+    got, placed, seen = Counter(), defaultdict(list), set()
+    for r in assign_shards(df).collect():
+        got[r["shard"]] += r["size"]
+        if (r["text_crc32"], r["size"]) not in seen:
+            seen.add((r["text_crc32"], r["size"]))
+            placed[crc[r["text_crc32"], r["size"]]].append(r["shard"])
+    assert dict(got) == {s: n for s, n in loads.items() if n} and {k: sorted(v) for k, v in placed.items()} == of_size
+
+
 def test_shards_are_balanced(spark):
     df = spark.createDataFrame([(i, "x" * (i % 97 + 1) + str(i)) for i in range(4000)] + [(9000 + i, "hot") for i in range(300)], "doc_id long, text string")
     loads = Counter()
@@ -67,15 +88,20 @@ def test_shards_are_balanced(spark):
     assert len(loads) == 16 and max(loads.values()) < 1.03 * min(loads.values())
 
 
-@given(st.lists(st.integers(1, 50), max_size=60), st.integers(1, 8))
-def test_longest_first(sizes, shards):
-    out = longest_first([(s, str(i)) for i, s in enumerate(sizes)], shards)
-    loads = [0] * shards
-    for i, s in enumerate(sizes):
-        loads[out[str(i)]] += s
-    if sizes:  # Graham's bound
-        least = max(max(sizes), sum(sizes) / shards)
-        assert max(loads) <= (4 / 3) * least + max(sizes)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 300), max_size=20), st.integers(1, 8))
+def test_longest_first(counts, shards):
+    sizes = np.array(sorted(counts, reverse=True), int)
+    out = longest_first(sizes, np.array([counts[s] for s in sizes.tolist()], int), shards)
+    loads, expected = [(0, s) for s in range(shards)], np.zeros((len(sizes), shards), int)
+    for i, size in enumerate(sizes.tolist()):
+        for _ in range(counts[size]):
+            load, shard = loads[0]
+            heapq.heapreplace(loads, (load + size, shard))
+            expected[i, shard] += 1
+    assert (out == expected).all()
+    if len(sizes):  # Graham's bound
+        least = max(sizes.max(), (sizes * out.sum(1)).sum() / shards)
+        assert (sizes[:, None] * out).sum(0).max() <= (4 / 3) * least + sizes.max()
 
 
 URLS = [
@@ -106,6 +132,34 @@ def test_aliases(spark):
     assert got[3] == ("example.com/en/7", "allow") and got[1][0] is None
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_alias_graphs(spark, seed):
+    """Chains, cycles, hubs and strangers, addressed in different ways, with several rules in a component, beside a union-find."""
+    rng = np.random.default_rng(seed)
+    hosts, kinds = ["a.com", "b.example.com", "c.net", "x.example.net", "d.org", "e.fr", "f.fr", "g.de"], ["en/1", "en/7", "de/1", "de/8", "es/2", "q/1", "q/2", "q/3", "r/é", "r/b&c"]
+    urls = [f"http://{h}/{k}" for h in hosts for k in kinds]
+    pages = []
+    for i, u in enumerate(urls * 2):
+        links = [urls[j] for j in rng.integers(0, len(urls), rng.integers(0, 2 + seed))] if rng.random() < 0.35 else []
+        pages.append((i, u, links))
+    pages += [(1000 + i, f"http://chain.fr/{i}", [f"http://chain.fr/{i + 1}"]) for i in range(30)] + [(1030, "http://chain.fr/30", ["http://z.com/en/1"])]
+    pages += [(2000 + i, f"http://ring.fr/{i}", [f"http://ring.fr/{(i + 1) % 12}"]) for i in range(12)]
+
+    def tag(u, v):
+        host, path = v.split("/", 3)[2:]
+        ways = [v, v.upper().replace(path.upper(), path) if rng.random() < 0.5 else v + "#part"]
+        if host == u.split("/")[2]:
+            ways += ["/" + path, "//" + host + "/" + path, *([path.split("/")[1]] if path.split("/")[0] == u.split("/")[3] else [])]
+        way = ways[rng.integers(len(ways))].replace("&", "&amp;")
+        return [f'<link rel="canonical" href="{way}">', f"<LINK href='{way}' rel='nofollow canonical' />", f'<meta http-equiv="Refresh" content="0; URL={way}">', f"<meta content='5;url={way}' http-equiv=refresh>"][rng.integers(4)]
+
+    html = [(i, u, "<html><head>" + "".join(tag(u, v) for v in vs) + '<link rel="stylesheet" href="http://a.com/en/1"></head>') for i, u, vs in pages]
+    got = {r["page_id"]: r["verdict"] for r in U.judge_pages(spark.createDataFrame(html, "page_id long, url string, html string")).collect()}
+    expected = brute.verdicts(pages, brute.RULES)
+    assert got == expected and {"allow", "block"} == set(expected.values())
+    assert any(expected[i] == "block" and brute.url_row(u)[2] is None for i, u, _ in pages)
+
+
 def test_pipeline_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import zlib
+from hashlib import sha256
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +17,9 @@ from quern.llm import pii_information as I
 from quern.llm import quality_gam as Q
 from quern.llm import telephony_audio as A
 from quern.llm import toxicity_ngrams as X
+from quern.llm import bpe_index as B
 from quern.llm.bpe_index import PairIndexBpe, encode
+from quern.llm.labelled import fit_rows
 from tests.llm import brute, odd
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +67,73 @@ def test_toxicity_learns_words(spark):
     assert len(held) > 50 and np.mean([p == y for p, y in held]) > 0.98
 
 
+def test_quality_scores_table_by_table(spark):
+    """The fitted tables' sums, recomputed one row and one bin at a time, are the scores."""
+    docs, labels = odd.documents(spark), odd.labels(spark)
+    model = Q.fit_quality(docs, labels)
+    assert model.pairs and any(len(t) > 1 for t in model.tables)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id > 4").collect()}  # ids below have more than one text
+    got = {r["doc_id"]: r["score"] for r in Q.score_quality(docs, labels).collect()}
+    for i, t in texts.items():
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        figures = Q.text_features(data, np.array([0, len(data)]))[0]
+        assert got[i] == pytest.approx(brute.additive_score(model, figures), abs=1e-9)
+
+
+def test_quality_figures():
+    """Figures of a text by plain Python."""
+    text = "Good day, GOOD day. a# a# a# a#\n\nline two\nline two 42"
+    data = np.frombuffer(text.encode(), np.uint8)
+    x = dict(zip(Q.FEATURES, Q.text_features(data, np.array([0, len(data)]))[0], strict=True))
+    words, lines = text.split(), [line for line in text.split("\n") if line]
+    n = len(words)
+    expected = {
+        "bytes": np.log1p(len(text)), "words": np.log1p(n), "word_bytes": np.mean([len(w) for w in words]), "upper": sum(c.isupper() for c in text) / len(text), "digits": 2 / len(text), "stops": 2 / n, "symbols": 4 / len(text),
+        "word_symbols": 4 / n, "repeats": 3 / (n - 1), "longest_run": 4 / n, "distinct": len({*words}) / n, "top_word": 4 / n, "distinct_runs": len({*zip(words, words[1:], words[2:])}) / (n - 2), "lines": np.log1p(3),
+        "repeated_lines": 0.0, "word_spread": np.std([len(w) for w in words]),
+    }
+    assert len(lines) == 3 and x == pytest.approx(expected)
+
+
+def plain_code(gram):
+    """The hash of an n-gram in whole numbers."""
+    word = (1 << 64) - 1
+    x = (len(gram) + sum((b + 1) * int(p) for b, p in zip(gram, X._PLACES, strict=False))) & word
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & word
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & word
+    return (x ^ (x >> 31)) >> (64 - X.BITS)
+
+
+def test_toxicity_scores_gram_by_gram(spark):
+    """Log-count ratios and scores recomputed from sets of n-grams."""
+    docs, labels = odd.documents(spark), odd.labels(spark)
+    model = X.fit_toxicity(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id > 4").collect()}
+    codes = {i: {plain_code(g) for g in brute.ngrams(t)} for i, t in texts.items()}
+    weight = {int(c): float(r * w) for c, r, w in zip(model.codes, model.ratios, model.weights, strict=True)}
+    got = {r["doc_id"]: r["score"] for r in X.score_toxicity(docs, labels).collect()}
+    for i, found in codes.items():
+        z = model.bias + sum(weight.get(c, 0.0) for c in found)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    # Ratios of a table whose ids are unique, by counting documents.
+    rows = [(i, t, i % 2) for i, t in enumerate(odd.texts(n=60)[:80])]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = X.fit_toxicity(docs, labels)
+    kept = [(plain, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 for plain in [{plain_code(g) for g in brute.ngrams(t)}]]
+    n = [sum(y == v for _, y in kept) for v in (0, 1)]
+    for code, ratio in zip(model.codes.tolist(), model.ratios.tolist(), strict=True):
+        neg, pos = (sum(code in found for found, y in kept if y == v) for v in (0, 1))
+        assert ratio == pytest.approx(np.log((pos + 0.5) / (n[1] + 1)) - np.log((neg + 0.5) / (n[0] + 1)))
+
+
+def test_fit_rows_are_bounded(spark):
+    """One id in many rows counts once, whatever its texts."""
+    docs = spark.createDataFrame([(3, f"text {i % 7}") for i in range(500)] + [(6, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 1), (6, 0)], "doc_id long, quality int")
+    assert len(fit_rows(docs, labels, "quality", 3, 9, most=1).collect()) == 1
+    assert sorted(r["y"] for r in fit_rows(docs, labels, "quality", 3, 9, most=9).collect()) == [0, 1]
+
+
 def test_ngrams_stay_within_their_text():
     data = np.frombuffer("one two".encode() + "three".encode(), np.uint8)
     many = sorted(zip(*map(np.concatenate, zip(*X.ngram_codes(data, np.array([0, 7, 7, 12])), strict=True)), strict=True))
@@ -114,7 +187,7 @@ def test_terms_that_reveal_an_entity(spark):
     found = I.find_personal_data(df)
     kinds = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["all"]] for r in found.collect()}
     assert all(("removed", "Zorblat") in kinds[i] and ("email", "boss@corp.example") in kinds[i] and len(kinds[i]) == 2 for i in range(6))
-    assert kinds[400] == [("email", "z@x.y")] and kinds[7] == []
+    assert kinds[400] == [("removed", "Zorblat"), ("email", "z@x.y")] and kinds[7] == []  # it gives the address away there too
     clean = {r["doc_id"]: r["text"] for r in I.sanitise(found).collect()}
     assert "Zorblat" not in clean[0] and "[EMAIL]" in clean[0] and "boss" not in clean[0] and clean[7] == dict(rows)[7]
 
@@ -158,6 +231,46 @@ def test_sanitise_overlaps(spark):
     assert got[2] == "" and got[3] == "plain" and got[1].endswith("or mail [EMAIL]!") and "4111" not in got[1]
 
 
+def test_terms_as_brute_force(spark):
+    """Disclosing terms, their spans and the sanitised texts of a small corpus by plain counting."""
+    rng = np.random.default_rng(11)
+    vocab = [f"w{chr(97 + i % 26)}{i}" for i in range(150)]
+    filler = lambda k: " ".join(vocab[j] for j in rng.integers(0, len(vocab), k))
+    texts = [None, "", "none at all"] + [filler(30) for _ in range(200)]
+    for p in range(20):
+        name, mail = f"Name{chr(97 + p)}xo", [f"p{p}@corp.example", f"10.0.{p}.7", "+1 (555) 123-45%02d" % p][p % 3]
+        texts += [f"{filler(5)} {name} {filler(p % 4)} {mail}, {filler(6)} {name.upper()}{'' if k % 2 else '@x.io'} {filler(3)}é😀 {name}" for k in range(1 + p)]
+        texts += [f"{filler(6)} {name} {filler(4)}" for _ in range(p % 2 * (p + 1) // 3)]
+    texts += texts[-3:]
+    shares = brute.disclosing(texts)
+    assert len(shares) > 8 and any(s >= 0.95 for s in shares.values()) and any(s < 0.95 for s in shares.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = I.find_personal_data(df)
+    word = {"general": "[TERM]", "removed": ""}
+    clean = {r["doc_id"]: r["text"] for r in I.sanitise(found).collect()}
+    for r in found.collect():
+        t, expected = texts[r["doc_id"]] or "", brute.all_spans(texts[r["doc_id"]] or "", shares)
+        assert sorted((s["start"], s["end"], s["kind"]) for s in r["all"]) == expected
+        out, at = "", 0
+        for s, e, k in expected:
+            if s >= at:
+                out += t[at:s] + word.get(k, f"[{k.upper()}]")
+            at = max(at, e)
+        assert clean[r["doc_id"]] == out + t[at:]
+
+
+def test_many_spans_in_one_text(spark):
+    """A megabyte of addresses in one text, with a name that they disclose all over it."""
+    many = "1.2.3.4 " * 125_000
+    df = spark.createDataFrame([(0, many), (1, "Zorblat x@y.io " * 20_000)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in I.personal_data_digest(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in I.sanitise(I.find_personal_data(df)).collect()}
+    assert time.monotonic() - began < 100
+    assert got[0]["n_ip"] == 125_000 and tuple(got[0])[1:6] == brute.pii_row(many) and got[1]["n_email"] == 20_000
+    assert clean[0] == "[IP] " * 125_000 and "@" not in clean[1]
+
+
 # --- Encoding -------------------------------------------------------------------------------------
 
 
@@ -192,6 +305,61 @@ def test_tricky_texts(bpe):
     assert [(g[0]) for g in bpe.encoded(texts)] == [r[0] for r in brute.bpe_rows(texts, PATH)]
 
 
+def test_letters_that_python_does_not_know(bpe):
+    """Every code point that Python doesn't assign, between letters and by itself."""
+    import unicodedata
+
+    points = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn"]
+    texts = [" ".join(f"a{c}b {c}" for c in points[at : at + 5000]) for at in range(0, len(points), 5000)]
+    assert [g[0] for g in bpe.encoded(texts)] == [r[0] for r in brute.bpe_rows(texts, PATH)]
+    some = [f"x{chr(first)}{chr(last)}é{chr(first)}" for first, last in [*B._LATER_LETTERS, *B._LATER_NUMBERS, *[r[:2] for r in B._LATER_CAPITALS]]]
+    assert list(bpe.digests(some)) == list(brute.bpe_rows(some, PATH))
+
+
+def test_memory_and_pieces(monkeypatch):
+    """Tokens that are forgotten and met again, and texts longer than a piece, change nothing."""
+    monkeypatch.setattr(B, "REMEMBERED", 50)
+    monkeypatch.setattr(B, "RUN", 400)
+    monkeypatch.setattr(B, "TOGETHER", 8)
+    texts = odd.texts(n=20) * 2 + ["x" * 3000, " ".join(odd.texts(n=10)), "<|endoftext|> " * 100, "a\u2003b\x1cc " * 200]
+    bpe = PairIndexBpe.from_file(PATH)
+    assert list(bpe.digests(texts)) == list(brute.bpe_rows(texts, PATH))
+    assert len(bpe.young.at) < 500
+
+
+def test_merges_in_any_order_of_ranks():
+    """Merges may bring up lower ranks, overlap, and have parts that other merges make."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(4)
+    spec = json.load(open(PATH, encoding="utf-8"))
+    letters = B.byte_letters()
+    for _ in range(25):
+        vocab = {t: i for i, t in enumerate([*letters, *(c + "</w>" for c in letters)])}
+        parts, merges = ["a", "b", "a</w>", "b</w>"], []
+        for _ in range(12):
+            x, y = parts[rng.integers(len(parts))], parts[rng.integers(len(parts))]
+            if x.endswith("</w>") or [x, y] in merges:
+                continue
+            merges.append([x, y])
+            vocab.setdefault(x + y, len(vocab))
+            parts.append(x + y)
+        rng.shuffle(merges)
+        own = spec | {"added_tokens": [], "model": spec["model"] | {"vocab": vocab, "merges": merges}}
+        texts = ["".join(rng.choice(["a", "b"], rng.integers(1, 14))) for _ in range(60)]
+        library = Tokenizer.from_str(json.dumps(own))
+        assert [g[1] for g in PairIndexBpe(own).encoded(texts)] == [" ".join(map(str, e.ids)) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_files_of_another_kind():
+    import json
+
+    with pytest.raises(ValueError):
+        PairIndexBpe(json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8")))
+
+
 def test_plain_output(spark):
     r = encode(spark.createDataFrame([(1, "Hello world")], "doc_id long, text string"), PATH).first()
     assert r["n_tokens"] == len(r["ids"]) == 2 and r["decoded"] == "hello</w> world</w>"
@@ -217,29 +385,43 @@ def test_companding_tables():
     assert len(set(A.A.tolist())) == 256 and len(A.STEPS) == 89
 
 
-def scalar_adpcm(block):
-    """The standard's decoder, one sample at a time."""
-    value, index, out = int.from_bytes(bytes(block[:2]), "little", signed=True), min(block[2], 88), []
-    out.append(value)
-    for byte in block[4:]:
-        for code in (byte & 15, byte >> 4):
-            step = int(A.STEPS[index])
-            move = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
-            value = max(-32768, min(32767, value - move if code & 8 else value + move))
-            index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
-            out.append(value)
-    return out
-
-
 def test_adpcm():
     rng = np.random.default_rng(7)
     blocks = rng.integers(0, 256, (50, A.BLOCK)).astype(np.uint8)
-    assert A.decode_adpcm(blocks).tolist() == [scalar_adpcm(b.tolist()) for b in blocks]
+    assert A.decode_adpcm(blocks).tolist() == [brute.scalar_adpcm(b.tolist()) for b in blocks]
     wave = (8000 * np.sin(np.arange(2000) / 20)).astype(np.int16)
     back = A.decode_adpcm(np.frombuffer(A.encode_adpcm(wave), np.uint8).reshape(-1, A.BLOCK)).ravel()[: len(wave)]
     assert np.abs(back.astype(int) - wave).max() < 1500
 
 
+def test_figures_of_media(spark):
+    """Loudness, crossings and the stored PCM, recomputed sample by sample; the files themselves."""
+    df = odd.documents(spark, n=12)
+    got = {}
+    for r in A.text_media(df).collect():
+        got.setdefault(r["doc_id"], set()).add((r["feature"], r["pcm_bytes"], r["pcm_sha256"], r["media_sha256"]))
+    files = A.media_of_texts(df).collect()
+    for r in files:
+        assert any((f[1], f[2], f[3]) == (len(r["pcm"]), sha256(r["pcm"]).hexdigest(), sha256(r["media"]).hexdigest()) for f in got[r["doc_id"]])
+        tag, rate, block, data = A.read_wave(bytes(r["pcm"]))
+        assert (tag, rate, block, len(data)) == (A.PCM, 16000, 2, 4 * len(A.read_wave(bytes(r["media"]))[3]))
+    for r in df.collect():
+        assert brute.media_features(r["text"]) in {f[0] for f in got[r["doc_id"]]}
+
+
+def test_files_that_cannot_be(spark):
+    """Blocks and rates that make no sense give null, and don't end the task."""
+    good = A.wave_file(bytes(64), A.MU_LAW)
+    stereo = bytearray(good)
+    stereo[22] = 2
+    adpcm = A.wave_file(bytes(64), A.IMA_ADPCM, bits=4, block=64)
+    files = [adpcm[:32] + bytes([b, 0]) + adpcm[34:] for b in (0, 1, 2, 4)] + [A.wave_file(bytes(64), t, rate=r) for t in (A.MU_LAW, A.PCM) for r in (0, 1, 10**9)]
+    files += [A.wave_file(bytes(64), A.PCM, bits=24, block=3), A.wave_file(bytes(63), A.PCM, bits=16, block=2), bytes(stereo), good[:20], good[:-70], b"", good]
+    df = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "id int, media binary")
+    got = {r["id"]: r["pcm"] for r in A.to_pcm(df).collect()}
+    assert [i for i in got if got[i] is not None] == [len(files) - 1]
+
+
 def test_to_pcm(spark):
     wave = (8000 * np.sin(np.arange(400) / 20)).astype(np.int16)
     files = [A.wave_file(bytes(range(64)), A.MU_LAW), A.wave_file(bytes(range(64)), A.A_LAW), A.wave_file(A.encode_adpcm(wave), A.IMA_ADPCM, bits=4, block=A.BLOCK), A.wave_file(b"", A.MU_LAW), b"no media", None, A.wave_file(b"x", 99)]
