@@ -55,22 +55,20 @@ def infer_domain(text, default="governance", domains=L.DOMAINS) -> Column:
 
 def infer_urgency(text, levels=L.URGENCY) -> Column:
     """LEX-02: the first level with a keyword, else medium."""
-    lowered = F.lower(text_or_empty(text))
-    return reduce(lambda c, lv: c.when(_any(lowered, lv[1]), lv[0]), levels[1:], F.when(_any(lowered, levels[0][1]), levels[0][0])).otherwise("medium")
+    first = lambda low: reduce(lambda c, lv: c.when(_any(low, lv[1]), lv[0]), levels[1:], F.when(_any(low, levels[0][1]), levels[0][0])).otherwise("medium")
+    return let(F.lower(text_or_empty(text)), first)
 
 
 def infer_audience(text, groups=L.AUDIENCES) -> Column:
     """LEX-03: every group with a keyword, else everyone."""
-    lowered = F.lower(text_or_empty(text))
-    found = F.array_compact(F.array(*[F.when(_any(lowered, kws), name) for name, kws in groups]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("everyone")))
+    found = let(F.lower(text_or_empty(text)), lambda low: F.array_compact(F.array(*[F.when(_any(low, kws), name) for name, kws in groups])))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("everyone"))))
 
 
 def extract_keywords(text, limit: int = 5, domains=L.DOMAINS) -> Column:
     """LEX-04: the first distinct keywords in the order of the lexicon."""
-    lowered = F.lower(text_or_empty(text))
     known = list(dict.fromkeys(k for _, _, kws in domains for k in kws))
-    return F.slice(F.array_compact(F.array(*[F.when(lowered.contains(k), k) for k in known])), 1, limit)
+    return let(F.lower(text_or_empty(text)), lambda low: F.slice(F.array_compact(F.array(*[F.when(low.contains(k), k) for k in known])), 1, limit))
 
 
 def _forms(keep: str, others: list[str]) -> list[str]:
@@ -82,35 +80,46 @@ def _bounded(form: str) -> str:
     return f"(?i)(?<![A-Za-z0-9]){literal(form)}(?![A-Za-z0-9])"
 
 
+def _with_lower(text, body) -> Column:
+    """``body`` of a text and of its lower-cased self, each worked out once."""
+    return let(text_or_empty(text), lambda t: let(F.lower(t), lambda low: body(t, low)))
+
+
+def _found(text: Column, lowered: Column, forms: list[str]) -> Column:
+    """Whether any form stands as a word of its own; patterns are tried only where the letters are there."""
+    return _any(lowered, [f.lower() for f in forms]) & text.rlike("|".join(_bounded(f) for f in forms))
+
+
 def glossary_hits(text, glossary=L.GLOSSARY) -> Column:
     """LEX-05: kept forms of the entries found as words of their own."""
-    text = text_or_empty(text)
-    return F.array_compact(F.array(*[F.when(text.rlike("|".join(_bounded(f) for f in _forms(k, o))), k) for k, o in glossary]))
+    return _with_lower(text, lambda t, low: F.array_compact(F.array(*[F.when(_found(t, low, _forms(k, o)), k) for k, o in glossary])))
 
 
 def glossary_rewrite(text, glossary=L.GLOSSARY) -> Column:
     """LEX-06: other forms replaced by the kept one, entry by entry, longest first."""
     out = text_or_empty(text)
     for keep, others in glossary:
-        for form in _forms(keep, others):
-            if form != keep:
-                out = F.regexp_replace(out, _bounded(form), keep.replace("$", r"\$"))
+        forms = [f for f in _forms(keep, others) if f != keep]
+        replaced = lambda t: reduce(lambda c, f: F.regexp_replace(c, _bounded(f), keep.replace("$", r"\$")), forms, t)  # noqa: B023, E731
+        if forms:
+            out = let(out, lambda t: F.when(let(F.lower(t), lambda low: _any(low, [f.lower() for f in forms])), replaced(t)).otherwise(t))  # noqa: B023
     return out
 
 
 def glossary_preservation(source, target, glossary=L.GLOSSARY) -> Column:
     """LEX-07: share of the source's entries whose kept form is in the target; 1 without any."""
-    source, target = text_or_empty(source), text_or_empty(target)
-    found = [source.rlike("|".join(_bounded(f) for f in _forms(k, o))) for k, o in glossary]
-    n = reduce(lambda a, b: a + b, [f.cast("int") for f in found])
-    kept = reduce(lambda a, b: a + b, [(f & target.rlike(_bounded(k))).cast("int") for f, (k, _) in zip(found, glossary, strict=True)])
-    return F.when(n == 0, 1.0).otherwise(kept / n)
+    target = text_or_empty(target)
+    # The kept forms of the entries that the source has, as the target is asked for those only.
+    found = _with_lower(source, lambda t, low: F.array_compact(F.array(*[F.when(_found(t, low, _forms(k, o)), F.struct(F.lit(i).alias("i"))) for i, (k, o) in enumerate(glossary)])))
+    has = lambda t, low, i: reduce(lambda c, x: c.when(i == x[0], _found(t, low, [x[1][0]])), enumerate(glossary), F.when(F.lit(False), F.lit(False)))
+    kept = lambda f: _with_lower(target, lambda t, low: F.size(F.filter(f, lambda x: has(t, low, x["i"]))))
+    return let(found, lambda f: F.when(F.size(f) == 0, 1.0).otherwise(kept(f) / F.size(f)))
 
 
 def bilingual_domain(text, domains=L.BILINGUAL_DOMAINS) -> Column:
     """LEX-08: the first domain with a keyword, else Governance."""
-    lowered = F.lower(text_or_empty(text))
-    return reduce(lambda c, d: c.when(_any(lowered, d[1]), d[0]), domains[1:], F.when(_any(lowered, domains[0][1]), domains[0][0])).otherwise("Governance")
+    first = lambda low: reduce(lambda c, d: c.when(_any(low, d[1]), d[0]), domains[1:], F.when(_any(low, domains[0][1]), domains[0][0])).otherwise("Governance")
+    return let(F.lower(text_or_empty(text)), first)
 
 
 def model_code(language) -> Column:

@@ -7,6 +7,8 @@ way everywhere.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import Column
@@ -18,12 +20,44 @@ from quern.functions.text import _col, collapse, let, strip, strip_chars, text_o
 THRESHOLD = 0.28
 
 
-def _has(c: Column, pattern: str) -> Column:
-    return c.rlike("(?i)" + pattern)
+def _literals(items) -> list[str] | None:
+    """Lower-case texts one of which every match of a parsed pattern holds; the longest that can be had."""
+    found, run = [], ""
+    for op, value in [*items, (None, None)]:
+        if op is re._parser.LITERAL:
+            run += chr(value).lower()
+            continue
+        if run:
+            found.append([run])
+            run = ""
+        if op in (re._parser.MAX_REPEAT, re._parser.MIN_REPEAT) and value[0] > 0:
+            found.append(_literals(value[2]))
+        elif op is re._parser.SUBPATTERN:
+            found.append(_literals(value[3]))
+        elif op is re._parser.BRANCH:
+            parts = [_literals(b) for b in value[1]]
+            found.append(None if None in parts else [x for p in parts for x in p])
+    return max((f for f in found if f), key=lambda f: (min(map(len, f)), -len(f)), default=None)
 
 
-def _number(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit("(?i)" + pattern))
+def _may_match(lowered: Column, pattern: str) -> Column:
+    """Whether a lower-cased text has letters without which the pattern can't match: a cheap look before the pattern itself."""
+    texts = _literals(re._parser.parse(pattern))
+    return reduce(lambda a, b: a | b, [lowered.contains(x) for x in dict.fromkeys(texts)]) if texts else F.lit(True)
+
+
+def _has(c: Column, pattern: str, lowered: Column | None = None) -> Column:
+    """Whether a pattern matches, whatever the case; with the lower-cased text at hand, tried only where it may."""
+    found = c.rlike("(?i)" + pattern)
+    return found if lowered is None else _may_match(lowered, pattern) & found
+
+
+def _low_has(lowered: Column, pattern: str) -> Column:
+    return _may_match(lowered, pattern) & lowered.rlike(pattern)
+
+
+def _number(c: Column, pattern: str, lowered: Column) -> Column:
+    return F.when(_may_match(lowered, pattern), F.regexp_count(c, F.lit("(?i)" + pattern))).otherwise(0)
 
 
 def _points(condition: Column, value: float) -> Column:
@@ -41,12 +75,13 @@ def notice_score(title, text, rules: SimpleNamespace = L.NOTICE_RULES) -> Column
 def _score(title: Column, both: Column, n: Column, rules: SimpleNamespace) -> Column:
     score = F.lit(0.0)
     for p in rules.positive:
-        score = score + _points(both.rlike(p), 0.12)
+        score = score + _points(_low_has(both, p), 0.12)
     for p in rules.negative:
-        score = score - _points(both.rlike(p), 0.25)
+        score = score - _points(_low_has(both, p), 0.25)
     score = score + _points(_has(title, rules.prefix), 0.2)
-    score = score + _points(both.rlike(rules.organisations), 0.15)
-    score = score + F.least(F.regexp_count(both, F.lit(rules.imperatives)) * F.lit(0.05), F.lit(0.2))
+    score = score + _points(_low_has(both, rules.organisations), 0.15)
+    imperatives = F.when(_may_match(both, rules.imperatives), F.regexp_count(both, F.lit(rules.imperatives))).otherwise(0)
+    score = score + F.least(imperatives * F.lit(0.05), F.lit(0.2))
     score = score + F.when(n > 500, -0.25).when(n > 300, -0.15).when(n < 12, -0.2).when(n.between(15, 250), 0.15).when(n.between(251, 300), 0.05).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
@@ -54,12 +89,13 @@ def _score(title: Column, both: Column, n: Column, rules: SimpleNamespace) -> Co
 def framework_label(text, title, rules: SimpleNamespace = L.NOTICE_RULES) -> Column:
     """CLS-02: struct (label, confidence, reason, action_hits, press_hits, other_hits, token_count, is_strict)."""
     both = let(collapse(text), lambda body: F.struct(strip_chars(F.concat(collapse(title), F.lit(". "), body), ". ").alias("both"), word_count(body).alias("n")))
-    facts = let(both, lambda b: F.struct(b["both"].alias("both"), b["n"].alias("n"), *[_number(b["both"], x).alias(k) for k, x in (("a", rules.action), ("p", rules.press), ("o", rules.other))]))
-    return let(facts, lambda f: _framework(f["both"], f["n"], f["a"], f["p"], f["o"], rules))
+    low = let(both, lambda b: F.struct(b["both"].alias("both"), b["n"].alias("n"), F.lower(b["both"]).alias("low")))
+    facts = let(low, lambda b: F.struct(b["both"].alias("both"), b["n"].alias("n"), b["low"].alias("low"), *[_number(b["both"], x, b["low"]).alias(k) for k, x in (("a", rules.action), ("p", rules.press), ("o", rules.other))]))
+    return let(facts, lambda f: _framework(f["both"], f["low"], f["n"], f["a"], f["p"], f["o"], rules))
 
 
-def _framework(both: Column, n: Column, a: Column, p: Column, o: Column, rules: SimpleNamespace) -> Column:
-    quoted = (F.regexp_count(both, F.lit('"')) >= 4) | _has(both, rules.quotes)
+def _framework(both: Column, low: Column, n: Column, a: Column, p: Column, o: Column, rules: SimpleNamespace) -> Column:
+    quoted = (F.regexp_count(both, F.lit('"')) >= 4) | _has(both, rules.quotes, low)
     long = n > 280
 
     def verdict(label: str, reason: str, confidence) -> Column:
@@ -105,14 +141,15 @@ def gate_reason(text, source="", lang="en", contributor="", origin_file="", rule
     facts = let(
         collapse(text),
         lambda w: F.struct(
-            w.alias("w"), word_count(w).alias("n"), _has(w, rules.force).alias("force"), F.lower(F.coalesce(lit(source), F.lit(""))).alias("source"),
+            w.alias("w"), F.lower(w).alias("low"), word_count(w).alias("n"), F.lower(F.coalesce(lit(source), F.lit(""))).alias("source"),
             F.coalesce(lit(lang), F.lit("unknown")).alias("lang"), raw.alias("raw"),
         ),
     )
-    return let(facts, lambda f: _gate(f["w"], f["n"], f["force"], f["source"], f["lang"], f["raw"], raw_reason, rules))
+    forced = lambda f: let(_has(f["w"], rules.force, f["low"]), lambda force: _gate(f["w"], f["low"], f["n"], force, f["source"], f["lang"], f["raw"], raw_reason, rules))
+    return let(facts, forced)
 
 
-def _gate(whole: Column, n: Column, force: Column, source: Column, lang: Column, raw: Column, raw_reason: str, rules: SimpleNamespace) -> Column:
+def _gate(whole: Column, low: Column, n: Column, force: Column, source: Column, lang: Column, raw: Column, raw_reason: str, rules: SimpleNamespace) -> Column:
     any_of = lambda names: source.rlike("|".join(x.replace(".", r"\.") for x in names))
     none = F.lit(None).cast("string")
 
@@ -128,20 +165,20 @@ def _gate(whole: Column, n: Column, force: Column, source: Column, lang: Column,
     return (
         F.when(n == 0, "empty_text")
         .when(raw, raw_reason)
-        .when(_has(whole, rules.navigation), "nav_boilerplate")
-        .when(_has(whole, rules.listing), "listing_page_dump")
+        .when(_has(whole, rules.navigation, low), "nav_boilerplate")
+        .when(_has(whole, rules.listing, low), "listing_page_dump")
         .when((F.regexp_count(whole, F.lit("Home")) >= 3) & whole.contains("About"), "menu_like")
-        .when(_has(whole, rules.stub) & ~force, "ngo_website_stub")
+        .when(_has(whole, rules.stub, low) & ~force, "ngo_website_stub")
         .when(any_of(L.ABOUT_PAGES) & (~force | (n < 40)), "ngo_about_page")
-        .when(_has(whole, rules.off_topic) & ~force, "off_topic_news")
-        .when(_has(whole, rules.listicle) & ~force, "listicle_not_psa")
+        .when(_has(whole, rules.off_topic, low) & ~force, "off_topic_news")
+        .when(_has(whole, rules.listicle, low) & ~force, "listicle_not_psa")
         .when((n < 12) & force & (n >= 8), none)
         .when(n < 12, "too_short")
         .when(n > 350, "too_long_for_psa")
         .when(~lang.isin(L.GATE_LANGUAGES), F.concat(F.lit("non_target_language:"), lang))
         .when((n < 25) & ~force & any_of(L.NGO_HOSTS), "short_ngo_non_psa")
-        .when(_has(whole, rules.report), "report_not_psa")
-        .when(_has(whole, rules.genre) & ~force, "genre_news_not_psa")
+        .when(_has(whole, rules.report, low), "report_not_psa")
+        .when(_has(whole, rules.genre, low) & ~force, "genre_news_not_psa")
         .otherwise(let(title_and_body(whole), lambda p: let(notice_score(p["title"], p["body"], rules)["score"], by_score)))
     )
 

@@ -62,6 +62,11 @@ def word_count(c) -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(f"[^{WS}]+"))
 
 
+def long_in_either(en, sw, least: int = 8) -> Column:
+    """FLT-01: whether either version has ``least`` words."""
+    return (word_count(en) >= least) | (word_count(sw) >= least)
+
+
 def first_words(c, n: int) -> Column:
     return F.array_join(F.slice(words(c), 1, n), " ")
 

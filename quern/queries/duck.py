@@ -101,6 +101,49 @@ def gate(cte: str, rules: SimpleNamespace, source: str = "''", lang: str = "'en'
                     {has(collapse('text'), '(?i)' + rules.force)} AS force FROM {cte}))))"""
 
 
+def core(title: str, text: str, most: int, force: str) -> str:
+    """The core of a text: its title and leading paragraphs, folded one by one."""
+    from quern.functions import lexicons as L
+
+    # A class within a class in the pattern isn't SQL's way; white space is spelled out.
+    marker = L.STOP_MARKERS.replace("\\s", f"[{WS}]")
+    body = strip(f"regexp_replace(string_split_regex(replace(coalesce({text}, ''), chr(13), chr(10)), {q('(?i)' + marker)})[1], '\\n{{3,}}', chr(10) || chr(10), 'g')")
+    cut = q(f"\\n[{WS}]*\\n")
+    paragraphs = f"list_filter(list_transform(string_split_regex(core_body, {cut}), lambda p: {collapse('p')}), lambda p: p <> '')"
+    joined = "trim(a.text || ' ' || x.text, ' ')"
+    room = f"({most} - {wc('a.text')})"
+    part = f"CASE WHEN {room} >= 20 THEN trim(a.text || ' ' || array_to_string(list_slice({words('x.text')}, 1, greatest({room}, 0)), ' '), ' ') ELSE a.text END"
+    step = f"""CASE WHEN a.done OR {wc('x.text')} < 5 OR ({count('x.text', 'Home')} >= 2 AND contains(x.text, 'About')) THEN a
+      WHEN {wc(joined)} > {most} THEN {{'text': {part}, 'done': true}}
+      ELSE {{'text': {joined}, 'done': ({wc(joined)} >= 80 AND {has(joined, '(?i)' + force)}) OR {wc(joined)} >= 160}} END"""
+    head = "CASE WHEN core_title <> '' AND NOT starts_with(lower(coalesce(core_parts[1], '')), substr(lower(core_title), 1, 40)) THEN regexp_replace(core_title, '[.]+$', '') || '.' ELSE '' END"
+    fold = f"trim(list_reduce(list_prepend({{'text': {head}, 'done': false}}, list_transform(core_parts, lambda p: {{'text': p, 'done': false}})), lambda a, x: {step}).text, ' ')"
+    first = f"array_to_string(list_slice({words('core_body')}, 1, {most}), ' ')"
+    return (
+        f"(SELECT CASE WHEN core_out <> '' THEN core_out ELSE {first} END FROM (SELECT *, {fold} AS core_out FROM (SELECT *, {paragraphs} AS core_parts FROM "
+        f"(SELECT {body} AS core_body, {collapse(title)} AS core_title))))"
+    )
+
+
+def framework(cte: str, rules: SimpleNamespace) -> str:
+    """A SELECT of ``id, label, confidence, reason, a, p, o, n, is_strict`` from ``cte(id, text, title)``."""
+    both = "trim(t || '. ' || w, '. ')"
+    quoted = f"({count('c', chr(34))} >= 4 OR {has('c', '(?i)' + rules.quotes)})"
+    tree = f"""CASE WHEN a > 0 AND NOT (p > 0 AND p >= a + 2 AND n > 280) THEN
+          CASE WHEN {quoted} AND a <= 1 AND n > 280 THEN {{'l': 'press_release', 'r': 'narrative_media_coverage_over_weak_action', 'c': 0.55::DOUBLE}}
+            WHEN n > 280 AND a <= 1 AND p >= 2 THEN {{'l': 'press_release', 'r': 'long_press_style_with_weak_psa_cue', 'c': 0.6::DOUBLE}}
+            WHEN n < 8 THEN {{'l': 'not_psa', 'r': 'too_short_for_psa', 'c': 0.15::DOUBLE}}
+            WHEN n > 400 THEN {{'l': 'not_psa', 'r': 'too_long_for_framework_psa', 'c': 0.35::DOUBLE}}
+            ELSE {{'l': 'psa', 'r': 'public_action_advisory_or_alert', 'c': 0.55::DOUBLE + least(0.35::DOUBLE, a * 0.08::DOUBLE) + (CASE WHEN n <= 180 THEN 0.08::DOUBLE ELSE 0::DOUBLE END) - (CASE WHEN n > 280 THEN 0.12::DOUBLE ELSE 0::DOUBLE END)}} END
+        WHEN p > 0 THEN {{'l': 'press_release', 'r': 'government_activity_or_media_narrative', 'c': 0.5::DOUBLE + least(0.3::DOUBLE, p * 0.07::DOUBLE)}}
+        WHEN o > 0 THEN {{'l': 'other_gov_comm', 'r': 'legal_admin_tender_or_gazette_style', 'c': 0.55::DOUBLE + least(0.25::DOUBLE, o * 0.08::DOUBLE)}}
+        ELSE {{'l': 'not_psa', 'r': 'no_framework_intent_match', 'c': 0.2::DOUBLE}} END"""
+    return f"""SELECT id, x.l AS label, cf AS confidence, x.r AS reason, a, p, o, n, x.l = 'psa' AND cf >= 0.55::DOUBLE AS is_strict
+          FROM (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, round_even(x.c, 3))) AS cf FROM (SELECT *, {tree} AS x FROM (
+            SELECT id, n, c, {count('c', '(?i)' + rules.action)} AS a, {count('c', '(?i)' + rules.press)} AS p, {count('c', '(?i)' + rules.other)} AS o
+            FROM (SELECT id, n, {both} AS c FROM (SELECT id, {wc('text')} AS n, {collapse('text')} AS w, {collapse('title')} AS t FROM {cte})))))"""
+
+
 def sentences(x: str, least: int = 6) -> str:
     """Sentences of at least ``least`` words, long ones not cut."""
     t = collapse(x)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import html as H
 from quern.functions import text as T
 from quern.queries import duck as D
+from quern.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -24,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return read_table(spark, sf_dir, "pages", spread=True)
 
 
 def _bare(x: str) -> str:

@@ -16,6 +16,7 @@ from quern.operators import translation_metrics as TM
 from quern.plans import jobs
 from quern.queries import duck as D
 from quern.queries.texts import _form, documents
+from quern.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -49,7 +50,7 @@ TURNS_SQL = f"""(SELECT u.conv_id * 1000 + u.turn AS id, u.text AS s, a.text AS
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, s, t, lang``: source, target and the target's language."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    c = read_table(spark, sf_dir, "conversations", spread=True)
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("s"))
     a = c.where("role = 'assistant'").select(F.col("conv_id").alias("c"), (F.col("turn") - 1).alias("before"), F.col("text").alias("t"))
     both = u.join(a, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("before"))).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "s", "t", F.lit("en").alias("lang"))
@@ -184,12 +185,12 @@ _HARVEST = f"(SELECT doc_id + 1 AS line, {D.wc('text')} >= 30 AS ok, (doc_id % 3
 
 @query(
     "harvest_prefix_filter",
-    f"""SELECT line, score FROM (SELECT *, count(*) OVER (ORDER BY line) AS kept FROM (SELECT *, count(*) OVER (ORDER BY line) AS passed FROM {_HARVEST} WHERE ok AND line <= 150) WHERE passed <= 21 OR score > 0 OR line >= 150) WHERE kept <= 80 ORDER BY score DESC, line LIMIT 40""",
+    f"""SELECT line, score FROM (SELECT *, count(*) OVER (ORDER BY line) AS kept FROM (SELECT *, count(*) OVER (ORDER BY line) AS passed FROM {_HARVEST} WHERE ok AND line <= 50000) WHERE passed <= 1501 OR score > 0 OR line >= 50000) WHERE kept <= 6000 ORDER BY score DESC, line LIMIT 3000""",
 )
 def harvest_prefix_filter(spark, sf_dir):
-    """JOB-16, WIN-06, ORD-01."""
+    """JOB-16, WIN-06, ORD-01 with the feature's own limit and scan."""
     rows = documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("line"), (T.word_count("text") >= 30).alias("ok"), (F.col("doc_id") % 3 == 0).cast("int").alias("score"))
-    return K.prefix_then_filter(rows, "ok", "score", 40, 150, "line").orderBy(F.desc("score"), "line").limit(40).select("line", "score")
+    return K.prefix_then_filter(rows, "ok", "score", 3000, 50_000, "line").orderBy(F.desc("score"), "line").limit(3000).select("line", "score")
 
 
 @query("positional_bitext", "SELECT d.n AS line, d.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) d JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) b USING (n)")

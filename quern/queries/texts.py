@@ -11,10 +11,11 @@ from quern.functions import rules as R
 from quern.functions import text as T
 from quern.functions.python_hooks import nfkc
 from quern.queries import duck as D
+from quern.sources.tables import read_table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents", spread=True)
 
 
 #: Texts that take the branches ordinary prose never takes; unioned to the corpus where rules are tested.
@@ -175,7 +176,7 @@ def title_parts(spark, sf_dir):
     return corpus(spark, sf_dir).withColumn("p", T.title_and_body("text")).select("id", T.title_hint("text").alias("hint"), "p.title", F.sha2(F.col("p.body").cast("binary"), 256).alias("body_sha256"))
 
 
-@query("extract_core")
+@query("extract_core", f"SELECT id, {D.core('hint', 'text', 350, L.FORCE)} AS core, {D.core('hint', 'text', 60, L.PROSE_RULES.force)} AS short_core FROM (SELECT id, text, {D.title_hint('text')} AS hint FROM {CORPUS_SQL})")
 def extract_core(spark, sf_dir):
     """TXT-29: cores of every text under both rule sets."""
     return corpus(spark, sf_dir).select("id", T.extract_core(T.title_hint("text"), F.col("text")).alias("core"), T.extract_core(T.title_hint("text"), F.col("text"), 60, L.PROSE_RULES.force).alias("short_core"))
@@ -209,12 +210,12 @@ def normalize_domain(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("source").alias("src")).union(extra).distinct().select("src", T.normalize_domain("src").alias("domain"))
 
 
-@query("formatted_ids", "SELECT doc_id, printf('psa_%d_%06d', 2026, doc_id) AS psa_id, printf('GOV_%05d', doc_id) AS gov_id, 'translate English to Kikuyu: ' || substr(text, 1, 40) AS prompt, '[DRY_RUN kik] ' || substr(text, 1, 80) AS target FROM documents")
+@query("formatted_ids", "SELECT doc_id, printf('psa_%d_%06d', 2026, doc_id) AS psa_id, printf('GOV_%05d', doc_id) AS gov_id, md5('translate English to Kikuyu: ' || text) AS prompt_md5, '[DRY_RUN kik] ' || substr(text, 1, 80) AS target FROM documents")
 def formatted_ids(spark, sf_dir):
     """TXT-32 to 34."""
     return documents(spark, sf_dir).select(
         "doc_id", T.numbered("psa_%d_%06d", F.lit(2026), F.col("doc_id")).alias("psa_id"), T.numbered("GOV_%05d", F.col("doc_id")).alias("gov_id"),
-        T.model_prompt(F.substring("text", 1, 40), F.lit("kik")).alias("prompt"), T.dry_run_target("text", F.lit("kik")).alias("target"),
+        F.md5(T.model_prompt(F.col("text"), F.lit("kik")).cast("binary")).alias("prompt_md5"), T.dry_run_target("text", F.lit("kik")).alias("target"),
     )
 
 
@@ -296,24 +297,9 @@ def _rule_queries(suffix: str, rules) -> None:
         """CLS-01."""
         return corpus(spark, sf_dir).withColumn("s", R.notice_score(T.title_hint("text"), "text", rules)).select("id", "s.is_notice", "s.score")
 
-    both = f"trim(t || '. ' || w, '. ')"
-    quoted = f"({D.count('c', chr(34))} >= 4 OR {D.has('c', '(?i)' + rules.quotes)})"
-    tree = f"""CASE WHEN a > 0 AND NOT (p > 0 AND p >= a + 2 AND n > 280) THEN
-          CASE WHEN {quoted} AND a <= 1 AND n > 280 THEN {{'l': 'press_release', 'r': 'narrative_media_coverage_over_weak_action', 'c': 0.55::DOUBLE}}
-            WHEN n > 280 AND a <= 1 AND p >= 2 THEN {{'l': 'press_release', 'r': 'long_press_style_with_weak_psa_cue', 'c': 0.6::DOUBLE}}
-            WHEN n < 8 THEN {{'l': 'not_psa', 'r': 'too_short_for_psa', 'c': 0.15::DOUBLE}}
-            WHEN n > 400 THEN {{'l': 'not_psa', 'r': 'too_long_for_framework_psa', 'c': 0.35::DOUBLE}}
-            ELSE {{'l': 'psa', 'r': 'public_action_advisory_or_alert', 'c': 0.55::DOUBLE + least(0.35::DOUBLE, a * 0.08::DOUBLE) + (CASE WHEN n <= 180 THEN 0.08::DOUBLE ELSE 0::DOUBLE END) - (CASE WHEN n > 280 THEN 0.12::DOUBLE ELSE 0::DOUBLE END)}} END
-        WHEN p > 0 THEN {{'l': 'press_release', 'r': 'government_activity_or_media_narrative', 'c': 0.5::DOUBLE + least(0.3::DOUBLE, p * 0.07::DOUBLE)}}
-        WHEN o > 0 THEN {{'l': 'other_gov_comm', 'r': 'legal_admin_tender_or_gazette_style', 'c': 0.55::DOUBLE + least(0.25::DOUBLE, o * 0.08::DOUBLE)}}
-        ELSE {{'l': 'not_psa', 'r': 'no_framework_intent_match', 'c': 0.2::DOUBLE}} END"""
-
     @query(
         f"framework_label{suffix}",
-        f"""SELECT id, x.l AS label, cf AS confidence, x.r AS reason, a::BIGINT AS action_hits, p::BIGINT AS press_hits, o::BIGINT AS other_hits, n::BIGINT AS token_count, x.l = 'psa' AND cf >= 0.55::DOUBLE AS is_strict
-          FROM (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, round_even(x.c, 3))) AS cf FROM (SELECT *, {tree} AS x FROM (
-            SELECT id, n, c, {D.count('c', '(?i)' + rules.action)} AS a, {D.count('c', '(?i)' + rules.press)} AS p, {D.count('c', '(?i)' + rules.other)} AS o
-            FROM (SELECT id, n, {both} AS c FROM (SELECT id, {D.wc('text')} AS n, {D.collapse('text')} AS w, {D.collapse(title)} AS t FROM {CORPUS_SQL})))))""",
+        f"SELECT id, label, confidence, reason, a::BIGINT AS action_hits, p::BIGINT AS press_hits, o::BIGINT AS other_hits, n::BIGINT AS token_count, is_strict FROM ({D.framework(f'(SELECT id, text, {title} AS title FROM {CORPUS_SQL})', rules)})",
     )
     def framework_label(spark, sf_dir):
         """CLS-02."""
