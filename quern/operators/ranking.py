@@ -5,10 +5,15 @@ Sheets carry their order in a column; ``ord`` names it below.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.plans.stage_table import stage_table
+from quern.plans.stage_table import drop_stage_table, stage_table
+
+#: Rows that one task numbers at the most, on average.
+PART_ROWS = 4_000_000
 
 
 def keep_first(df: DataFrame, key: str, *order) -> DataFrame:
@@ -22,21 +27,29 @@ def keep_first(df: DataFrame, key: str, *order) -> DataFrame:
     return df.withColumn("own_", own).join(first.withColumnRenamed(key, "key_"), (F.col(key) == F.col("key_")) & (F.col("own_") == F.col("first_"))).drop("own_", "key_", "first_")
 
 
-def dense_number(df: DataFrame, out: str, *order, buckets: int | None = None) -> DataFrame:
+def dense_number(df: DataFrame, out: str, *order: str, buckets: int | None = None) -> DataFrame:
     """WIN-02: numbers from 1 without gaps, without one task for all rows.
 
-    Rows are range-partitioned by the order; each partition's rows are counted,
-    and a row's number is its place within the partition after all before. There
-    are as many partitions as a shuffle has. The order must be unique.
+    ``order`` names columns that are unique together, nulls first. Only these
+    are range-partitioned: each partition's rows are counted, and a row's number is
+    its place within the partition after all before. There are as many partitions
+    as a shuffle has, or more, so that none sorts more than ``PART_ROWS`` or so.
+    The rows then get their numbers by a join. Other columns may have any name.
     """
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(buckets, *order).withColumn("part_", F.spark_partition_id())
-    placed = stage_table(placed, "numbered")
+    keys = stage_table(df.select(*order), "order")
+    buckets = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // PART_ROWS))
+    named = [f"o{i}_" for i in range(len(order))]
+    placed = stage_table(keys.toDF(*named).repartitionByRange(buckets, *named).withColumn("part_", F.spark_partition_id()), "numbered")
+    drop_stage_table(keys)
     sizes = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("part_", before.alias("before_"))  # one row for each of the buckets
-    within = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
-    return placed.join(F.broadcast(sizes), "part_").withColumn(out, (F.col("before_") + within).cast("long")).drop("part_", "before_")
+    within = F.row_number().over(Window.partitionBy("part_").orderBy(*named))
+    numbers = placed.join(F.broadcast(sizes), "part_").select(*named, (F.col("before_") + within).cast("long").alias("number_"))
+    # The rows' own columns go as one, so that none of their names is in the way.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
+    same = reduce(lambda a, b: a & b, [rows["row_"][c].eqNullSafe(numbers[o]) for c, o in zip(order, named, strict=True)])
+    return rows.join(numbers, same).select("row_.*", F.col("number_").alias(out))
 
 
 def renumber(df: DataFrame, id_col: str, prefix: str, year: int, *order, original: str = "original_id") -> DataFrame:

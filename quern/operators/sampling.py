@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.prefix_sums import KEY_BITS, exclusive_sums
 from quern.operators.ranking import shuffle_key
 
 #: Strata whose sizes may be collected for an allocation.
@@ -53,8 +54,14 @@ def stratified_sample(df: DataFrame, n: int, id_col: str, key: str, seed: int =
 
 
 def _ranked(df: DataFrame, id_col: str, key: str, seed: int) -> DataFrame:
-    df = df.withColumn("stratum_", group_key(key))
-    return df.withColumn("rank_", F.row_number().over(Window.partitionBy("stratum_").orderBy(shuffle_key(seed, id_col), id_col)))
+    return _shuffled(df.withColumn("stratum_", group_key(key)), ["stratum_"], id_col, seed)
+
+
+def _shuffled(df: DataFrame, group: list[str], id_col: str, seed: int) -> DataFrame:
+    """Adds ``rank_`` from 1 in the order of the shuffle's hashes; a group of most rows is ranked in many tasks."""
+    hashed = shuffle_key(seed, id_col)
+    df = df.withColumn("md5_", hashed).withColumn("key_", F.conv(F.substring(hashed, 1, KEY_BITS // 4), 16, 10).cast("long")).withColumn("one_", F.lit(1).cast("long"))
+    return exclusive_sums(df, group, "key_", "one_", "rank_", ties=("md5_", id_col)).withColumn("rank_", F.col("rank_") + 1).drop("md5_", "key_", "one_")
 
 
 def split_sizes(n: Column, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> Column:
@@ -100,8 +107,8 @@ def pair_split_sizes(n: Column, ratios: tuple[float, float, float] = (0.8, 0.1,
 
 def pair_split(df: DataFrame, id_col: str, language: str = "target_lang", ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
     """SMP-04: adds ``split`` within each target language."""
-    w = Window.partitionBy(language)
-    ranked = df.withColumn("rank_", F.row_number().over(w.orderBy(shuffle_key(seed, id_col), id_col)))
+    named = df.withColumn("none_", F.col(language).isNull()).withColumn("group_", F.coalesce(F.col(language).cast("string"), F.lit("")))
+    ranked = _shuffled(named, ["none_", "group_"], id_col, seed).drop("none_", "group_")
     sizes = df.groupBy(F.col(language).alias("lang_")).agg(F.count(F.lit(1)).alias("n_")).withColumn("cut_", pair_split_sizes(F.col("n_"), ratios)).drop("n_")
     split = F.when(F.col("rank_") <= F.col("cut_.train"), "train").when(F.col("rank_") <= F.col("cut_.train") + F.col("cut_.dev"), "dev").otherwise("test")
     return ranked.join(sizes, F.col(language).eqNullSafe(F.col("lang_"))).withColumn("split", split).drop("rank_", "cut_", "lang_")

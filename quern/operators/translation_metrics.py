@@ -1,7 +1,7 @@
 """Corpus BLEU and chrF as their papers define them (Papineni 2002, Popovic 2015).
 
-N-grams of all pairs are counted in one partial aggregation; the counts add up
-to one row, from which the score follows in closed form.
+N-grams are counted within each pair's row; the counts add up to one row, from
+which the score follows in closed form.
 """
 
 from __future__ import annotations
@@ -26,26 +26,37 @@ def mt_tokens(c) -> Column:
     return words(F.regexp_replace(c, r"([0-9])(-)", "$1 $2 "))
 
 
+def _grams(units: Column, n: int, sep: str) -> Column:
+    places = F.when(F.size(units) >= n, F.sequence(F.lit(1), F.size(units) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(units, i, F.lit(n)), sep))
+
+
+def _matched(h: Column, r: Column) -> Column:
+    """N-grams of two lists that pair off: both are sorted as one, and each run of equal ones gives its smaller side."""
+    side = lambda grams, own: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(own).alias("h")))
+    state = lambda g, h, r, m: F.struct(g.alias("g"), h.alias("h"), r.alias("r"), m.alias("m"))
+    none = F.lit(0).cast("long")
+    done = lambda acc: acc["m"] + F.least(acc["h"], acc["r"])
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["g"] == x["g"]
+        return state(x["g"], F.when(same, acc["h"]).otherwise(none) + x["h"], F.when(same, acc["r"]).otherwise(none) + (1 - x["h"]), F.when(same, acc["m"]).otherwise(done(acc)))
+
+    return F.aggregate(F.sort_array(F.concat(side(h, 1), side(r, 0))), state(F.lit(""), none, none, none), step, done)
+
+
 def _counts(df: DataFrame, sides: dict[str, Column], orders: int, sep: str) -> DataFrame:
     """One row: matched n-grams ``m1..``, and each side's totals ``h1.., r1..``, and the number of pairs ``n``.
 
-    N-grams of a pair are counted for both sides and clipped to the smaller
-    count. Equal pairs share a key: their counts add up on either side alike.
+    N-grams are counted within the pair's row and clipped to the smaller count,
+    so that only sums leave it: nothing but one row a task is shuffled.
     """
-    key = F.md5(F.concat_ws("\x1f", *[text_or_empty(c) for c in ("hyp_", "ref_")]).cast("binary"))
-    rows = df.select(key.alias("k"), *[c.alias(s) for s, c in sides.items()])
-
-    def grams(side: str) -> DataFrame:
-        units = F.col(side)
-        runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(units) - n + 1), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(units, i, n), sep).alias("g")))
-        every = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(orders), F.size(units))), runs))
-        one = rows.where(F.size(units) > 0).select("k", F.explode(every).alias("x"))
-        return one.select("k", "x.n", "x.g", *[F.lit(int(side == s)).alias(s) for s in sides])
-
-    clipped = grams("h").unionByName(grams("r")).groupBy("k", "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    by_order = clipped.groupBy("n").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
-    pick = [F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, orders + 1) for c in ("m", "h", "r")]
-    return by_order.agg(*pick).crossJoin(df.agg(F.count(F.lit(1)).alias("n")))
+    rows = df.select(*[c.alias(s) for s, c in sides.items()])
+    h, r = F.col("h"), F.col("r")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    size = lambda c, n: F.greatest(F.size(c) - (n - 1), F.lit(0)).cast("long")
+    parts = [x for n in range(1, orders + 1) for x in (total(_matched(_grams(h, n, sep), _grams(r, n, sep)), f"m{n}"), total(size(h, n), f"h{n}"), total(size(r, n), f"r{n}"))]
+    return rows.agg(*parts, F.count(F.lit(1)).alias("n"))
 
 
 def corpus_bleu(df: DataFrame, hypothesis: str, reference: str, orders: int = 4) -> DataFrame:
