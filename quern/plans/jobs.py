@@ -6,6 +6,7 @@ year and the seed are parameters, so results repeat.
 
 from __future__ import annotations
 
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,58 @@ def ingest(items: DataFrame, stored: DataFrame, year: int = 2026, rules: SimpleN
     return {"notices": new, "log": log.withColumn("items_rejected", F.col("items_found") - F.col("items_stored"))}
 
 
+def notice_records(new: DataFrame) -> DataFrame:
+    """SNK-06: new notices in the columns and types of the stored record; what a notice lacks is null, metadata may be JSON."""
+    kinds = dict(new.dtypes)
+
+    def value(f) -> Column:
+        if kinds.get(f.name) == "string" and f.dataType.typeName() == "map":
+            return parse(f.name)
+        return F.col(f.name) if f.name in kinds else F.lit(None)
+
+    return new.select(*[value(f).cast(f.dataType).alias(f.name) for f in S.NOTICE])
+
+
+def append_notices(new: DataFrame, path: str) -> None:
+    """SNK-06: new notices added to the stored table."""
+    notice_records(new).write.mode("append").parquet(path)
+
+
+def ingest_sources(sources: DataFrame, read, stored: DataFrame, year: int = 2026, rules: SimpleNamespace = RULES) -> dict[str, DataFrame]:
+    """JOB-02, SRC-20: all sources of a work list in one ingest; one that can't be read fails by itself.
+
+    ``read`` takes a source's row and returns its items ``(source_id, source_url,
+    title, raw_html, raw_text, published_at)`` or raises; what it raises, also when
+    the items' schema is resolved, is that source's ``error`` in the log, and the
+    others go on. The work list is small (a registry); its items may be any number.
+    """
+    spark, parts, failed = sources.sparkSession, [], []
+    for k, source in enumerate(sources.toLocalIterator()):
+        try:
+            if source["adapter"] is None:
+                raise LookupError(f"unknown source {source['source_id']}")
+            items = read(source).select("source_id", "source_url", "title", "raw_html", "raw_text", "published_at")
+            items = items.withColumn("ord", F.struct(F.lit(k).alias("source"), F.xxhash64("source_url", "raw_text").alias("item"), F.col("source_url").alias("url"), F.md5(F.coalesce("raw_text", F.lit("")).cast("binary")).alias("text")))
+            for c, v in (("domain", (source["domains_covered"] or [None])[0]), ("language_default", source["primary_language"]), ("organization", source["organization"]), ("adapter", source["adapter"])):
+                items = items.withColumn(c, F.lit(v).cast("string"))
+            parts.append((source["source_id"], items.withColumn("trust_score", F.lit(source["trust_score"]).cast("int"))))
+        except Exception as e:  # a source's failure must not end the others
+            failed.append((source["source_id"], f"{type(e).__name__}: {e}"[:500]))
+    logs = spark.createDataFrame([(i, "failed", 0, 0, 0, e) for i, e in failed], S.RUN_LOG)
+    if not parts:
+        return {"notices": notice_records(spark.createDataFrame([], "psa_id string")), "log": logs}
+    out = ingest(reduce(DataFrame.unionByName, [items for _, items in parts]).dropDuplicates(["ord"]), stored, year, rules)
+    done = spark.createDataFrame([(i,) for i, _ in parts], "source_id string").join(out["log"], "source_id", "left")  # also those without items
+    done = done.select("source_id", F.lit("success").alias("status"), *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("items_found", "items_stored", "items_rejected")], F.lit(None).cast("string").alias("error"))
+    return out | {"log": done.unionByName(logs)}
+
+
+def without_source(notices: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
+    """JOB-21: the notices without those of a source, and one row that counts the deleted ones."""
+    gone = F.col("source_id").eqNullSafe(F.lit(source_id))
+    return notices.where(~gone), notices.agg(count_true(gone).alias("deleted"))
+
+
 def store_stats(notices: DataFrame) -> dict[str, DataFrame]:
     """JOB-03, AGG-01/02: active rows, by domain and by language."""
     active = notices.where("status = 'active'")
@@ -282,7 +335,20 @@ def synthesise(spark: SparkSession, slots: dict, real: DataFrame, target: int, s
     )
     kept = real.withColumn("Metadata", serialise(set_default(parse("Metadata"), _map(synthetic=F.lit("false"))))).withColumn("src_", F.lit(0))
     merged = renumber(kept.select(*added.columns).unionByName(added), "PSA_ID", "psa", year, "src_", "ord")
-    return {"added": added.drop("src_"), "merged": merged.select(*S.CORPUS.names), "rejected": count_by(rows.where("not fw_.is_strict"), "fw_.label")}
+    # AGG-17: every attempt is added, a duplicate, or rejected by its label; those after the last one needed never were.
+    tried = rows.join(added.select(F.col("ord").alias("id"), F.lit(True).alias("added_")), "id", "left")
+    last = added.agg(F.max("ord").alias("last_")).crossJoin(F.broadcast(real.agg(need))).crossJoin(F.broadcast(added.agg(F.count(F.lit(1)).alias("n_"))))
+    tried = tried.crossJoin(F.broadcast(last)).where((F.col("n_") < F.col("need_")) | (F.col("id") <= F.col("last_")))
+    known = seen_keys(real.select("English")).withColumn("known_", F.lit(True))
+    first = rows.where("fw_.is_strict").groupBy("key").agg(F.min("id").alias("first_"))
+    tried = tried.join(known, "key", "left").join(first, "key", "left")
+    twice = (F.col("key") == "") | F.col("known_").isNotNull() | F.coalesce(F.col("id") > F.col("first_"), F.lit(False))
+    outcome = F.when(F.col("added_"), "added").when(twice, "duplicate").otherwise(F.col("fw_.label"))
+    origin = F.when(lenient_flag(parse("Metadata")["synthetic"]), "synthetic").otherwise("real")
+    return {
+        "added": added.drop("src_"), "merged": merged.select(*S.CORPUS.names), "rejected": count_by(tried.withColumn("outcome", outcome).where("outcome <> 'added'"), "outcome"),
+        "attempts": tried.agg(F.count(F.lit(1)).alias("attempts")), "by_origin": count_by(merged, origin), "by_domain": count_by(merged, "Domain"),
+    }
 
 
 # --- Features, statistics and splits (JOB-10, 11) ------------------------------------------------
@@ -430,7 +496,7 @@ def harvest(bitext: DataFrame, limit: int = 3000, scan: int = 50_000, source: st
     rows = bitext.where(F.col("line") <= scan).withColumn("qc_", pair_check("en", "sw", guess_language("sw", 1), F.lit(True)))
     rows = rows.withColumn("ok_", F.col("qc_.ok")).withColumn("score_", notice_score_words("en"))
     kept = prefix_then_filter(rows, "ok_", "score_", limit, scan, "line").orderBy(F.desc("score_"), "line").limit(limit)
-    kept = dense_number(kept, "n_", F.desc("score_"), F.col("line"), buckets=8)
+    kept = dense_number(kept.withColumn("down_", -F.col("score_")), "n_", "down_", "line", buckets=8)
     meta = _map(corpus=F.lit(source), length_ratio=F.col("qc_.length_ratio"), glossary_preservation=F.col("qc_.glossary_preservation"), psaish_score=F.col("score_"), silver=F.lit("true"), human_reviewed=F.lit("false"))
     return kept.select(
         F.format_string("opus_en_sw_%06d", "n_").alias("pair_id"), F.lit("").alias("psa_id"), F.lit("General").alias("Domain"), F.lit("en").alias("source_lang"), F.lit("sw").alias("target_lang"),
@@ -453,6 +519,14 @@ def curated_sentences(items: DataFrame, curated: DataFrame, low: int = 6, high:
     return keep_first(first.unionByName(rows), "text", "src_", "ord", "at").select("text", "domain", "lang")
 
 
+def scale_gate(pairs: DataFrame, languages: tuple[str, ...] = ("sw", "kik"), least: int = 4500) -> DataFrame:
+    """JOB-20: ``target_lang, kept, verdict`` of each language: whether enough pairs are kept to train on."""
+    asked = pairs.sparkSession.createDataFrame([(x,) for x in languages], "target_lang string")
+    kept = F.coalesce("n", F.lit(0)).cast("long")
+    rows = asked.join(count_by(pairs, "target_lang").withColumnRenamed("key", "target_lang"), "target_lang", "left").withColumn("kept", kept)
+    return rows.select("target_lang", "kept", F.when(F.col("kept") >= least, "OK").otherwise(f"BELOW_{least}_SCALE_MORE").alias("verdict"))
+
+
 def training_report(pairs: DataFrame, source: str, target: str) -> DataFrame:
     """JOB-18, CLS-12: train and dev rows of a language pair, and whether they suffice; nothing is trained."""
     from quern.functions.rules import training_ready

@@ -3,8 +3,11 @@
 A step that is read more than once, or that ends an iteration, is written as
 Parquet below the folder that ``spark.checkpoint.dir`` names and read again.
 That cuts the lineage, survives the loss of any executor, and stores columns
-compressed. Only where the setting is absent (tests, a notebook) a folder of
-this machine is used.
+compressed. Only where the setting is absent and all runs on this machine (tests,
+a notebook) a folder of this machine is used; on a cluster that is an error.
+
+Tables that a result still reads stay in the folder until the application that
+owns it removes it; operators drop those that nothing reads any more.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else one set here."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()

@@ -15,6 +15,7 @@ from quern.operators import sampling as SM
 from quern.operators import statistics as ST
 from quern.queries import duck as D
 from quern.queries.texts import documents
+from quern.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def count(name: str):
@@ -105,21 +106,17 @@ def first_decides(spark, sf_dir):
     return JN.first_decides(rows, seen, "doc_id").select("doc_id", F.coalesce("reason", F.lit("added")).alias("outcome"))
 
 
-_FIRST50 = D.collapse("lower(substr(text, 1, 50))")
-
-
 @query(
     "first_passing",
-    f"""WITH seen AS (SELECT DISTINCT {_FIRST50} AS k FROM documents WHERE doc_id < 20 AND {_FIRST50} <> ''), r AS (SELECT doc_id, {_FIRST50} AS k, {_REASON} AS reason FROM documents WHERE doc_id >= 20)
-      SELECT min(doc_id) AS doc_id, k AS key FROM r WHERE k <> '' AND reason IS NULL AND k NOT IN (SELECT k FROM seen) GROUP BY k""",
+    f"""WITH seen AS (SELECT DISTINCT {_KEY} AS k FROM documents WHERE doc_id < 20 AND {_KEY} <> ''), r AS (SELECT doc_id, {_KEY} AS k, {_REASON} AS reason FROM documents WHERE doc_id >= 20)
+      SELECT min(doc_id) AS doc_id, md5(k) AS key FROM r WHERE k <> '' AND reason IS NULL AND k NOT IN (SELECT k FROM seen) GROUP BY k""",
 )
 def first_passing(spark, sf_dir):
-    """JON-04: of unseen cores the first row that passes."""
+    """JON-04: of unseen whole texts the first row that passes."""
     docs = documents(spark, sf_dir)
-    start = F.substring("text", 1, 50)
     n = T.word_count("text")
-    rows = docs.where("doc_id >= 20").select("doc_id", T.dedup_key(start).alias("key"), F.when(n < 12, "too_short").when(n > 350, "too_long_for_psa").alias("reason"))
-    return JN.first_passing(rows, JN.seen_keys(docs.where("doc_id < 20").select(start)), "reason", "doc_id").select("doc_id", "key")
+    rows = docs.where("doc_id >= 20").select("doc_id", T.dedup_key("text").alias("key"), F.when(n < 12, "too_short").when(n > 350, "too_long_for_psa").alias("reason"))
+    return JN.first_passing(rows, JN.seen_keys(docs.where("doc_id < 20").select("text")), "reason", "doc_id").select("doc_id", F.md5(F.col("key").cast("binary")).alias("key"))
 
 
 _MD5 = lambda seed, c: f"md5('{seed}|' || {c}::VARCHAR)"
@@ -152,13 +149,33 @@ def small_group_split(spark, sf_dir):
     return SM.stratified_split(df, "id", "g").select("id", "g", "split")
 
 
-@query("stratified_sample_counts")
+def _allocated(sizes: str, n: str, least: int) -> str:
+    """``(g, c, alloc)`` of ``sizes(g, c)``: shares of ``n`` rows, corrected one by one to ``n``; all rows where there are no more."""
+    step = f"CASE WHEN list_sum(o) > want THEN list_transform(range(1, len(o) + 1), lambda i: o[i] - (i = list_position(o, list_max(o)))::INT) ELSE list_transform(range(1, len(o) + 1), lambda i: o[i] + (i = list_position(list_transform(range(1, len(o) + 1), lambda j: cs[j] - o[j]), list_max(list_transform(range(1, len(o) + 1), lambda j: cs[j] - o[j]))))::INT) END"
+    left = "list_max(list_transform(range(1, len(o) + 1), lambda j: cs[j] - o[j]))"
+    done = f"(list_sum(o) = want OR (list_sum(o) > want AND list_max(o) <= 1) OR (list_sum(o) < want AND {left} <= 0))"
+    return f"""(WITH RECURSIVE z AS (SELECT list(g ORDER BY g) AS gs, list(c ORDER BY g) AS cs, sum(c) AS total, {n} AS want FROM {sizes}),
+      walk(gs, cs, want, o) AS (SELECT gs, cs, least(want, total), list_transform(cs, lambda c: least(c, greatest({least}, round_even(c::DOUBLE / total * want, 0)::BIGINT))) FROM z
+        UNION ALL SELECT gs, cs, want, {step} FROM walk WHERE want > 0 AND NOT {done})
+      SELECT unnest(gs) AS g, unnest(cs) AS c, unnest(o) AS alloc FROM walk WHERE want > 0 AND {done})"""
+
+
+@query("stratified_sample_counts", f"SELECT g AS key, alloc::BIGINT AS n FROM {_allocated('(SELECT source AS g, count(*) AS c FROM documents GROUP BY 1)', '100', 3)} WHERE alloc > 0")
 def stratified_sample_counts(spark, sf_dir):
-    """SMP-01: rows of each source in a sample of 100; the corrections one by one have no SQL."""
+    """SMP-01: rows of each source in a sample of 100."""
     return ST.count_by(SM.stratified_sample(documents(spark, sf_dir).select("doc_id", "source"), 100, "doc_id", "source", least=3), "source")
 
 
-@query("validation_set_counts")
+def _sampled(rows: str, n: str, seed: int) -> str:
+    """Rows of a sample of ``rows(id, g, split)``."""
+    ranked = f"(SELECT split, id, g, row_number() OVER (PARTITION BY g ORDER BY md5('{seed}|' || id::VARCHAR), id) AS r FROM {rows})"
+    return f"SELECT h.split, h.g AS source FROM {ranked} h JOIN {_allocated(f'(SELECT g, count(*) AS c FROM {rows} GROUP BY 1)', n, 10)} a ON a.g = h.g WHERE h.r <= a.alloc"
+
+
+_HELD, _TRAIN = (f"(SELECT * FROM {_split_sql('documents', 'doc_id', 'source')} WHERE split IN ({parts}))" for parts in ("'test', 'dev'", "'train'"))
+
+
+@query("validation_set_counts", f"SELECT split, source, count(*) AS n FROM ({_sampled(_HELD, '50', 42)} UNION ALL {_sampled(_TRAIN, f'(SELECT greatest(50 - count(*), 0) FROM {_HELD})', 43)}) GROUP BY 1, 2")
 def validation_set_counts(spark, sf_dir):
     """SMP-03: a validation set by split and source."""
     split = stratified_split_rows(spark, sf_dir)
@@ -324,11 +341,11 @@ def status_changes(spark, sf_dir):
 
 
 @query("title_alignment", f"""SELECT a.doc_id AS en_id, b.doc_id AS sw_id, 'date_title_fuzzy' AS method, 1.0::DOUBLE - levenshtein(a.t, b.t)::DOUBLE / greatest(length(a.t), length(b.t), 1) AS score
-  FROM (SELECT doc_id, doc_id // 8 AS d, lower(regexp_replace(substr(text, 1, 40), '[^ -~]', '?', 'g')) AS t FROM documents WHERE doc_id % 2 = 0) a JOIN (SELECT doc_id, doc_id // 8 AS d, lower(regexp_replace(substr(text, 1, 40), '[^ -~]', '?', 'g')) AS t FROM documents WHERE doc_id % 2 = 1) b ON a.d = b.d
+  FROM (SELECT doc_id, doc_id // 8 AS d, lower(regexp_replace({D.title_hint('text')}, '[^ -~]', '?', 'g')) AS t FROM documents WHERE doc_id % 2 = 0) a JOIN (SELECT doc_id, doc_id // 8 AS d, lower(regexp_replace({D.title_hint('text')}, '[^ -~]', '?', 'g')) AS t FROM documents WHERE doc_id % 2 = 1) b ON a.d = b.d
   WHERE 1.0::DOUBLE - levenshtein(a.t, b.t)::DOUBLE / greatest(length(a.t), length(b.t), 1) >= 0.3::DOUBLE""")
 def title_alignment(spark, sf_dir):
     """JON-13 with a low threshold, so that there are rows."""
-    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.format_string("https://x/%d", "doc_id").alias("url"), F.floor(F.col("doc_id") / 8).alias("date"), F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "?").alias("title"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.format_string("https://x/%d", "doc_id").alias("url"), F.floor(F.col("doc_id") / 8).alias("date"), F.regexp_replace(T.title_hint("text"), "[^ -~]", "?").alias("title"))
     return JN.aligned_versions(d.where("id % 2 = 0"), d.where("id % 2 = 1"), 0.3)
 
 
@@ -368,7 +385,12 @@ def merge_job(spark, sf_dir):
     return out["clean"].select(F.lit("clean").alias("sheet")).union(out["quarantine"].select(F.lit("quarantine").alias("sheet"))).groupBy("sheet").agg(count("n"))
 
 
-@query("refilter_job")
+_BOTH_SHEETS = f"(SELECT doc_id AS ord, {D.strip('text')} AS text, source, lang, doc_id % 2 AS src, CASE WHEN n_chars > 2500 THEN 'too_long_for_psa' ELSE 'genre_news_not_psa' END AS why FROM documents)"
+_REFILTERED = f"""(SELECT ord AS id, CASE WHEN {D.wc('text')} > 350 THEN {D.core(D.title_hint('text'), 'text', 350, L.FORCE)} ELSE text END AS text, source AS src, lang FROM (
+  SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY src, ord) AS r FROM {_BOTH_SHEETS} WHERE {_KEY} <> '') WHERE r = 1)"""
+
+
+@query("refilter_job", f"SELECT reason AS key, count(*) AS n FROM ({D.gate(_REFILTERED, L.NOTICE_RULES)}) WHERE reason IS NOT NULL GROUP BY 1")
 def refilter_job(spark, sf_dir):
     """JOB-05: reasons of both sheets after long texts are cut to their cores."""
     from quern.plans.jobs import refilter
@@ -388,7 +410,15 @@ def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sheet.where("ord % 2 = 0").drop("Quarantine_Reason"), sheet.where("ord % 2 = 1")
 
 
-@query("recover_job")
+_CORES = f"(SELECT ord AS id, {D.core(D.title_hint('text'), 'text', 340, L.FORCE)} AS text, source AS src, 'en' AS lang, why FROM {_BOTH_SHEETS} WHERE src = 1)"
+
+
+@query(
+    "recover_job",
+    f"""WITH cores AS MATERIALIZED (SELECT * FROM {_CORES}), judged AS (SELECT c.*, {_KEY} AS k, g.reason FROM cores c JOIN ({D.gate('cores', L.NOTICE_RULES)}) g USING (id)),
+      back AS (SELECT min(id) AS id FROM judged WHERE reason IS NULL AND k <> '' AND k NOT IN (SELECT {_KEY} FROM {_BOTH_SHEETS} WHERE src = 0) GROUP BY k)
+      SELECT coalesce('core_failed:' || reason, why) AS key, count(*) AS n FROM judged WHERE id NOT IN (SELECT id FROM back) GROUP BY 1 UNION ALL SELECT 'recovered', count(*) FROM back""",
+)
 def recover_job(spark, sf_dir):
     """JOB-07, FLT-07: reasons of what stays, and how many cores return."""
     from quern.plans.jobs import recover_cores
@@ -408,7 +438,17 @@ def audit_job(spark, sf_dir):
     return out["audit"].groupBy(F.when(F.col("action_hits") > 0, "has_action").otherwise("no_action").alias("key")).agg(count("n"))
 
 
-@query("export_job")
+_FULL = f"(SELECT ord, lang, source, title, CASE WHEN title <> '' THEN {D.strip(chr(116) + 'rim(title || ' + D.q('. ') + ' || text, ' + D.q('. ') + ')')} ELSE text END AS full_ FROM (SELECT *, {D.strip(D.title_hint('text'))} AS title FROM {_BOTH_SHEETS}) WHERE title <> '' OR text <> '')"
+_EXPORTED = f"(SELECT ord AS id, lang[1:2] AS lang, source AS src, title, CASE WHEN {D.wc('full_')} > 320 AND {D.wc('core')} >= 12 THEN core ELSE full_ END AS text FROM (SELECT *, {D.core('title', 'full_', 340, L.FORCE)} AS core FROM {_FULL}))"
+
+
+@query(
+    "export_job",
+    f"""WITH rows AS MATERIALIZED (SELECT * FROM {_EXPORTED}), judged AS (SELECT r.id, {_KEY} AS k, coalesce(g.reason, CASE WHEN NOT f.is_strict THEN 'framework_' || f.label || ':' || f.reason END) AS reason
+        FROM rows r JOIN ({D.gate('rows', L.NOTICE_RULES)}) g USING (id) JOIN ({D.framework('rows', L.NOTICE_RULES)}) f USING (id)),
+      first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM judged WHERE k <> '' AND k NOT IN (SELECT {_KEY} FROM documents)) WHERE n = 1)
+      SELECT reason AS key, count(*) AS n FROM first WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'added', count(*) FROM first WHERE reason IS NULL""",
+)
 def export_job(spark, sf_dir):
     """JOB-06: outcomes of an export against both sheets."""
     from quern.plans.jobs import ingest_export
@@ -421,13 +461,13 @@ def export_job(spark, sf_dir):
     return ST.count_by(out["quarantined"], "Quarantine_Reason").union(out["added"].agg(F.lit("added").alias("key"), count("n")))
 
 
-@query("process_job", f"SELECT split, g AS Domain, count(*) AS n FROM {_split_sql('(SELECT doc_id::VARCHAR AS pid FROM documents WHERE doc_id % 2 = 0 AND ' + D.strip('text') + ' <> ' + D.q('') + ')', 'pid', D.q('Health'))} GROUP BY 1, 2")
+@query("process_job", f"SELECT split, g AS Domain, count(*) AS n FROM {_split_sql('(SELECT doc_id::VARCHAR AS pid FROM documents WHERE ' + D.strip('text') + ' <> ' + D.q('') + ')', 'pid', D.q('Health'))} GROUP BY 1, 2")
 def process_job(spark, sf_dir):
     """JOB-11: the cleaned sheet by split and domain."""
     from quern.plans.jobs import process_and_split
 
-    clean, _ = _sheets(spark, sf_dir)
-    return process_and_split(clean, 20)["split_counts"].withColumnRenamed("count", "n")
+    clean, quarantine = _sheets(spark, sf_dir)
+    return process_and_split(clean.unionByName(quarantine.drop("Quarantine_Reason")), 20)["split_counts"].withColumnRenamed("count", "n")
 
 
 @query("seed_candidates", f"SELECT doc_id, {D.wc('text')}::BIGINT AS full_token_count, {D.wc('s')}::BIGINT AS token_count FROM (SELECT doc_id, text, {D.strip('substr(' + D.collapse('text') + ', 1, 600)')} AS s FROM documents WHERE {D.wc('text')} BETWEEN 12 AND 200) WHERE {D.wc('s')} >= 12")
@@ -443,7 +483,7 @@ def seed_candidates(spark, sf_dir):
 @query("long_or_short", f"SELECT doc_id FROM documents WHERE {D.wc('text')} >= 8 OR {D.wc('lang')} >= 8")
 def long_or_short(spark, sf_dir):
     """FLT-01."""
-    return documents(spark, sf_dir).where((T.word_count("text") >= 8) | (T.word_count("lang") >= 8)).select("doc_id")
+    return documents(spark, sf_dir).where(T.long_in_either("text", "lang")).select("doc_id")
 
 
 @query("navigation_crumbs", f"SELECT id, {D.count('text', 'Home')} >= 2 AND contains(text, 'About') AS crumb FROM (SELECT page_id AS id, html || ' Home Home About' AS text FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, html FROM pages WHERE page_id % 2 = 1)")

@@ -24,6 +24,8 @@ def record(fields: str) -> T.StructType:
     return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (f.split(" ", 1) for f in re.split(r",\s+", fields))])
 
 
+# Names, order and types of the columns that sheets and records have.
+
 CORPUS = strings("PSA_ID", "Domain", "English", "Kiswahili", "Target Languages", "Source", "Date", "Metadata")
 QUARANTINE = strings(*CORPUS.names, "Quarantine_Reason")
 CLEANED = strings(
@@ -70,6 +72,7 @@ NOTICE = record(
     "classification_confidence double, keywords array<string>, token_count int, content_hash string, metadata map<string,string>, status string"
 )
 TRANSLATION = record("psa_id string, target_language string, method string, source_text string, target_text string, confidence double, verified boolean, metadata map<string,string>, created_at timestamp")
+RUN_LOG = record("source_id string, status string, items_found int, items_stored int, items_rejected int, error string")
 SCRAPE_LOG = record("source_id string, started_at timestamp, finished_at timestamp, status string, items_found int, items_stored int, items_rejected int, error string")
 PSA_PAIRS = record("en_psa_id string, sw_psa_id string, alignment_method string, alignment_score double, verified boolean, created_at timestamp")
 FEEDBACK = record("translation_id string, verdict string, suggestion string, reviewer string, created_at timestamp")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from quern import schemas as S
 from quern.functions.jsonmeta import literal_keys, parse, prefixed
 from quern.functions.lexicons import EXTERNAL_FILES
-from quern.functions.text import blank_to_null, clean_text, content_hash, guess_language, join_title, normalize_domain, primary_text, sentence_parts, strip, text_or_empty, word_count
+from quern.functions.text import blank_to_null, clean_text, content_hash, guess_language, join_title, long_in_either, normalize_domain, primary_text, sentence_parts, strip, text_or_empty, word_count
 
 TARGETS = '["Kikuyu"]'
 
@@ -108,11 +108,15 @@ def bitext_lines(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str, source_id: str, most: int = 50, least: int = 10) -> DataFrame:
-    """SRC-06: items of an RSS file: text without tags, of ``least`` words or more."""
+    """SRC-06: items of an RSS file: text without tags, of ``least`` words or more.
+
+    ``most`` keeps the first entries in the order of the file, blank or not; a
+    feed is one file, which one task reads from its start.
+    """
     from quern.functions.html import html_to_text, title_or_default
 
     schema = "title string, link string, description string, summary string, pubDate string"
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).limit(most)
+    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).withColumn("at_", F.monotonically_increasing_id()).orderBy("at_").limit(most)
     text = html_to_text(F.coalesce(blank_to_null(F.col("summary")), F.col("description")))
     when = F.to_timestamp(F.regexp_replace(F.col("pubDate"), r"^[A-Za-z]{3}, ", ""), "d MMM yyyy HH:mm:ss Z")
     items = raw.select(F.lit(source_id).alias("source_id"), F.col("link").alias("source_url"), title_or_default("title").alias("title"), F.lit(None).cast("string").alias("raw_html"), text.alias("raw_text"), when.alias("published_at"))
@@ -174,7 +178,7 @@ def canonical(df: DataFrame, psa_id, domain, english, kiswahili, source, date, f
         "ord", psa_id.alias("PSA_ID"), normalize_domain(domain).alias("Domain"), clean_text(english).alias("English"), clean_text(kiswahili).alias("Kiswahili"),
         (targets if targets is not None else F.lit(TARGETS)).alias("Target Languages"), text_or_empty(source).alias("Source"), text_or_empty(date).alias("Date"),
         *[v.alias(f"m_{k}") for k, v in fixed.items()], (extra if extra is not None else F.create_map().cast("map<string,string>")).alias("m_extra_"),
-    ).where((word_count("English") >= 8) | (word_count("Kiswahili") >= 8))
+    ).where(long_in_either("English", "Kiswahili"))
     main = F.col("main_")
     rows = rows.withColumn("main_", primary_text("English", "Kiswahili"))
     own = F.struct(
