@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.prefix_sums import exclusive_sums, hash_key
+from quern.operators.prefix_sums import exclusive_sums, hash_key
 from quern.plans.stage_table import stage_table
 
 WEIGHTS = (3, 1, 2)

@@ -15,10 +15,12 @@ from quern.llm.sharding import assign_shards
 from quern.llm.telephony_audio import text_media
 from quern.llm.toxicity_ngrams import score_toxicity
 from quern.llm.url_filter import judge_pages
+from quern.sources.tables import read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; one in a small file or two is dealt out to all cores."""
+    return read_table(spark, sf_dir, name, spread=True)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.prefix_sums import KEY_BITS, exclusive_sums, hash_key
+from quern.operators.prefix_sums import KEY_BITS, exclusive_sums, hash_key
 from quern.plans.stage_table import stage_table
 
 SHARDS = 16
