@@ -30,7 +30,11 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go, judged where they are."""
+    """Documents that the quality classifier rejects go, judged where they are.
+
+    A null or empty text is judged by figures of 0, repeated rows alike; without
+    labels all stay.
+    """
     return keep_good(docs.select(_columns(docs)), table(spark, sf_dir, "labels"))
 
 
@@ -57,12 +61,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source fills its target: documents appear as many times as the mix takes them."""
+    """Every source fills its target: documents appear as many times as the mix takes them.
+
+    Null, empty and blank texts are never taken; a null source is one of its own;
+    repeated rows share their key and are taken alike.
+    """
     return mix_documents(docs.select(_columns(docs)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, as digests."""
+    """Ids of every text, as digests; a null text counts as empty, repeated rows stay, a null id stays null."""
     return encode(docs, tokenizer_path(), digests=True)
 
 
