@@ -14,7 +14,8 @@ by 42 of 6). In a band every document is compared with the band's most
 central one; where these links leave a band in several components, its
 documents are compared across components by an exact join on their rarest
 shingles, so no link that would join two classes stays untested, however large
-a band is.
+a band is. Only documents that some band puts together are shuffled with their
+texts, the others are left where they are if the ids to choose are few.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 SLACK = 0.12
 #: Members of one leader that are verified in one group.
 GROUP = 128
+#: Documents of a shingle that are compared in one block.
+BLOCK = 4096
+#: Ids up to which a table of them is broadcast (8 MB), so that only the rows that they name are shuffled.
+SMALL = 1_000_000
 
 _PLACES = random_words(SHINGLE + 1, 11) | np.uint64(1)
 _A = (random_words(REGISTERS, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -164,9 +169,15 @@ def _likely(threshold: float):
     return likely
 
 
-def confirmed_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``pairs(leader, node)`` -> those whose full sets reach ``percent``, as ``(a, b)``."""
-    own = sketches.where("regs is not null").select("id", "n_shingles", "regs")
+def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with these ids, chosen in place where the ids are few; else all rows, for a join to choose from."""
+    return rows.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= SMALL else rows
+
+
+def confirmed_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, spent: list[DataFrame]) -> DataFrame:
+    """``pairs(leader, node)`` -> those whose full sets reach ``percent``, as ``(a, b)``; ``spent`` gets the tables on the way."""
+    asked = stage_table(pairs.select(F.explode(F.array("leader", "node")).alias("id")).distinct(), "asked")
+    own = _named(sketches.where("regs is not null").select("id", "n_shingles", "regs"), asked)
     left = own.select(F.col("id").alias("leader"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
     right = own.select(F.col("id").alias("node"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
     likely = (
@@ -181,9 +192,11 @@ def confirmed_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, per
     parts = likely.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
     members = likely.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("id"))
     heads = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("id"))
-    asked = members.union(heads)
+    asked = stage_table(members.union(heads), "asked")
+    spent += [likely, asked]
     return (
-        texts.join(asked.hint("merge"), "id")
+        _named(texts, asked.select("id").distinct())
+        .join(asked.hint("merge"), "id")
         .select("leader", "part", "id", "text")
         .repartition("leader", "part")
         .sortWithinPartitions("leader", "part", F.col("id") != F.col("leader"))
@@ -198,15 +211,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(sets, pa.list_(pa.int64()))], ["node", "c", "shingles"])
 
 
-def remaining_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def remaining_links(nodes: DataFrame, texts: DataFrame, percent: int, spent: list[DataFrame] | None = None) -> DataFrame:
     """Confirmed links ``(a, b)`` between different components ``c`` of ``nodes(node, c)``, none left out.
 
     Two sets at the threshold share one of the rarest shingles of each, as many
     as the smaller may lack, so only documents that share one of these are
     compared. In a group of edited copies these are the edits themselves: what
-    all copies have in common brings no pair together.
+    all copies have in common brings no pair together. A shingle of many
+    documents is dealt out in blocks: each document once to one block, and once
+    to all as one to be compared with.
     """
-    sets = texts.join(nodes.hint("merge"), F.col("id") == F.col("node")).select("node", "c", "text")
+    spent = spent if spent is not None else []
+    nodes = stage_table(nodes, "left")
+    sets = _named(texts, nodes.select(F.col("node").alias("id")).distinct()).join(nodes.hint("merge"), F.col("id") == F.col("node")).select("node", "c", "text")
     sets = stage_table(sets.mapInArrow(_sets, "node long, c long, shingles array<long>"), "sets")
     single = sets.select("node", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     used = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses"))
@@ -214,14 +231,18 @@ def remaining_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFra
     rarest = Window.partitionBy("node").orderBy("uses", "shingle")
     most = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
     ranked = ranked.withColumn("i", F.row_number().over(rarest)).where((F.col("i") <= most) & (F.col("uses") > 1))
-    rare = stage_table(ranked.select("shingle", "node", "c", "n", "i"), "rare")
+    blocks = F.ceil(F.col("uses") / BLOCK).cast("int")
+    rare = stage_table(ranked.select("shingle", "node", "c", "n", "i", blocks.alias("blocks")), "rare")
+    spent += [nodes, sets, rare]
     # The smaller set looks at fewer shingles yet, and what follows both places must suffice.
-    other = rare.select(F.col("shingle").alias("s"), F.col("node").alias("leader"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("i").alias("j"))
+    other = rare.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = other.select("at", F.col("shingle").alias("s"), F.col("node").alias("leader"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("i").alias("j"))
     other = other.where(F.col("j") <= F.col("k") - F.ceil(F.lit(2 * percent) * F.col("k") / (100 + percent)) + 1)
     smaller = (F.col("k") < F.col("n")) | ((F.col("k") == F.col("n")) & (F.col("leader") < F.col("node")))
     enough = F.least(F.col("n") - F.col("i"), F.col("k") - F.col("j")) + 1 >= F.ceil(F.lit(percent) * (F.col("n") + F.col("k")) / (100 + percent))
-    near = (F.col("shingle") == F.col("s")) & smaller & enough & (F.col("c") != F.col("d")) & (100 * F.col("k") >= percent * F.col("n"))
-    pairs = rare.join(other, near).select("leader", "node").distinct()
+    dealt = rare.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    near = (F.col("shingle") == F.col("s")) & (F.col("block") == F.col("at")) & smaller & enough & (F.col("c") != F.col("d")) & (100 * F.col("k") >= percent * F.col("n"))
+    pairs = dealt.join(other, near).select("leader", "node").distinct()
     a = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("x"))
     both = pairs.join(sets.select("node", F.col("shingles").alias("y")).hint("merge"), "node").join(a.hint("merge"), "leader")
     common = F.size(F.array_intersect("x", "y"))
@@ -238,33 +259,41 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     and different texts each have the class of their text, but an id that is the
     smallest of two classes joins them; a row whose id is null is linked with
     nothing and has a null component. Equal sets are one class from the
-    start, so groups of copies cost one comparison. Other columns are ignored.
+    start, so groups of copies cost one comparison. An empty table gives an
+    empty one; a very long text is hashed by itself, in some 60 times its size.
+    Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = stage_table(texts.mapInArrow(_sketches, "id long, n_shingles long, key_hi long, key_lo long, regs binary"), "sketches")
     classes = sketches.where("regs is not null and id is not null").groupBy("key_hi", "key_lo", "n_shingles").agg(F.min("id").alias("rep"))
     classes = stage_table(classes, "classes")
-    reps = sketches.where("regs is not null").join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
+    own = classes.select(F.col("rep").alias("id"))
+    reps = sketches.where("regs is not null").join(F.broadcast(own) if classes.count() <= SMALL else own.hint("merge"), "id", "left_semi")
     n_bands, n_rows = bands_and_rows(percent)
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * 2 * n_rows + 1, F.lit(2 * n_rows))))
     rows = stage_table(reps.select(F.col("id").alias("node"), F.explode(bands).alias("band")), "bands")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    members = stage_table(rows.join(shared.select("band", "size").hint("merge"), "band"), "members")
+    together = stage_table(rows.join(shared.select("band", "size").hint("merge"), "band"), "members")
+    drop_stage_table(rows)
     # The member that shares bands with most documents leads: in a group of near copies, the one they were made from.
-    central = members.groupBy("node").agg(F.sum("size").alias("score"))
-    members = members.join(central.hint("merge"), "node")
+    central = together.groupBy("node").agg(F.sum("size").alias("score"))
+    members = together.join(central.hint("merge"), "node")
     leaders = members.groupBy("band").agg(F.max(F.struct("score", (-F.col("node")).alias("by"))).alias("top")).select("band", (-F.col("top.by")).alias("leader"))
     members = stage_table(members.select("band", "node").join(leaders.hint("merge"), "band"), "members")
-    links = stage_table(confirmed_links(members.where("node <> leader").select("leader", "node").distinct(), sketches, texts, percent), "links")
+    drop_stage_table(together)
+    spent: list[DataFrame] = [members]
+    links = stage_table(confirmed_links(members.where("node <> leader").select("leader", "node").distinct(), sketches, texts, percent, spent), "links")
     found = stage_table(connected_components(links), "components")
 
     # Bands whose members the leaders have not brought together.
     placed = members.join(found.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
     left = placed.join(mixed.hint("merge"), "band").select("node", "c").distinct()
-    more = stage_table(remaining_links(left, texts, percent), "links")
+    more = stage_table(remaining_links(left, texts, percent, spent), "links")
     if not more.isEmpty():
         found = stage_table(connected_components(links.union(more)), "components")
+    for done in (*spent, links, more):  # the result reads only sketches, classes and components
+        drop_stage_table(done)
 
     placed = classes.join(found, classes["rep"] == found["node"], "left").select("key_hi", "key_lo", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("class"))
     whole = sketches.join(placed, (sketches["key_hi"] == placed["key_hi"]) & (sketches["key_lo"] == placed["key_lo"]) & (sketches["n_shingles"] == placed["n"]) & F.col("id").isNotNull(), "left")
