@@ -4,7 +4,7 @@ Method: unit vectors are cut into halves; a codebook for each half spans a
 product grid of cells (Babenko & Lempitsky 2012). Every vector lives in the
 cell of its nearest codewords. It visits cells in the order of a lower bound of
 their distance, the squared distances to the bisecting hyperplanes summed over
-the halves, until a reach that is calibrated for the target recall of pairs at
+the halves, which a heap walks by multi-sequence traversal, until a reach that is calibrated for the target recall of pairs at
 the threshold, and every vector met there is verified by its cosine in double
 precision. Pairs whose squared distance lies within the reach can't be missed at
 all, since it bounds them exactly; with ``recall=1`` the reach is the distance of
@@ -19,31 +19,39 @@ spanning forest of their links, not pairs.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.plans.stage_table import stage_table
+from quern.plans.stage_table import drop_stage_table, stage_table
 
 SAMPLE = 20_000
 CELL = 256
-MOST_WORDS = 256
+#: Codewords a half: as many as make cells of ``CELL`` vectors, up to this (cells then grow from 268 million vectors a label on).
+MOST_WORDS = 1024
 RESIDENTS, VISITORS = 1024, 4096
 #: Share of synthetic pairs at the threshold that the calibrated reach covers.
 RECALL = 0.9999
 
 
 def units(column: pa.ListArray) -> list[np.ndarray]:
-    """Unit vectors in double precision; the caller has removed what has none."""
-    out = []
-    for x in column:
-        v = np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)
-        v = v / np.abs(v).max()
-        out.append(v / np.sqrt(v @ v))
+    """Unit vectors in double precision; the caller has removed what has none. Runs of equal lengths go as one matrix."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out: list[np.ndarray] = []
+    starts = np.flatnonzero(np.diff(sizes, prepend=-1))
+    at = 0
+    for first, end in zip(starts, np.append(starts[1:], len(sizes)), strict=True):
+        x = values[at : at + (end - first) * sizes[first]].reshape(end - first, sizes[first])
+        at += x.size
+        x = x / np.abs(x).max(1, keepdims=True)
+        out += list(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None])
     return out
 
 
@@ -65,6 +73,8 @@ class Grid:
 
     def __init__(self, first: np.ndarray, second: np.ndarray, reach: float = 0.0):
         self.books, self.reach = (first, second), reach
+        #: Distances of the codewords of a half from each other.
+        self.apart = [np.sqrt(np.maximum((w * w).sum(1)[:, None] - 2 * w @ w.T + (w * w).sum(1), 1e-300)) for w in self.books]
 
     @property
     def split(self) -> int:
@@ -73,30 +83,39 @@ class Grid:
     def bounds(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Own codewords of each half, and least squared distances to the other codewords' regions."""
         owns, bounds = [], []
-        for half, words in zip((x[:, : self.split], x[:, self.split :]), self.books, strict=True):
+        for half, words, apart in zip((x[:, : self.split], x[:, self.split :]), self.books, self.apart, strict=True):
             near = (words * words).sum(1) - 2 * half @ words.T
             own = near.argmin(1)
-            apart = np.sqrt(np.maximum(((words[own][:, None, :] - words[None]) ** 2).sum(2), 1e-300))
-            gap = (near - near[np.arange(len(x)), own][:, None]) / (2 * apart)
+            gap = (near - near[np.arange(len(x)), own][:, None]) / (2 * apart[own])
             gap[np.arange(len(x)), own] = 0
             owns.append(own)
             bounds.append(np.maximum(gap, 0) ** 2)
         return owns, bounds
 
     def visits(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Own cell of each row, and the cells it visits: from its own on, nearest first."""
+        """Own cell of each row, and the cells it visits: from its own on, nearest first.
+
+        The two halves' codewords are sorted by their bounds, and a heap walks the
+        grid of both lists in the order of the sums until the reach is passed.
+        """
         k = len(self.books[1])
         for at in range(0, len(x), 256):
             owns, (a, b) = self.bounds(x[at : at + 256])
             for r in range(len(a)):
                 rows, columns = a[r].argsort(kind="stable"), b[r].argsort(kind="stable")
-                rows = rows[a[r][rows] <= self.reach]
-                ends = np.searchsorted(b[r][columns], self.reach - a[r][rows], side="right")
-                cells = np.concatenate([i * k + columns[:e] for i, e in zip(rows, ends, strict=True)])
-                near = np.concatenate([a[r][i] + b[r][columns[:e]] for i, e in zip(rows, ends, strict=True)])
+                rows, columns = rows[a[r][rows] <= self.reach].tolist(), columns[b[r][columns] <= self.reach].tolist()
+                left, right = a[r][rows].tolist(), b[r][columns].tolist()
                 own = int(owns[0][r] * k + owns[1][r])
-                cells = cells[near.argsort(kind="stable")]
-                yield own, cells[cells >= own]
+                cells, front = [], [(left[0] + right[0], 0, 0)]
+                while front and front[0][0] <= self.reach:
+                    _, i, j = heapq.heappop(front)
+                    if (cell := rows[i] * k + columns[j]) >= own:
+                        cells.append(cell)
+                    if j + 1 < len(right):
+                        heapq.heappush(front, (left[i] + right[j + 1], i, j + 1))
+                    if j == 0 and i + 1 < len(left):
+                        heapq.heappush(front, (left[i + 1] + right[0], i + 1, 0))
+                yield own, np.array(cells, np.int64)
 
 
 def fit_grid(x: np.ndarray, n_words: int, cosine: float, recall: float) -> Grid:
@@ -210,7 +229,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     label or id is null, is linked with nothing: 0 links, its own component.
     Equal vectors of a label are one class from the start and count as links of
     each other; vectors of different lengths are never linked. Rows that share
-    an id are one node for components and each counts as a vector for links.
+    an id are one node for components and each counts as a vector for links. An
+    empty table gives an empty one; other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
@@ -245,9 +265,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     keys = [*where, "h", "q"]
     met = dealt.select(*keys, "role", "rep", "mult", "vector", "own").repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(_met(cosine), "a long, b long, n long")
     met = stage_table(met, "met")
+    drop_stage_table(placed)
 
     counts = met.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
-    found = connected_components(met.where("b is not null").select("a", "b"))
+    found = stage_table(connected_components(met.where("b is not null").select("a", "b")), "components")
     known = classes.join(counts, F.col("rep") == F.col("a"), "left").join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("label").alias("label_"), F.col("vector").alias("vector_"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
     )

@@ -200,8 +200,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
     ``base`` holds the patterns' valid matches, ``all`` also kinds ``general``
     and ``removed`` of disclosing terms outside of base spans, in every text that
     has the term, whether or not it prints the entity. Null counts as empty and
-    has no span. Equal texts are treated alike, repeated rows stay; only ``keep``
-    of the other columns is returned.
+    has no span. Equal texts are treated alike, repeated rows stay; an empty table
+    gives an empty one; only ``keep`` of the other columns is returned.
     """
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = base_spans(rows).withColumn("base", _all_spans(KINDS))

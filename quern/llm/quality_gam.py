@@ -185,7 +185,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modu
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", modulus: int = 3, remainder: int = 1) -> DataFrame:
-    """The documents that score 0.5 or more, with all their columns, in one pass without a shuffle."""
+    """The documents that score 0.5 or more, with all their columns, in one pass without a shuffle.
+
+    Null, empty and blank texts are judged by figures of 0 throughout, repeated
+    rows alike. Without labels all stay; an empty table gives an empty one.
+    """
     model = fit_quality(docs, labels, modulus=modulus, remainder=remainder)
 
     @F.arrow_udf(DoubleType())
@@ -201,7 +205,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainde
 
     Null, empty and blank texts have figures of 0 throughout and get the score
     of those. Without labels every score is 0.5. Repeated rows are scored alike,
-    other columns are ignored; a null id isn't held out.
+    other columns are ignored; a null id isn't held out, an empty table gives an
+    empty one. A very long text takes some 60 times its size of memory by itself.
     """
     model = fit_quality(docs, labels, modulus=modulus, remainder=remainder)
 
