@@ -209,9 +209,9 @@ def validation(text, token_count, is_notice, url, trust, published, language) ->
 
 def review_ok(normalised, least: int = 12) -> Column:
     """CLS-09: whether a validation row passes by score and length."""
-    from quern.functions.text import word_tokens
+    from quern.functions.text import word_token_count
 
-    return notice_score(F.lit(""), normalised)["is_notice"] & (F.size(word_tokens(normalised)) >= least)
+    return notice_score(F.lit(""), normalised)["is_notice"] & (word_token_count(normalised) >= least)
 
 
 def corpus_verdict(kept, total) -> Column:

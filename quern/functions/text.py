@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from quern.functions import lexicons as L
 
 WS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: The same characters themselves.
+_WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Runs that aren't a single plain space: what collapsing has to touch.
+_TO_COLLAPSE = f"[{WS}]{{2,}}|[{WS.replace(' ', '')}]"
 
 
 def _col(c) -> Column:
@@ -39,7 +43,7 @@ def blank_to_null(c) -> Column:
 
 def strip(c) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text_or_empty(c), f"^[{WS}]+|[{WS}]+$", "")
+    return F.trim(text_or_empty(c), F.lit(_WHITE))
 
 
 def strip_chars(c, chars: str) -> Column:
@@ -49,7 +53,7 @@ def strip_chars(c, chars: str) -> Column:
 
 def collapse(c) -> Column:
     """TXT-01: runs of white space become one space; stripped."""
-    return F.trim(F.regexp_replace(text_or_empty(c), f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(c), _TO_COLLAPSE, " "))
 
 
 def words(c) -> Column:
@@ -98,6 +102,16 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(text_or_empty(c), F.lit(L.TOKEN.replace("\\s", WS)), F.lit(0))
 
 
+def token_count(c) -> Column:
+    """TXT-10: how many tokens there are, without making a list of them."""
+    return F.regexp_count(text_or_empty(c), F.lit(L.TOKEN.replace("\\s", WS)))
+
+
+def word_token_count(c) -> Column:
+    """TXT-11: how many word tokens there are."""
+    return F.regexp_count(text_or_empty(c), F.lit(r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)?"))
+
+
 def word_tokens(c) -> Column:
     """TXT-11: lower-cased tokens that hold an ASCII letter or digit."""
     return F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)?"), F.lit(0)), F.lower)
@@ -218,10 +232,8 @@ def title_and_body(c) -> Column:
     """TXT-25: struct (title, body) as the gate scores them."""
 
     def cut(t: Column) -> Column:
-        title = F.substring_index(t, ". ", 1)
-        rest = F.substring(t, F.length(title) + 3, F.length(t))
-        own = F.substring(t, 1, 180).contains(". ") & word_count(title).between(3, 25)
-        return F.struct(F.when(own, title).otherwise(F.substring(t, 1, 120)).alias("title"), F.when(own & (rest != ""), rest).otherwise(t).alias("body"))
+        parts = let(F.substring_index(t, ". ", 1), lambda title: F.struct(title.alias("title"), F.substring(t, F.length(title) + 3, F.length(t)).alias("rest"), (F.substring(t, 1, 180).contains(". ") & word_count(title).between(3, 25)).alias("own")))
+        return let(parts, lambda p: F.struct(F.when(p["own"], p["title"]).otherwise(F.substring(t, 1, 120)).alias("title"), F.when(p["own"] & (p["rest"] != ""), p["rest"]).otherwise(t).alias("body")))
 
     return let(collapse(c), cut)
 
@@ -235,12 +247,15 @@ def join_title(title, body) -> Column:
 
 def first_sentences(c, most: int = 600) -> Column:
     """TXT-26: short texts whole; of long ones two sentences, or 120 characters of them."""
-    t = collapse(c)
-    parts = F.filter(F.split(t, r"(?<=[.!?]) +"), lambda p: word_count(p) >= 5)
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
     grow = lambda a, p: F.when((a["n"] >= 2) | (F.length(a["text"]) >= 120), a).otherwise(F.struct(F.when(a["n"] == 0, p).otherwise(F.concat(a["text"], F.lit(" "), p)).alias("text"), (a["n"] + 1).alias("n")))
-    long = F.aggregate(parts, start, grow)["text"]
-    return strip(F.substring(F.when(word_count(t) <= 200, t).otherwise(F.coalesce(blank_to_null(long), t)), 1, most))
+
+    def cut(t: Column) -> Column:
+        parts = F.filter(F.split(t, r"(?<=[.!?]) +"), lambda p: word_count(p) >= 5)
+        long = let(F.aggregate(parts, start, grow)["text"], lambda x: F.when(x != "", x).otherwise(t))
+        return strip(F.substring(F.when(word_count(t) <= 200, t).otherwise(long), 1, most))
+
+    return let(collapse(c), cut)
 
 
 def split_sentences(c, least: int = 6, most: int = 80) -> Column:
@@ -249,45 +264,49 @@ def split_sentences(c, least: int = 6, most: int = 80) -> Column:
     parts = F.filter(F.transform(parts, lambda p: strip_chars(p, " \t\n\"'")), lambda s: ~s.startswith("#") & ~s.startswith("http") & (word_count(s) >= least))
 
     def cut(s: Column) -> Column:
-        chunks = F.split(s, r"(?<=[,;:]) +")
-
-        def add(a: Column, ch: Column) -> Column:
+        def add(a: Column, ch: Column, last: Column) -> Column:
             joined = F.when(a["buf"] == "", ch).otherwise(F.concat(a["buf"], F.lit(" "), ch))
-            n = word_count(joined)
-            flush = (n >= least) & ((n >= most // 2) | (ch == F.element_at(chunks, -1)))
-            out = F.when(flush & (n <= most), F.concat(a["out"], F.array(joined))).otherwise(a["out"])
-            return F.struct(out.alias("out"), F.when(flush, "").otherwise(joined).alias("buf"))
+            sized = let(joined, lambda j: F.struct(j.alias("text"), word_count(j).alias("n")))
+            flushed = lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), ((x["n"] >= least) & ((x["n"] >= most // 2) | (ch == last))).alias("flush"))
+            done = lambda x: F.struct(F.when(x["flush"] & (x["n"] <= most), F.concat(a["out"], F.array(x["text"]))).otherwise(a["out"]).alias("out"), F.when(x["flush"], "").otherwise(x["text"]).alias("buf"))
+            return let(let(sized, flushed), done)
 
         def close(a: Column) -> Column:
             n = word_count(a["buf"])
             return F.when(n.between(least, most), F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"])
 
-        return F.aggregate(chunks, F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf")), add, close)
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
+        fold = lambda chunks: let(F.element_at(chunks, -1), lambda last: F.aggregate(chunks, start, lambda a, ch: add(a, ch, last), close))
+        return let(F.split(s, r"(?<=[,;:]) +"), fold)
 
     return F.flatten(F.transform(parts, lambda s: F.when(word_count(s) > most, cut(s)).otherwise(F.array(s))))
 
 
 def extract_core(title, text, most: int = 350, force: str = L.FORCE) -> Column:
     """TXT-29: title and leading paragraphs of up to ``most`` words, stopping at a solid notice."""
-    title = collapse(title)
-    body = F.element_at(F.split(F.regexp_replace(text_or_empty(text), "\r", "\n"), "(?i)" + L.STOP_MARKERS.replace("\\s", f"[{WS}]"), 2), 1)
-    body = strip(F.regexp_replace(body, r"\n{3,}", "\n\n"))
-    paragraphs = F.filter(F.transform(F.split(body, rf"\n[{WS}]*\n"), collapse), lambda p: p != "")
-    first = F.lower(F.coalesce(F.get(paragraphs, F.lit(0)), F.lit("")))
-    head = F.when((title != "") & ~first.startswith(F.substring(F.lower(title), 1, 40)), F.array(F.concat(F.regexp_replace(title, r"\.+$", ""), F.lit("."))))
-    start = F.struct(F.coalesce(F.array_join(head, ""), F.lit("")).alias("text"), F.lit(False).alias("done"))
+    stop = "(?i)" + L.STOP_MARKERS.replace("\\s", f"[{WS}]")
+    body = strip(F.regexp_replace(F.element_at(F.split(F.regexp_replace(text_or_empty(text), "\r", "\n"), stop, 2), 1), r"\n{3,}", "\n\n"))
 
     def add(a: Column, p: Column) -> Column:
-        joined = F.trim(F.concat(a["text"], F.lit(" "), p))
-        n, before = word_count(joined), word_count(a["text"])
-        room = F.lit(most) - before
-        part = F.when(room >= 20, F.trim(F.concat(a["text"], F.lit(" "), F.array_join(F.slice(words(p), F.lit(1), F.greatest(room, F.lit(0))), " ")))).otherwise(a["text"])
         skip = a["done"] | (word_count(p) < 5) | ((F.regexp_count(p, F.lit("Home")) >= 2) & p.contains("About"))
-        full = ((n >= 80) & joined.rlike("(?i)" + force)) | (n >= 160)
-        return F.when(skip, a).when(n > most, F.struct(part.alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("text"), full.alias("done")))
+        joined = let(F.trim(F.concat(a["text"], F.lit(" "), p)), lambda j: F.struct(j.alias("text"), word_count(j).alias("n")))
+
+        def grown(j: Column) -> Column:
+            room = F.lit(most) - word_count(a["text"])
+            part = let(room, lambda r: F.when(r >= 20, F.trim(F.concat(a["text"], F.lit(" "), F.array_join(F.slice(words(p), F.lit(1), F.greatest(r, F.lit(0))), " ")))).otherwise(a["text"]))
+            full = (j["n"] >= 160) | ((j["n"] >= 80) & j["text"].rlike("(?i)" + force))
+            return F.when(j["n"] > most, F.struct(part.alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(j["text"].alias("text"), full.alias("done")))
+
+        return F.when(skip, a).otherwise(let(joined, grown))
+
+    def fold(title: Column, body: Column, paragraphs: Column) -> Column:
+        first = F.lower(F.coalesce(F.get(paragraphs, F.lit(0)), F.lit("")))
+        head = F.when((title != "") & ~first.startswith(F.substring(F.lower(title), 1, 40)), F.concat(F.regexp_replace(title, r"\.+$", ""), F.lit("."))).otherwise("")
+        core = F.trim(F.aggregate(paragraphs, F.struct(head.alias("text"), F.lit(False).alias("done")), add)["text"])
+        return let(core, lambda x: F.when(x != "", x).otherwise(first_words(body, most)))
 
-    core = F.trim(F.aggregate(paragraphs, start, add)["text"])
-    return F.when(core != "", core).otherwise(first_words(body, most))
+    paragraphs = lambda b: F.filter(F.transform(F.split(b, rf"\n[{WS}]*\n"), collapse), lambda p: p != "")
+    return let(collapse(title), lambda t: let(body, lambda b: let(paragraphs(b), lambda ps: fold(t, b, ps))))
 
 
 def normalize_domain(c) -> Column:

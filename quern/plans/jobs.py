@@ -22,7 +22,7 @@ from quern.functions.rules import framework_label, gate_reason, notice_score, re
 from quern.functions.text import (
     alnum_boundaries, blank_to_null, clean_text, code_switching, collapse, collapse_punctuation, content_hash, dedup_key, dry_run_target, export_domain, extract_core, extract_text,
     first_sentences, guess_language, hashtag_count, join_title, mention_count, notice_score_words, primary_text, sentence_marks, split_sentences, strip, strip_boilerplate, text_or_empty, title_hint,
-    url_count, word_count, word_tokens,
+    url_count, word_count, word_token_count,
 )
 from quern.operators.lookups import first_decides, first_passing, for_each, last_value, not_known, seen_keys, with_flag, with_split
 from quern.operators.ranking import dense_number, keep_first, one_then_fill, prefix_then_filter, renumber, shuffle_key
@@ -169,7 +169,8 @@ def merge(sheets: list[DataFrame], year: int = 2026, rules: SimpleNamespace = RU
     for k, s in enumerate(sheets[1:], 1):
         whole = whole.unionByName(s.withColumn("src_", F.lit(k)))
     whole = whole.withColumn("hash_", F.coalesce(field("Metadata", "content_hash"), content_hash(F.coalesce(blank_to_null(F.col("English")), F.col("Kiswahili")))))
-    unique = stage_table(keep_first(whole, "hash_", "src_", "ord"), "unique")
+    whole = stage_table(whole, "sheets")
+    unique = keep_first(whole, "hash_", "src_", "ord")
     text = primary_text(clean_text("English"), clean_text("Kiswahili"))
     reason = gate_reason(text, F.col("Source"), F.coalesce(field("Metadata", "lang_detected"), F.lit("unknown")), field("Metadata", "contributor"), field("Metadata", "origin_file"), rules, raw_contributor)
     judged = stage_table(unique.withColumn("Quarantine_Reason", reason), "judged")
@@ -196,7 +197,8 @@ def refilter(clean: DataFrame, quarantine: DataFrame, most: int = 350, year: int
     cols = [*S.CORPUS.names, "ord"]
     whole = clean.select(*cols).withColumn("src_", F.lit(0)).unionByName(quarantine.select(*cols).withColumn("src_", F.lit(1)))
     whole = whole.withColumn("text_", primary_text(strip("English"), strip("Kiswahili"))).withColumn("key_text", dedup_key("text_"))
-    unique = keep_first(whole.where("key_text <> ''"), "key_text", "src_", "ord")
+    whole = stage_table(whole.where("key_text <> ''").withColumn("key_hash", F.sha2(F.col("key_text").cast("binary"), 256)), "sheets")
+    unique = keep_first(whole, "key_hash", "src_", "ord")
     long = word_count("text_") > most
     unique = unique.withColumn("text_", F.when(long, extract_core(title_hint("text_"), F.col("text_"), most, rules.force)).otherwise(F.col("text_"))).withColumn("English", F.when(word_count("key_text") > most, F.col("text_")).otherwise(F.col("English")))
     meta = parse("Metadata")
@@ -376,7 +378,7 @@ def process(sheet: DataFrame, glossary=L.GLOSSARY) -> DataFrame:
     return rows.select(
         text_or_empty("PSA_ID").alias("PSA_ID"), F.coalesce(blank_to_null(F.col("Domain")), F.lit("Unknown")).alias("Domain"), text_or_empty("English").alias("English"), "English_norm",
         F.when(both, F.col("Kiswahili")).otherwise("").alias("Kiswahili"), "Kiswahili_norm", text_or_empty("Target Languages").alias("Target Languages"), text_or_empty("Source").alias("Source"),
-        text_or_empty("Date").alias("Date"), serialise(meta).alias("Metadata"), F.size(word_tokens("English_norm")).alias("token_count"), F.length("English_norm").alias("char_count"),
+        text_or_empty("Date").alias("Date"), serialise(meta).alias("Metadata"), word_token_count("English_norm").alias("token_count"), F.length("English_norm").alias("char_count"),
         sentence_marks("English_norm").alias("sentence_count"), F.coalesce("cs_.lang_primary", F.lit("")).alias("lang_primary"), F.col("cs_.code_switch").alias("code_switch"),
         F.col("cs_.sw_cue_count").alias("sw_cue_count"), both.alias("has_kiswahili"), F.array_join("hits_", "|").alias("glossary_hits"), F.size("hits_").alias("glossary_hit_count"),
         url_count("English_norm").alias("url_count"), hashtag_count("English_norm").alias("hashtag_count"), mention_count("English_norm").alias("mention_count"), F.lit("").alias("split"), F.lit(False).alias("validation_subset"),

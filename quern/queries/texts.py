@@ -72,7 +72,7 @@ def token_stats(spark, sf_dir):
     """TXT-05, 10 to 14."""
     long = lambda c, name: c.cast("long").alias(name)
     return corpus(spark, sf_dir).select(
-        "id", long(T.word_count("text"), "words"), long(F.size(T.tokens("text")), "tokens"), long(F.size(T.word_tokens("text")), "word_tokens"), long(F.length("text"), "chars"),
+        "id", long(T.word_count("text"), "words"), long(T.token_count("text"), "tokens"), long(T.word_token_count("text"), "word_tokens"), long(F.length("text"), "chars"),
         long(T.sentence_marks("text"), "marks"), long(T.sentence_parts("text"), "sentences"), long(T.url_count("text"), "urls"), long(T.hashtag_count("text"), "hashtags"), long(T.mention_count("text"), "mentions"),
     )
 
