@@ -81,6 +81,15 @@ def aligned_versions(en: DataFrame, sw: DataFrame, least: float = 0.85) -> DataF
     return both.groupBy("en_id", "sw_id").agg(F.max("method").alias("method"), F.max("score").alias("score"))
 
 
+def with_source(rows: DataFrame, sources: DataFrame, key: str, source_key: str) -> DataFrame:
+    """JON-09: rows with what their source says; an unknown source is an error, a null one too."""
+    found = rows.join(sources.withColumn("known_", F.lit(True)), F.col(key) == F.col(source_key), "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(dict(rows.dtypes)[key])
+    checked = F.when(F.col("known_"), F.col(key)).otherwise(unknown).alias(key)
+    # The other columns hang on the check, so that it isn't pruned away.
+    return found.where(F.col("known_") | unknown.isNotNull()).select(*[checked if c == key else F.col(c) for c in found.columns if c != "known_"])
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
     """JON-14: child rows whose key has no parent."""
     return child.join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")

@@ -320,17 +320,17 @@ def source_lookup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_mktsegment", "n_name")
+    return JN.with_source(JN.with_source(orders, customer, "o_custkey", "c_custkey"), nation, "c_nationkey", "n_nationkey").select("o_orderkey", "c_mktsegment", "n_name")
 
 
-@query("upsert_sources", "SELECT s_suppkey, s_name, trust FROM (SELECT s_suppkey, s_name, 80 AS trust FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, lower(s_name), 50 FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 2 = 0)")
+@query("upsert_sources", "SELECT s_suppkey, s_name, trust FROM (SELECT s_suppkey, s_name, 80 AS trust FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT s_suppkey, lower(s_name), 50 FROM supplier WHERE s_acctbal <= 0)")
 def upsert_sources(spark, sf_dir):
     """SRC-09: stored rows that new ones replace."""
     from quern.sources.sheets import upsert
 
     s = table(spark, sf_dir, "supplier")
-    stored = s.where("s_suppkey % 2 = 0").select("s_suppkey", F.lower("s_name").alias("s_name"), F.lit(50).alias("trust"))
-    return upsert(stored, s.where("s_suppkey % 4 = 0").select("s_suppkey", "s_name", F.lit(80).alias("trust")), "s_suppkey")
+    stored = s.select("s_suppkey", F.lower("s_name").alias("s_name"), F.lit(50).alias("trust"))
+    return upsert(stored, s.where("s_acctbal > 0").select("s_suppkey", "s_name", F.lit(80).alias("trust")), "s_suppkey")
 
 
 @query("status_changes", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN 'active' WHEN o_orderstatus = 'O' THEN 'quarantined' ELSE 'archived' END AS status FROM orders WHERE o_orderpriority <> '5-LOW'")

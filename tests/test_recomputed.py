@@ -155,3 +155,13 @@ def test_literals_of_patterns():
     for p in [*L.POSITIVE_CUES, *L.NEGATIVE_CUES, L.ACTION, L.PRESS, L.OTHER, L.FORCE, L.GENRE]:
         assert R._literals(re._parser.parse(p))
     assert R._literals(re._parser.parse(r"\d+|a")) is None and R._literals(re._parser.parse(r"(ab)?c+(de|f)")) in (["c"], ["de", "f"])
+
+
+def test_unknown_sources(spark):
+    from quern.operators.lookups import with_source
+
+    sources = spark.createDataFrame([(1, "x")], "id int, name string")
+    assert [tuple(r) for r in with_source(spark.createDataFrame([(7, 1)], "a int, s int"), sources, "s", "id").select("a", "name").collect()] == [(7, "x")]
+    for bad in (2, None):
+        with pytest.raises(Exception, match="unknown source"):
+            with_source(spark.createDataFrame([(7, 1), (8, bad)], "a int, s int"), sources, "s", "id").select("a").collect()
