@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from quern.llm import sharding as H
 from quern.llm import url_filter as U
 from quern.llm.mixing import mix_documents, mix_sources, source_targets
-from quern.llm.queries import ORACLE_SQL, QUERIES
+from quern.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from quern.llm.sharding import assign_shards, longest_first
 from tests.llm import brute, odd
 
@@ -193,12 +193,15 @@ def test_pipeline_stages_decide(spark, sf):
     scores = {r["doc_id"]: r["predicted"] for r in QUERIES["op1_quality_gam"](spark, sf).collect()}
     assert one == {i for i, p in scores.items() if p}
     two = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
-    classes = brute.near_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    classes = brute.near_classes([(r["doc_id"], r["text"]) for r in docs.collect()], corpus_pipeline.NEAR_PERCENT)
     assert two == {i for i, (_, c) in classes.items() if i == c}
     three = {r["doc_id"]: r for r in corpus_pipeline.personal_data(spark, docs, sf).collect()}
     for r in docs.collect():
         new = three[r["doc_id"]]["text"]
         assert (new == r["text"]) == (not brute.base_spans(r["text"])) and not brute.base_spans(new)
+    expected = dict(zip(three, brute.bpe_rows([three[i]["text"] for i in three], tokenizer_path()), strict=True))
+    five = {r["doc_id"]: tuple(r)[1:] for r in corpus_pipeline.tokens(spark, corpus_pipeline.personal_data(spark, docs, sf), sf).collect()}
+    assert five == expected
     four = Counter(r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, sf).collect())
     assert four == Counter({r["doc_id"]: r["taken"] // r["size"] for r in QUERIES["op3_mixing"](spark, sf).collect() if r["taken"]})
 
