@@ -15,7 +15,7 @@ from quern.operators import sampling as SM
 from quern.operators import translation_metrics as TM
 from quern.plans import jobs
 from quern.queries import duck as D
-from quern.queries.texts import _form, documents
+from quern.queries.texts import _GUESS, _form, documents
 from quern.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -63,12 +63,17 @@ _RATIO = f"(greatest({D.wc('t')}, 1)::DOUBLE / greatest({D.wc('s')}, 1))"
 _IN = lambda k, o: "(" + " OR ".join(D.has("s", _form(f)) for f in _forms(k, o)) + ")"
 _FOUND = " + ".join(f"{_IN(k, o)}::INT" for k, o in L.GLOSSARY)
 _KEPT = " + ".join(f"({_IN(k, o)} AND {D.has('t', _form(k))})::INT" for k, o in L.GLOSSARY)
-_CHECK = f"""(SELECT *, 1.0::DOUBLE - 0.15::DOUBLE * len(reasons) + CASE WHEN ratio BETWEEN 0.7::DOUBLE AND 1.4::DOUBLE THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS cf FROM (
+def _check_sql(rows: str) -> str:
+    """Checked pairs of ``rows(id, s, t, lang)``."""
+    return f"""(SELECT *, 1.0::DOUBLE - 0.15::DOUBLE * len(reasons) + CASE WHEN ratio BETWEEN 0.7::DOUBLE AND 1.4::DOUBLE THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS cf FROM (
   SELECT *, list_filter([CASE WHEN n < 5 THEN 'src_too_short' END, CASE WHEN n > 100 THEN 'src_too_long' END, CASE WHEN m < 3 THEN 'tgt_too_short' END, CASE WHEN t = '' OR dry THEN 'tgt_missing_or_dry_run' END,
     CASE WHEN t <> '' AND NOT ratio BETWEEN 0.45::DOUBLE AND 2.2::DOUBLE THEN 'bad_length_ratio' END, CASE WHEN t <> '' AND near THEN 'near_copy' END, CASE WHEN t <> '' AND gloss < 0.5::DOUBLE THEN 'glossary_dropped' END,
     CASE WHEN t <> '' AND NOT dry AND lang IN ('fr', 'de', 'es', 'pt', 'it') THEN 'unexpected_lang:' || lang END], lambda x: x IS NOT NULL) AS reasons FROM (
     SELECT *, starts_with(t, '[DRY_RUN') AS dry, {D.wc('s')} AS n, {D.wc('t')} AS m, CASE WHEN t <> '' THEN {_RATIO} ELSE 0::DOUBLE END AS ratio, {_NEAR} AS near,
-      CASE WHEN t = '' THEN 0::DOUBLE WHEN {_FOUND} = 0 THEN 1::DOUBLE ELSE ({_KEPT})::DOUBLE / ({_FOUND}) END AS gloss FROM (SELECT id, {D.collapse('s')} AS s, {D.collapse('t')} AS t, lang FROM {TURNS_SQL}))))"""
+      CASE WHEN t = '' THEN 0::DOUBLE WHEN {_FOUND} = 0 THEN 1::DOUBLE ELSE ({_KEPT})::DOUBLE / ({_FOUND}) END AS gloss FROM (SELECT id, {D.collapse('s')} AS s, {D.collapse('t')} AS t, lang FROM {rows}))))"""
+
+
+_CHECK = _check_sql(TURNS_SQL)
 
 
 def _checked(spark, sf_dir) -> DataFrame:
@@ -225,7 +230,18 @@ def valid_requests(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", jobs.valid_request("text", F.col("doc_id") % 300).alias("ok"))
 
 
-@query("prepared_pairs")
+_GUESSED = f"""(SELECT id, s, t, CASE WHEN id % 2 = 0 THEN CASE WHEN words < 1 THEN 'unknown' WHEN best.n > 0 THEN best.code ELSE '' END ELSE '' END AS lang FROM (SELECT *, {_GUESS} AS best FROM (
+  SELECT id, s, t, {D.wc('substr(t, 1, 2000)')} AS words, regexp_extract_all(lower(substr(t, 1, 2000)), '[\\pL]+') AS own FROM {TURNS_SQL} WHERE {D.strip('s')} <> '' AND {D.strip('t')} <> '')))"""
+
+
+@query(
+    "prepared_pairs",
+    f"""SELECT target_lang, CASE WHEN rk <= tr THEN 'train' WHEN rk <= tr + dv THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM (
+      SELECT *, tr0 - (c >= 10 AND c - tr0 - dv0 = 0 AND tr0 > 0)::INT - (c >= 10 AND dv0 = 0 AND tr0 > 0)::INT AS tr, dv0 + (c >= 10 AND dv0 = 0 AND tr0 > 0)::INT AS dv FROM (
+        SELECT *, floor(c * 0.8::DOUBLE)::BIGINT AS tr0, floor(c * 0.1::DOUBLE)::BIGINT AS dv0 FROM (
+          SELECT target_lang, count(*) OVER (PARTITION BY target_lang) AS c, row_number() OVER (PARTITION BY target_lang ORDER BY md5('42|' || pair_id), pair_id) AS rk FROM (
+            SELECT printf('mt_%06d', id) AS pair_id, CASE WHEN id % 2 = 0 THEN 'sw' ELSE 'kik' END AS target_lang FROM {_check_sql(_GUESSED)} WHERE len(reasons) = 0)))) GROUP BY 1, 2""",
+)
 def prepared_pairs(spark, sf_dir):
     """JOB-12: pair sheets through checks and splits, counted."""
     t = turns(spark, sf_dir)
