@@ -66,8 +66,8 @@ def freeze(df: DataFrame, path: str) -> DataFrame:
 
 
 def export_view(notices: DataFrame) -> DataFrame:
-    """SNK-07: the active rows as other tools take them."""
-    return notices.where("status = 'active'").select(*S.EXPORT.names)
+    """SNK-07: the active rows as other tools take them, all values as text."""
+    return notices.where("status = 'active'").select(*[F.col(c).cast("string").alias(c) for c in S.EXPORT.names])
 
 
 def fallback(spark: SparkSession, *paths: str) -> str:

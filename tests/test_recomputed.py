@@ -165,3 +165,18 @@ def test_unknown_sources(spark):
     for bad in (2, None):
         with pytest.raises(Exception, match="unknown source"):
             with_source(spark.createDataFrame([(7, 1), (8, bad)], "a int, s int"), sources, "s", "id").select("a").collect()
+
+
+def test_expand(spark):
+    """JOB-17: what each step of the whole run hands to the next, and the gap that is left."""
+    texts = [t for _, t, _, _ in boundary.texts.NOTICES if t] * 2
+    rows = [(f"s{i % 2}", f"https://x/{i % len(texts[: len(texts) // 2])}", "", None, t, None, i, "health", "en", "o", 80, "generic_html") for i, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, "source_id string, source_url string, title string, raw_html string, raw_text string, published_at timestamp, ord long, domain string, language_default string, organization string, trust_score int, adapter string")
+    sheet = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in S.CORPUS.names) + ", ord long")
+    stored = spark.createDataFrame([], "psa_id string, content_hash string, source_url string")
+    out = jobs.expand(items, stored, sheet, sheet, target=50)
+    n = {k: out[k].count() for k in ("notices", "export_added", "export_quarantined", "audit", "strict", "candidates", "sentences")}
+    active = out["notices"].where("status = 'active'").count()
+    assert 0 < n["notices"] <= len(texts) // 2 and 0 < n["export_added"] and n["export_added"] + n["export_quarantined"] <= active
+    assert n["audit"] == n["export_added"] >= n["strict"] >= n["candidates"] and out["gap"].first()["gap"] == 50 - n["strict"]
+    assert {r["psa_id"] for r in out["sentences"].collect()} <= {r["psa_id"] for r in out["candidates"].collect()}
