@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens between white space of one generation of a worker's memory, which holds two.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Ids of a generation for each of its tokens.
 IDS_EACH = 8
 #: Characters of text whose new words are encoded together, and of a piece of a longer text.
-RUN = 1 << 22
+RUN = 1 << 21
 #: Positions that ranks taken together have on average, and most groups of ranks.
 TOGETHER, GROUPS = 4096, 192
 
