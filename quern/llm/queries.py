@@ -9,12 +9,15 @@ from quern.llm.bpe_index import encode
 from quern.llm.mixing import mix_sources
 from quern.llm.near_minhash import near_duplicate_classes
 from quern.llm.near_vectors import near_duplicate_vectors
+from quern.llm.packing import pack_documents
 from quern.llm.pii_information import personal_data_digest
 from quern.llm.quality_gam import score_quality
 from quern.llm.sharding import assign_shards
 from quern.llm.telephony_audio import text_media
 from quern.llm.toxicity_ngrams import score_toxicity
 from quern.llm.url_filter import judge_pages
+from quern.llm.vector_codes import compress_vectors
+from quern.llm.whitening import whiten
 from quern.sources.tables import read_table
 
 
@@ -53,6 +56,14 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
+def _of_embeddings(operator):
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "embeddings"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,6 +81,9 @@ QUERIES = {
     "op8_bpe_index": _op8,
     "op9_near_minhash": _of_documents(near_duplicate_classes),
     "op10_sharding": _of_documents(assign_shards),
+    "op11_packing": _op11,
+    "op12_whitening": _of_embeddings(whiten),
+    "op13_vector_codes": _of_embeddings(compress_vectors),
     "pipeline": _pipeline,
 }
 
@@ -85,7 +99,28 @@ def _components(nodes: str, links: str) -> str:
       reach AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)"""
 
 
+def _nearest(book: str) -> str:
+    """``(vec_id, label, part, v, error, entry)``: each part's nearest entry of ``book(part, entry, w)``, the lowest of equal ones."""
+    return f"""SELECT vec_id, label, part, any_value(v) AS v, min(far) // 64 AS error, min(far) % 64 AS entry FROM (
+      SELECT p.*, 64 * ((v[1] - w[1]) * (v[1] - w[1]) + (v[2] - w[2]) * (v[2] - w[2]) + (v[3] - w[3]) * (v[3] - w[3]) + (v[4] - w[4]) * (v[4] - w[4])) + entry AS far FROM p JOIN {book} USING (part)) GROUP BY vec_id, label, part"""
+
+
+def _refined(book: str, near: str) -> str:
+    """The entries of ``book`` as floored means of the parts that ``near`` gave them; unused ones stay."""
+    means = ", ".join(f"floor(sum(v[{k}])::DOUBLE / count(*))::BIGINT" for k in (1, 2, 3, 4))
+    return f"""SELECT part, entry, coalesce(mean, w) AS w FROM {book} LEFT JOIN (SELECT part, entry, [{means}] AS mean FROM {near} GROUP BY part, entry) USING (part, entry)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": f"""WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+      p AS MATERIALIZED (SELECT vec_id, label, part, x[4 * part + 1 : 4 * part + 4] AS v FROM kept, (SELECT unnest(range(16)) AS part)),
+      book0 AS MATERIALIZED (SELECT part, entry, v AS w FROM (SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 64),
+      near0 AS MATERIALIZED ({_nearest("book0")}), book1 AS MATERIALIZED ({_refined("book0", "near0")}),
+      near1 AS MATERIALIZED ({_nearest("book1")}), book2 AS MATERIALIZED ({_refined("book1", "near1")}), near2 AS MATERIALIZED ({_nearest("book2")}),
+      coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM near2 GROUP BY vec_id, label)
+      SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+        (SELECT sha256(string_agg(w[1] || ',' || w[2] || ',' || w[3] || ',' || w[4], ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256 FROM coded""",
     "op3_mixing": f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS size, {_KEY} AS k FROM documents),
       s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
       w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
