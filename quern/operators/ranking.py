@@ -19,12 +19,12 @@ PART_ROWS = 4_000_000
 def keep_first(df: DataFrame, key: str, *order) -> DataFrame:
     """WIN-01/08: the first row of each key, decided by a partial aggregation and not by a sort of the key.
 
-    The order must be unique within a key. Only the order travels with the
-    key before the join, so a frequent key costs one row a task.
+    The order must be unique within a key; null keys are one key. Only the order
+    travels with the key before the join, so a frequent key costs one row a task.
     """
-    first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("first_"))
+    first = df.groupBy(F.col(key).alias("key_")).agg(F.min(F.struct(*order)).alias("first_"))
     own = F.struct(*order)
-    return df.withColumn("own_", own).join(first.withColumnRenamed(key, "key_"), (F.col(key) == F.col("key_")) & (F.col("own_") == F.col("first_"))).drop("own_", "key_", "first_")
+    return df.withColumn("own_", own).join(first, F.col(key).eqNullSafe(F.col("key_")) & (F.col("own_") == F.col("first_"))).drop("own_", "key_", "first_")
 
 
 def dense_number(df: DataFrame, out: str, *order: str, buckets: int | None = None) -> DataFrame:

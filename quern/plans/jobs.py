@@ -24,6 +24,7 @@ from quern.functions.text import (
     first_sentences, guess_language, hashtag_count, join_title, mention_count, notice_score_words, primary_text, sentence_marks, split_sentences, strip, strip_boilerplate, text_or_empty, title_hint,
     url_count, word_count, word_token_count,
 )
+from quern.operators.first_choice import first_choice
 from quern.operators.lookups import first_decides, first_passing, for_each, last_value, not_known, seen_keys, with_flag, with_split
 from quern.operators.ranking import dense_number, keep_first, one_then_fill, prefix_then_filter, renumber, shuffle_key
 from quern.operators.sampling import domain_bag, pair_split, stratified_split, validation_set
@@ -68,17 +69,20 @@ def item_columns(items: DataFrame, rules: SimpleNamespace = RULES) -> DataFrame:
 
 
 def ingest(items: DataFrame, stored: DataFrame, year: int = 2026, rules: SimpleNamespace = RULES) -> dict[str, DataFrame]:
-    """JOB-01/02: items that are new by hash and address; the first of equal ones; numbered on from what is stored.
+    """JOB-01/02: items in order, each stored unless its hash or address is stored by then; numbered on from what is stored.
 
-    ``stored`` has ``psa_id, content_hash, source_url``; ``items`` also ``ord``.
-    The log counts what became of each source's items (AGG-13).
+    ``stored`` has ``psa_id, content_hash, source_url``; ``items`` also ``ord``,
+    which equal items may share. A null address equals none, so items without
+    one are told apart by their hash alone. The log counts what became of each
+    source's items (AGG-13): found, stored as active, and all others.
     """
-    done = stage_table(item_columns(items, rules), "items")
-    new = not_known(done, stored, "content_hash", "source_url")
-    new = keep_first(keep_first(new, "content_hash", "ord"), "source_url", "ord")
+    done = item_columns(items, rules)
+    done = done.withColumn("order_", F.struct("ord", F.md5(F.to_json(F.struct(*[c for c in done.columns if c != "ord"])).cast("binary")).alias("item")))
+    done = stage_table(done, "items")
+    new = stage_table(first_choice(not_known(done, stored, "content_hash", "source_url"), "order_", "content_hash", "source_url"), "first")
     top_number = stored.agg(F.coalesce(F.max(F.regexp_extract("psa_id", r"(\d+)$", 1).cast("long")), F.lit(0)).alias("top_"))
-    new = dense_number(new, "number_", "ord").crossJoin(F.broadcast(top_number))
-    new = new.withColumn("psa_id", F.format_string("psa_%d_%06d", F.lit(year), F.col("number_") + F.col("top_"))).drop("number_", "top_")
+    new = dense_number(new, "number_", "order_").crossJoin(F.broadcast(top_number))
+    new = new.withColumn("psa_id", F.format_string("psa_%d_%06d", F.lit(year), F.col("number_") + F.col("top_"))).drop("number_", "top_", "order_")
     new = stage_table(new, "new")
     found = items.groupBy("source_id").agg(F.count(F.lit(1)).alias("items_found"))
     kept = new.groupBy("source_id").agg(count_true(F.col("status") == "active").alias("items_stored"))
@@ -126,7 +130,7 @@ def ingest_sources(sources: DataFrame, read, stored: DataFrame, year: int = 2026
     logs = spark.createDataFrame([(i, "failed", 0, 0, 0, e) for i, e in failed], S.RUN_LOG)
     if not parts:
         return {"notices": notice_records(spark.createDataFrame([], "psa_id string")), "log": logs}
-    out = ingest(reduce(DataFrame.unionByName, [items for _, items in parts]).dropDuplicates(["ord"]), stored, year, rules)
+    out = ingest(reduce(DataFrame.unionByName, [items for _, items in parts]), stored, year, rules)
     done = spark.createDataFrame([(i,) for i, _ in parts], "source_id string").join(out["log"], "source_id", "left")  # also those without items
     done = done.select("source_id", F.lit("success").alias("status"), *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("items_found", "items_stored", "items_rejected")], F.lit(None).cast("string").alias("error"))
     return out | {"log": done.unionByName(logs)}
