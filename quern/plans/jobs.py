@@ -553,7 +553,7 @@ def expand(items: DataFrame, stored: DataFrame, clean: DataFrame, quarantine: Da
     from quern.sources.sheets import export_view
 
     new = ingest(items, stored, year)["notices"]
-    export = export_view(new.withColumn("metadata", F.lit("{}"))).withColumn("ord", F.monotonically_increasing_id())
+    export = export_view(new.withColumn("metadata", F.lit("{}"))).withColumn("ord", F.regexp_extract("psa_id", r"(\d+)$", 1).cast("long"))  # numbered in order
     added = ingest_export(export, clean, quarantine)
     strict = audit(clean.select(*S.CORPUS.names).unionByName(added["added"].select(*S.CORPUS.names)))
     candidates = seed_candidates(strict["strict"])

@@ -10,8 +10,11 @@ from quern import schemas as S
 from quern.functions.jsonmeta import literal_keys, parse, prefixed
 from quern.functions.lexicons import EXTERNAL_FILES
 from quern.functions.text import blank_to_null, clean_text, content_hash, guess_language, join_title, long_in_either, normalize_domain, primary_text, sentence_parts, strip, text_or_empty, word_count
+from quern.sources.file_order import in_file_order, small
 
 TARGETS = '["Kikuyu"]'
+#: Most columns of a sheet.
+MOST_COLUMNS = 128
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -21,18 +24,34 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _records(spark: SparkSession, path: str, names: list[str], multi_line: bool = True) -> DataFrame:
+    """``names`` of all sheets of a path, each by its own file's header, with ``ord`` and ``file_``.
+
+    Columns are read by place in one scan, however many headers there are. A
+    file's first row names its columns, the first of equal names counting; where
+    each of ``names`` stands is worked out once a file and looked up by its rows.
+    """
+    wide = S.strings(*[f"c{k}" for k in range(MOST_COLUMNS)])
+    raw = spark.read.schema(wide).option("header", False).option("multiLine", multi_line).option("escape", '"').csv(path)
+    values = raw.select(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(wide.names)]), lambda x: x["v"].isNotNull()).alias("values"))
+    rows, headers = in_file_order(values, headers=True)
+    place = lambda name: F.get(F.filter("values", lambda x: F.regexp_replace(x["v"], "^\ufeff", "") == name), F.lit(0))["k"]
+    headers = headers.select("path_", F.struct(*[place(F.lit(n)).alias(f"p{k}") for k, n in enumerate(names)]).alias("places"))
+    value = lambda k: F.get(F.filter("values", lambda x: x["k"] == F.col(f"places.p{k}")), F.lit(0))["v"]
+    return rows.join(small(headers), "path_").select(*[value(k).alias(n) for k, n in enumerate(names)], "ord", "file_")
+
+
 def read_sheet(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """SRC-11: a CSV sheet of text columns by name, with ``ord``; missing columns are null, a missing file is empty.
 
-    Quoted values may span lines, so a file is one task; split big sheets into
-    files, or turn ``multi_line`` off where no value holds a line break.
+    ``ord`` counts rows from 0 in the order of file names and lines, however many
+    files the sheet has and however they are split. Quoted values may span lines,
+    so a file is one task; split big sheets into files, or turn ``multi_line``
+    off where no value holds a line break. At most ``MOST_COLUMNS`` columns.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], S.strings(*schema.names).add("ord", T.LongType()))
-    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
-    there = {c: c for c in raw.columns}
-    named = raw.select(*[(F.col(f"`{c}`") if c in there else F.lit(None).cast("string")).alias(c) for c in schema.names])
-    return named.withColumn("ord", F.monotonically_increasing_id())
+    return _records(spark, path, schema.names, multi_line).drop("file_")
 
 
 def write_sheet(df: DataFrame, path: str, schema: T.StructType, mode: str = "overwrite") -> None:
@@ -53,10 +72,14 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def merge_stats(previous: Column, new: Column) -> Column:
-    """SNK-03: a stats document with new keys over the previous ones."""
-    from quern.functions.jsonmeta import overlay, serialise
+    """SNK-03: a stats document with new keys over the previous ones; values keep their kinds, nested ones too.
 
-    return serialise(overlay(parse(previous), parse(new)))
+    A document that is null or no JSON object counts as empty.
+    """
+    of = lambda c: F.coalesce(F.when(F.json_object_keys(c).isNotNull(), F.from_json(c, "map<string,variant>")), F.from_json(F.lit("{}"), "map<string,variant>"))
+    old, more = of(previous), of(new)
+    stays = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(more), k))
+    return F.to_json(F.map_concat(stays, more))
 
 
 def freeze(df: DataFrame, path: str) -> DataFrame:
@@ -79,25 +102,23 @@ def fallback(spark: SparkSession, *paths: str) -> str:
 
 
 def read_parallel(spark: SparkSession, pattern: str, psa_only: bool = True, include_external: bool = False) -> DataFrame:
-    """SRC-14: all pair sheets of a pattern with ``_from_file``; external ones only if asked for."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(pattern)
-    there = set(raw.columns)
-    df = raw.select(*[(F.col(c) if c in there else F.lit(None).cast("string")).alias(c) for c in S.PAIRS.names], F.col("_metadata.file_name").alias("_from_file"))
+    """SRC-14: all pair sheets of a pattern, each by its own header, with ``_from_file`` and ``ord``; external ones only if asked for."""
+    df = _records(spark, pattern, S.PAIRS.names).withColumnRenamed("file_", "_from_file")
     return df.where(~F.col("_from_file").isin(EXTERNAL_FILES)) if psa_only and not include_external else df
 
 
 def read_bitext(spark: SparkSession, left: str, right: str) -> DataFrame:
-    """SRC-15: lines of two text files side by side, none of them blank.
+    """SRC-15: lines of two text files side by side, none of them blank; ``line`` counts from 1.
 
-    A line's place is its file offset order; places are numbered in parallel.
+    Both sides may be folders of files, which then count as one text in the order
+    of their names.
     """
-    from quern.operators.lookups import positional
 
     def lines(path: str, name: str) -> DataFrame:
-        return spark.read.text(path).select(F.col("value").alias(name), F.monotonically_increasing_id().alias(f"{name}_ord"))
+        placed, _ = in_file_order(spark.read.text(path))
+        return placed.select((F.col("ord") + 1).alias("line"), strip("value").alias(name))
 
-    both = positional(lines(left, "en"), lines(right, "sw"), "en_ord", "sw_ord")
-    return both.select("line", strip("en").alias("en"), strip("sw").alias("sw")).where("en <> '' and sw <> ''")
+    return lines(left, "en").join(lines(right, "sw"), "line").where("en <> '' and sw <> ''")
 
 
 def bitext_lines(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -107,19 +128,45 @@ def bitext_lines(df: DataFrame, left: str, right: str) -> DataFrame:
     return rows.where("en <> '' and sw <> ''")
 
 
+# Fixed values of the standard for dates in mail and feeds: zones by name.
+_ZONES = {"UT": "+00:00", "UTC": "+00:00", "GMT": "+00:00", "Z": "+00:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00"}
+_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+_MAIL_DATE = r"(?i)\b(\d{1,2})[ -]+([a-z]{3})[a-z]*\.?[ -]+(\d{4}|\d{2})[ ,]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([+-]\d{2}):?(\d{2})|\s+([a-z]+))?"
+
+
+def feed_date(c) -> Column:
+    """SRC-06: the moment of a feed's date, of mail's form or ISO 8601; null for anything else.
+
+    Weekday and seconds may be missing, months may be whole words, years of two
+    digits are of 1970 to 2069. A zone that is missing or not known is UTC.
+    """
+    c = strip(c)
+    part = lambda k: F.regexp_extract(c, _MAIL_DATE, k)
+    month = (F.instr(F.lit(_MONTHS), F.initcap(part(2))) + 2) / 3
+    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(F.concat(F.when(part(3) < "70", "20").otherwise("19"), part(3)))
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in _ZONES.items() for x in kv]), F.upper(part(9)))
+    zone = F.when(part(7) != "", F.concat(part(7), F.lit(":"), part(8))).otherwise(F.coalesce(named, F.lit("+00:00")))
+    two = lambda x: F.lpad(x, 2, "0")
+    mail = F.concat(year, F.lit("-"), two(month.cast("int").cast("string")), F.lit("-"), two(part(1)), F.lit("T"), two(part(4)), F.lit(":"), part(5), F.lit(":"), F.when(part(6) != "", part(6)).otherwise("00"), zone)
+    iso = F.regexp_replace(F.regexp_replace(c, r"(?<=[T ]\d{2}:\d{2}.{0,10})([+-]\d{2})(\d{2})$", "$1:$2"), "Z$", "+00:00")
+    return F.when(c.rlike(_MAIL_DATE), F.try_to_timestamp(mail)).when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(iso))
+
+
 def read_feed(spark: SparkSession, path: str, source_id: str, most: int = 50, least: int = 10) -> DataFrame:
-    """SRC-06: items of an RSS file: text without tags, of ``least`` words or more.
+    """SRC-06: items of RSS files: text without tags, of ``least`` words or more.
 
-    ``most`` keeps the first entries in the order of the file, blank or not; a
-    feed is one file, which one task reads from its start.
+    ``most`` keeps the first entries in the order of files and of their lines,
+    blank or not.
     """
     from quern.functions.html import html_to_text, title_or_default
 
     schema = "title string, link string, description string, summary string, pubDate string"
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).withColumn("at_", F.monotonically_increasing_id()).orderBy("at_").limit(most)
+    raw, _ = in_file_order(spark.read.format("xml").option("rowTag", "item").schema(schema).load(path))
     text = html_to_text(F.coalesce(blank_to_null(F.col("summary")), F.col("description")))
-    when = F.to_timestamp(F.regexp_replace(F.col("pubDate"), r"^[A-Za-z]{3}, ", ""), "d MMM yyyy HH:mm:ss Z")
-    items = raw.select(F.lit(source_id).alias("source_id"), F.col("link").alias("source_url"), title_or_default("title").alias("title"), F.lit(None).cast("string").alias("raw_html"), text.alias("raw_text"), when.alias("published_at"))
+    items = raw.where(F.col("ord") < most).select(
+        F.lit(source_id).alias("source_id"), F.col("link").alias("source_url"), title_or_default("title").alias("title"), F.lit(None).cast("string").alias("raw_html"), text.alias("raw_text"),
+        feed_date("pubDate").alias("published_at"),
+    )
     return items.where(word_count("raw_text") >= least)
 
 

@@ -125,7 +125,7 @@ def test_sheets(spark, tmp_path):
     assert sheets.load_raw_text(raw, "c", "f", "RAW").first()["PSA_ID"] == "RAW_00005"
     edu = spark.createDataFrame([("e", None, "w " * 9, "", "", "", "", "", "", "", "", "", 0)], S.strings(*S.EDUCATION.names).add("ord", "long"))
     assert sheets.load_education(edu, "c", "f").first()["Domain"] == "Education"
-    assert sheets.merge_stats is not None and spark.range(1).select(sheets.merge_stats(F.lit('{"a": 1}'), F.lit('{"b": 2}')).alias("x")).first()["x"] == '{"a":"1","b":"2"}'
+    assert sheets.merge_stats is not None and spark.range(1).select(sheets.merge_stats(F.lit('{"a": 1}'), F.lit('{"b": 2}')).alias("x")).first()["x"] == '{"a":1,"b":2}'
 
 
 def test_feed_bitext_and_registry(spark, tmp_path):
