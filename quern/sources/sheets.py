@@ -171,10 +171,13 @@ def read_feed(spark: SparkSession, path: str, source_id: str, most: int = 50, le
 
 
 def read_pages(pages: DataFrame, source_id: str, title: str = "h1", body: str = "article", date: str = "time", most: int = 50, least: int = 10) -> DataFrame:
-    """SRC-01: items of fetched pages ``(url, html)``: selected title and body of ``least`` words or more."""
-    from quern.functions.html import select_body, select_first, title_or_default
+    """SRC-01: items of fetched pages ``(url, html)``: selected title and body of ``least`` words or more.
 
-    when = F.try_to_timestamp(F.regexp_replace(select_first("html", date), "Z$", "+00:00"))
+    The date is what the selected element's ``datetime`` attribute says, null if that is no date.
+    """
+    from quern.functions.html import select_attribute, select_body, select_first, title_or_default
+
+    when = F.try_to_timestamp(F.regexp_replace(select_attribute("html", date, "datetime"), "Z$", "+00:00"))
     return pages.select(
         F.lit(source_id).alias("source_id"), F.col("url").alias("source_url"), title_or_default(select_first("html", title)).alias("title"),
         F.lit(None).cast("string").alias("raw_html"), select_body("html", body).alias("raw_text"), when.alias("published_at"),
