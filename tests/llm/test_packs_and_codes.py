@@ -291,3 +291,18 @@ def test_codes_as_sql(spark, sf):
     theirs = con.sql(Q.ORACLE_SQL["op13_vector_codes"])
     mine = Q.QUERIES["op13_vector_codes"](spark, sf).select(theirs.columns)
     assert sorted(map(tuple, mine.collect())) == sorted(theirs.fetchall())
+
+
+def test_both_libraries_agree():
+    with open(FILE, encoding="utf-8") as file:
+        ids = P.Ids(file.read())
+    assert ids.fast
+    plain = lambda t: ids.tokenizer.encode(t, add_special_tokens=False).ids
+    settled = [chr(k) for k in range(1, 0x110000, 7) if not 0xD800 <= k < 0xE000 and not P._unsettled().search(chr(k))]
+    assert len(settled) > 30_000 and all(P._unsettled().search(c) for c in "͸\U0001f600\U00010d50\U0001e5d0")
+    settled += [chr(k) for k in range(1, 0x3000) if not P._unsettled().search(chr(k))]
+    for at in range(0, len(settled), 100):
+        text = "".join(f"a{c}1 {c}{c} {c} b" for c in settled[at : at + 100])
+        assert ids.of(text).tolist() == plain(text)
+    for text in ["a<|endoftext|> b", "we're \n\n  they'd  ", "\U0001f600 \U00010d50x", "x" * 3000 + "é" * 3000, "\x85\xa0 a b"]:
+        assert ids.of(text).tolist() == plain(text)
