@@ -282,13 +282,19 @@ def split_sentences(c, least: int = 6, most: int = 80) -> Column:
     return F.flatten(F.transform(parts, lambda s: F.when(word_count(s) > most, cut(s)).otherwise(F.array(s))))
 
 
+def navigation_crumb(c, homes: int = 2) -> Column:
+    """FLT-09: whether a text is a site's menu: ``homes`` times the word of its first page, and that of the page about it."""
+    c = _col(c)
+    return (F.regexp_count(c, F.lit("Home")) >= homes) & c.contains("About")
+
+
 def extract_core(title, text, most: int = 350, force: str = L.FORCE) -> Column:
     """TXT-29: title and leading paragraphs of up to ``most`` words, stopping at a solid notice."""
     stop = "(?i)" + L.STOP_MARKERS.replace("\\s", f"[{WS}]")
     body = strip(F.regexp_replace(F.element_at(F.split(F.regexp_replace(text_or_empty(text), "\r", "\n"), stop, 2), 1), r"\n{3,}", "\n\n"))
 
     def add(a: Column, p: Column) -> Column:
-        skip = a["done"] | (word_count(p) < 5) | ((F.regexp_count(p, F.lit("Home")) >= 2) & p.contains("About"))
+        skip = a["done"] | (word_count(p) < 5) | navigation_crumb(p)
         joined = let(F.trim(F.concat(a["text"], F.lit(" "), p)), lambda j: F.struct(j.alias("text"), word_count(j).alias("n")))
 
         def grown(j: Column) -> Column:

@@ -70,10 +70,15 @@ def shuffle_key(seed: int, id_col: str) -> Column:
 
 
 def one_then_fill(df: DataFrame, n: int, group: str, *order) -> DataFrame:
-    """WIN-05: the best row of every group in order, then the rest, ``n`` rows in all."""
-    w = Window.partitionBy(group).orderBy(*order)
-    ranked = df.withColumn("later_", (F.row_number().over(w) > 1).cast("int"))
-    return ranked.orderBy("later_", *order).limit(n).drop("later_")
+    """WIN-05: the best row of every group in order, then the rest, ``n`` rows in all.
+
+    The order must be unique within a group. As in :func:`keep_first` only it is
+    aggregated and joined, so the largest group is no single task's.
+    """
+    own = df.withColumn("own_", F.struct(*order))
+    first = own.groupBy(F.col(group).alias("key_")).agg(F.min("own_").alias("first_"))
+    marked = own.join(first, F.col(group).eqNullSafe(F.col("key_")) & (F.col("own_") == F.col("first_")), "left").withColumn("later_", F.col("first_").isNull().cast("int"))
+    return marked.orderBy("later_", *order).limit(n).drop("own_", "key_", "first_", "later_")
 
 
 def prefix_then_filter(df: DataFrame, passed: str, scored: str, limit: int, scan: int, order: str) -> DataFrame:

@@ -153,7 +153,8 @@ def promote(notices: DataFrame, rules: SimpleNamespace = RULES) -> DataFrame:
     score = notice_score("title", "text", rules)
     check = validation("text", word_count("text"), score["is_notice"], "source_url", "trust_score", "published_at", "language")
     again = F.col("status") == "quarantined"
-    return notices.withColumn("status", F.when(again & check["valid"], "active").otherwise(F.col("status"))).withColumn("is_psa", F.when(again, score["is_notice"]).otherwise(F.col("is_psa")))
+    status = F.when(again & check["valid"], "active").otherwise(F.col("status"))
+    return notices.withColumns({"status": status, "is_psa": F.when(again, score["is_notice"]).otherwise(F.col("is_psa"))})  # both by the status as it was
 
 
 def diagnose(items: DataFrame, stored: DataFrame, rules: SimpleNamespace = RULES) -> DataFrame:

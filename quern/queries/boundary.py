@@ -18,6 +18,7 @@ from quern.plans import jobs
 from quern.plans.stage_table import shared_folder
 from quern.queries import duck as D
 from quern.queries import texts
+from quern.queries.pages import _el
 from quern.queries.pairs import TURNS_SQL, turns
 from quern.queries.texts import CORPUS_SQL, corpus, documents
 from quern.sources import rulesets, sheets
@@ -90,10 +91,13 @@ def first_path(spark, sf_dir):
     return spark.read.parquet(sheets.fallback(spark, f"{sf_dir}/no-such-table.parquet", f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet")).select("r_regionkey", "r_name")
 
 
-@query("manual_items", "SELECT 0::BIGINT AS n")
+@query("manual_items", f"SELECT CASE WHEN page_id % 2 = 0 THEN 'generic_html' ELSE 'manual_upload' END AS adapter, count(*) AS pages, count(*) FILTER (WHERE page_id % 2 = 0 AND {D.wc('a')} >= 10) AS items FROM (SELECT page_id, {_el('article')} AS a FROM pages) GROUP BY 1")
 def manual_items(spark, sf_dir):
-    """SRC-07, 08: the reader of manual uploads, found by its name, has no items."""
-    return sheets.adapter("manual_upload")(spark).agg(F.count(F.lit(1)).alias("n"))
+    """SRC-07, 08: items of pages by the readers of two names; the one of manual uploads has none, whatever lies there."""
+    p = read_table(spark, sf_dir, "pages", spread=True).select("page_id", F.col("page_id").cast("string").alias("url"), "html", F.when(F.col("page_id") % 2 == 0, "generic_html").otherwise("manual_upload").alias("adapter"))
+    found = sheets.adapter("generic_html")(p.where("adapter = 'generic_html'"), "generic_html").unionByName(sheets.adapter("manual_upload")(spark), allowMissingColumns=True)
+    items = found.groupBy(F.col("source_id").alias("adapter")).agg(F.count(F.lit(1)).alias("items"))
+    return p.groupBy("adapter").agg(F.count(F.lit(1)).alias("pages")).join(items, "adapter", "left").withColumn("items", F.coalesce("items", F.lit(0)))
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,17 +146,18 @@ def _read(spark: SparkSession, sf_dir: str):
         if source["source_id"] == "xx":
             raise OSError("no route to host")
         rows = docs.where(F.col("lang") == source["source_id"])
+        rows = rows.unionByName(rows.where("doc_id % 3 = 0"))
         return rows.select(
-            F.lit(source["source_id"]).alias("source_id"), F.concat(F.lit("https://x/"), "doc_id").alias("source_url"), F.lit("").alias("title"), F.lit(None).cast("string").alias("raw_html"),
+            F.lit(source["source_id"]).alias("source_id"), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("https://x/"), "doc_id")).alias("source_url"), F.lit("").alias("title"), F.lit(None).cast("string").alias("raw_html"),
             F.col("no_such_column" if source["source_id"] == "yy" else "text").alias("raw_text"), F.lit(None).cast("timestamp").alias("published_at"),
         )
 
     return read
 
 
-@query("source_runs", "SELECT lang AS source_id, 'success' AS status, count(*) AS items_found, true AS consistent FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('xx', 'failed', 0::BIGINT, true), ('yy', 'failed', 0::BIGINT, true)) v")
+@query("source_runs", "SELECT lang AS source_id, 'success' AS status, count(*) + count(*) FILTER (WHERE doc_id % 3 = 0) AS items_found, true AS consistent FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('xx', 'failed', 0::BIGINT, true), ('yy', 'failed', 0::BIGINT, true)) v")
 def source_runs(spark, sf_dir):
-    """JOB-02: the log of a run over four sources, of which two fail by themselves."""
+    """JOB-02: the log of a run over four sources, of which two fail by themselves; some items are repeats, some have no address."""
     registry = spark.createDataFrame([("en",), ("xx",), ("fr",), ("yy",), ("de",)], "source_id string").withColumn("domains_covered", F.array(F.lit("health"))).withColumn("organization", F.lit("x"))
     work = rulesets.work_list(registry, ["en", "xx", "fr", "yy"]).orderBy("place")
     stored = spark.createDataFrame([], "psa_id string, content_hash string, source_url string")
@@ -191,11 +196,13 @@ def joined_titles(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", T.join_title(title, body).alias("joined"))
 
 
-@query("export_domains", "SELECT * FROM (VALUES ('public_health', 'Public Health'), ('security & safety', 'Security'), ('', 'Governance'), (NULL, 'Governance'), ('AGRICULTURE', 'Agriculture')) v(domain, label)")
+_EXPORTED = "CASE doc_id % 5 WHEN 0 THEN 'public_health' WHEN 1 THEN 'security & safety' WHEN 2 THEN upper(lang) WHEN 3 THEN '' END"
+
+
+@query("export_domains", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Public Health' WHEN 1 THEN 'Security' WHEN 2 THEN upper(substr(lang, 1, 1)) || lower(substr(lang, 2)) ELSE 'Governance' END AS label FROM (SELECT doc_id, lang, {_EXPORTED} AS domain FROM documents)")
 def export_domains(spark, sf_dir):
-    """TXT-31."""
-    rows = spark.createDataFrame([("public_health",), ("security & safety",), ("",), (None,), ("AGRICULTURE",)], "domain string")
-    return rows.select("domain", T.export_domain("domain").alias("label"))
+    """TXT-31: labels of the domains that an export names; a fifth of the documents has an empty one, a fifth none."""
+    return documents(spark, sf_dir).select("doc_id", F.expr(_EXPORTED).alias("domain")).select("doc_id", T.export_domain("domain").alias("label"))
 
 
 _RUNS = f"list_filter(list_transform(string_split(regexp_replace({D.strip('text')}, '([.!?])[{D.WS}]+', '\\1' || chr(30), 'g'), chr(30)), lambda s: {D.strip('s')}), lambda s: {D.wc('s')} >= 5)"

@@ -14,7 +14,7 @@ from quern.operators import ranking as K
 from quern.operators import sampling as SM
 from quern.operators import statistics as ST
 from quern.queries import duck as D
-from quern.queries.texts import documents
+from quern.queries.texts import CORPUS_SQL, corpus, documents
 from quern.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -314,10 +314,10 @@ def fk_check(spark, sf_dir):
     return out[0].union(out[1]).union(out[2])
 
 
-@query("source_lookup", "SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'")
+@query("source_lookup", "SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def source_lookup(spark, sf_dir):
     """JON-09: rows with what their source says."""
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return JN.with_source(JN.with_source(orders, customer, "o_custkey", "c_custkey"), nation, "c_nationkey", "n_nationkey").select("o_orderkey", "c_mktsegment", "n_name")
@@ -333,11 +333,19 @@ def upsert_sources(spark, sf_dir):
     return upsert(stored, s.where("s_acctbal > 0").select("s_suppkey", "s_name", F.lit(80).alias("trust")), "s_suppkey")
 
 
-@query("status_changes", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN 'active' WHEN o_orderstatus = 'O' THEN 'quarantined' ELSE 'archived' END AS status FROM orders WHERE o_orderpriority <> '5-LOW'")
+_PROMOTED = f"(SELECT id, CASE WHEN id % 4 = 0 THEN 'archived' ELSE 'quarantined' END AS status, {D.score('t', 'text', L.NOTICE_RULES)} >= 0.28::DOUBLE AS ok, {D.wc('text')} AS n, src FROM (SELECT *, {D.title_hint('text')} AS t FROM {CORPUS_SQL}))"
+
+
+@query("status_changes", f"SELECT id, CASE WHEN status = 'quarantined' AND ok AND n >= 10 AND src <> '' THEN 'active' ELSE status END AS status, CASE WHEN status = 'quarantined' THEN ok ELSE false END AS is_psa FROM {_PROMOTED}")
 def status_changes(spark, sf_dir):
-    """SRC-10, FLT-06, CLS-10: rows deleted, updated and filtered by status."""
-    df = table(spark, sf_dir, "orders").where(~(F.col("o_orderpriority") == "5-LOW")).withColumn("status", F.when(F.col("o_orderstatus") == "O", "quarantined").otherwise("archived"))
-    return df.select("o_orderkey", F.when((F.col("status") == "quarantined") & (F.col("o_totalprice") > 100000), "active").otherwise(F.col("status")).alias("status"))
+    """SRC-10, FLT-06, CLS-10: quarantined rows that are valid when judged again become active, archived ones stay."""
+    from quern.plans.jobs import promote
+
+    rows = corpus(spark, sf_dir).select(
+        "id", T.title_hint("text").alias("title"), "text", F.col("src").alias("source_url"), F.lit(80).alias("trust_score"), F.lit(None).cast("timestamp").alias("published_at"), F.col("lang").alias("language"),
+        F.when(F.col("id") % 4 == 0, "archived").otherwise("quarantined").alias("status"), F.lit(False).alias("is_psa"),
+    )
+    return promote(rows).select("id", "status", "is_psa")
 
 
 @query("title_alignment", f"""SELECT a.doc_id AS en_id, b.doc_id AS sw_id, 'date_title_fuzzy' AS method, 1.0::DOUBLE - levenshtein(a.t, b.t)::DOUBLE / greatest(length(a.t), length(b.t), 1) AS score
@@ -491,4 +499,4 @@ def navigation_crumbs(spark, sf_dir):
     """FLT-09."""
     p = table(spark, sf_dir, "pages")
     text = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit(" Home Home About"))).otherwise(F.col("html"))
-    return p.select(F.col("page_id").alias("id"), ((F.regexp_count(text, F.lit("Home")) >= 2) & text.contains("About")).alias("crumb"))
+    return p.select(F.col("page_id").alias("id"), T.navigation_crumb(text).alias("crumb"))

@@ -159,23 +159,23 @@ def sentence_sheet(spark, sf_dir):
 @query(
     "cross_targets_dry_run",
     """SELECT printf('seed_%06d', row_number() OVER (ORDER BY doc_id, k)) AS pair_id, doc_id, lang AS target_lang, '[DRY_RUN ' || lang || '] ' || substr(text, 1, 80) AS target_text
-      FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 40) CROSS JOIN (VALUES (1, 'sw'), (2, 'kik')) v(k, lang)""",
+      FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 1000) CROSS JOIN (VALUES (1, 'sw'), (2, 'kik')) v(k, lang)""",
 )
 def cross_targets_dry_run(spark, sf_dir):
     """JOB-13, JON-12."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("psa_id"), F.lit("").alias("Domain"), F.lit("").alias("Source"), F.col("text").alias("source_text"), F.col("doc_id").alias("ord"))
-    return jobs.dry_run_seeds(docs, limit=40).select("pair_id", F.col("psa_id").alias("doc_id"), "target_lang", "target_text")
+    return jobs.dry_run_seeds(docs).select("pair_id", F.col("psa_id").alias("doc_id"), "target_lang", "target_text")
 
 
 _EVAL = f"(SELECT doc_id, source, {D.wc('text')} AS n, coalesce(toxic = 1, true)::INT AS r FROM documents LEFT JOIN labels USING (doc_id) WHERE {D.wc('text')} >= 8)"
 
 
-@query("human_eval_pick", f"SELECT doc_id, source FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY r, -n, doc_id) > 1)::INT AS later FROM {_EVAL}) ORDER BY later, r, -n, doc_id LIMIT 30")
+@query("human_eval_pick", f"SELECT doc_id, source FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY r, -n, doc_id) > 1)::INT AS later FROM {_EVAL}) ORDER BY later, r, -n, doc_id LIMIT 100")
 def human_eval_pick(spark, sf_dir):
     """WIN-05, JON-07, FLT-10: one row of each source before any second one; unknown rows count as synthetic."""
     rows = documents(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left").where(T.word_count("text") >= 8)
     rows = rows.withColumn("r", F.coalesce(F.col("toxic") == 1, F.lit(True)).cast("int")).withColumn("l", -T.word_count("text"))
-    return K.one_then_fill(rows, 30, "source", "r", "l", "doc_id").select("doc_id", "source")
+    return K.one_then_fill(rows, 100, "source", "r", "l", "doc_id").select("doc_id", "source")
 
 
 @query("last_translation", "SELECT role, turn, max_by(conv_id, conv_id) AS conv_id FROM conversations GROUP BY 1, 2")
@@ -211,10 +211,10 @@ def positional_bitext(spark, sf_dir):
 @query("bitext_lines", f"SELECT doc_id, line, sha256(a) AS en_sha256 FROM (SELECT doc_id, i AS line, {D.strip('string_split(text, chr(10))[i]')} AS a, {D.strip('string_split(lower(text), chr(10))[i]')} AS b FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE a <> '' AND b <> ''")
 def bitext_lines(spark, sf_dir):
     """SRC-15: lines of two columns side by side."""
+    from quern.sources.sheets import bitext_lines as lines
+
     docs = documents(spark, sf_dir).select("doc_id", "text", F.lower("text").alias("low"))
-    pairs = F.arrays_zip(F.split("text", "\n").alias("en"), F.split("low", "\n").alias("sw"))
-    rows = docs.select("doc_id", F.posexplode(pairs).alias("line", "p")).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), T.strip("p.en").alias("en"), T.strip("p.sw").alias("sw"))
-    return rows.where("en <> '' and sw <> ''").select("doc_id", "line", F.sha2(F.col("en").cast("binary"), 256).alias("en_sha256"))
+    return lines(docs, "text", "low", "doc_id").select("doc_id", F.col("line").cast("long").alias("line"), F.sha2(F.col("en").cast("binary"), 256).alias("en_sha256"))
 
 
 @query("evaluation_rows", "SELECT id FROM (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user' AND NOT starts_with(text, '[DRY_RUN')) ORDER BY id LIMIT 50")

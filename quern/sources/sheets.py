@@ -121,10 +121,10 @@ def read_bitext(spark: SparkSession, left: str, right: str) -> DataFrame:
     return lines(left, "en").join(lines(right, "sw"), "line").where("en <> '' and sw <> ''")
 
 
-def bitext_lines(df: DataFrame, left: str, right: str) -> DataFrame:
-    """SRC-15 for two columns that hold whole files: ``(line, en, sw)`` up to the shorter one."""
+def bitext_lines(df: DataFrame, left: str, right: str, *carried: str) -> DataFrame:
+    """SRC-15 for two columns that hold whole files: ``(line, en, sw)`` up to the shorter one, beside ``carried`` columns."""
     pairs = F.arrays_zip(F.split(left, "\n").alias("en"), F.split(right, "\n").alias("sw"))
-    rows = df.select(F.posexplode(pairs).alias("line", "p")).select((F.col("line") + 1).alias("line"), strip("p.en").alias("en"), strip("p.sw").alias("sw"))
+    rows = df.select(*carried, F.posexplode(pairs).alias("line", "p")).select(*carried, (F.col("line") + 1).alias("line"), strip("p.en").alias("en"), strip("p.sw").alias("sw"))
     return rows.where("en <> '' and sw <> ''")
 
 

@@ -27,8 +27,8 @@ def test_ingest(spark):
     assert tuple(out["log"].first()) == ("s", 5, 1, 4)
     told = {r["source_url"][-1]: r["outcome"] for r in jobs.diagnose(items(spark, NOTICE, "tiny", "x"), stored).collect()}
     assert told["0"] == "WOULD_STORE" and told["1"].startswith("reject:too_short") and told["2"] == "duplicate"
-    again = jobs.promote(out["notices"].withColumn("status", F.lit("quarantined")))
-    assert again.where("status = 'active'").count() == 1
+    again = jobs.promote(out["notices"].withColumn("status", F.lit("quarantined")).withColumn("is_psa", F.lit(False)))
+    assert again.where("status = 'active' and is_psa").count() == 1
     assert jobs.store_stats(out["notices"])["total"].first()["n"] == 1
 
 
