@@ -8,14 +8,14 @@ way everywhere.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 from types import SimpleNamespace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import lexicons as L
-from quern.functions.text import _col, collapse, let, strip, strip_chars, text_or_empty, title_and_body, word_count
+from quern.functions.text import _col, collapse, let, navigation_crumb, strip, strip_chars, text_or_empty, title_and_body, word_count
 
 THRESHOLD = 0.28
 
@@ -46,18 +46,72 @@ def _may_match(lowered: Column, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, [lowered.contains(x) for x in dict.fromkeys(texts)]) if texts else F.lit(True)
 
 
-def _has(c: Column, pattern: str, lowered: Column | None = None) -> Column:
+#: What stands between two words as the boundaries of patterns see them: neither letter, digit, underscore nor a mark on one of these.
+_BETWEEN_WORDS = r"(?:[^\p{javaLetterOrDigit}_\p{Mn}]|(?<![\p{javaLetterOrDigit}_\p{Mn}])\p{Mn})+"
+
+
+def _alternatives(inner: str) -> list[str]:
+    """The alternatives of a pattern, split where no bracket is open."""
+    out, depth, start, k = [], 0, 0, 0
+    while k < len(inner):
+        if inner[k] == "\\":
+            k += 1
+        elif inner[k] in "([":
+            depth += 1
+        elif inner[k] in ")]":
+            depth -= 1
+        elif inner[k] == "|" and depth == 0:
+            out.append(inner[start:k])
+            start = k + 1
+        k += 1
+    return [*out, inner[start:]]
+
+
+@lru_cache(maxsize=256)
+def _word_index(pattern: str) -> tuple[tuple[str, ...], str | None]:
+    """The single words among a pattern's alternatives between word boundaries, and a pattern of the others."""
+    if not (pattern.startswith(r"\b(") and pattern.endswith(r")\b") and not pattern.startswith(r"\b(?")):
+        return (), pattern
+    words, rest = [], []
+    for x in _alternatives(pattern[3:-3]):
+        if re.fullmatch("[a-z0-9_]+", x):
+            words.append(x)
+        elif re.fullmatch("[a-z0-9_]{2,}[?]", x):
+            words += [x[:-2], x[:-1]]
+        else:
+            rest.append(x)
+    return tuple(words), rf"\b({'|'.join(rest)})\b" if rest else None
+
+
+def _words_of(lowered: Column, *patterns: str) -> Column:
+    """The text's words that are alternatives of the patterns, in order: one pass for all of them."""
+    known = list(dict.fromkeys(w for p in patterns for w in _word_index(p)[0]))
+    return F.filter(F.split(lowered, _BETWEEN_WORDS), lambda w: w.isin(*known)) if known else F.array().cast("array<string>")
+
+
+def _low_has(lowered: Column, pattern: str, words: Column | None = None) -> Column:
+    """Whether a pattern matches a lower-cased text: by ``words`` of :func:`_words_of`, else by its other alternatives where these may match."""
+    own, rest = _word_index(pattern) if words is not None else ((), pattern)
+    found = [F.arrays_overlap(words, F.array(*map(F.lit, own)))] if own else []
+    found += [_may_match(lowered, rest) & lowered.rlike(rest)] if rest else []
+    return reduce(lambda a, b: a | b, found)
+
+
+def _has(c: Column, pattern: str, lowered: Column | None = None, words: Column | None = None) -> Column:
     """Whether a pattern matches, whatever the case; with the lower-cased text at hand, tried only where it may."""
-    found = c.rlike("(?i)" + pattern)
-    return found if lowered is None else _may_match(lowered, pattern) & found
+    if lowered is None:
+        return c.rlike("(?i)" + pattern)
+    own, rest = _word_index(pattern) if words is not None else ((), pattern)
+    found = [F.arrays_overlap(words, F.array(*map(F.lit, own)))] if own else []
+    found += [_may_match(lowered, rest) & c.rlike("(?i)" + rest)] if rest else []
+    return reduce(lambda a, b: a | b, found)
 
 
-def _low_has(lowered: Column, pattern: str) -> Column:
-    return _may_match(lowered, pattern) & lowered.rlike(pattern)
-
-
-def _number(c: Column, pattern: str, lowered: Column) -> Column:
-    return F.when(_may_match(lowered, pattern), F.regexp_count(c, F.lit("(?i)" + pattern))).otherwise(0)
+def _number(c: Column, pattern: str, lowered: Column, words: Column) -> Column:
+    """How often a pattern matches: its words, unless another of its alternatives matches too."""
+    own, rest = _word_index(pattern)
+    of_words = F.size(F.filter(words, lambda w: w.isin(*own))) if own else F.lit(0)
+    return F.when(_may_match(lowered, rest) & lowered.rlike(rest), F.regexp_count(c, F.lit("(?i)" + pattern))).otherwise(of_words) if rest else of_words
 
 
 def _points(condition: Column, value: float) -> Column:
@@ -68,20 +122,20 @@ def notice_score(title, text, rules: SimpleNamespace = L.NOTICE_RULES) -> Column
     """CLS-01: struct (is_notice, score); the threshold applies before rounding."""
     title, text = text_or_empty(title), text_or_empty(text)
     facts = F.struct(strip(title).alias("title"), F.lower(F.concat(title, F.lit("\n"), text)).alias("both"), word_count(text).alias("n"))
-    score = let(facts, lambda f: _score(f["title"], f["both"], f["n"], rules))
+    words = lambda f: _words_of(f["both"], *rules.positive, *rules.negative, rules.organisations, rules.imperatives)
+    score = let(facts, lambda f: let(words(f), lambda w: _score(f["title"], f["both"], f["n"], w, rules)))
     return let(score, lambda s: F.struct((s >= THRESHOLD).alias("is_notice"), F.bround(s, 3).alias("score")))
 
 
-def _score(title: Column, both: Column, n: Column, rules: SimpleNamespace) -> Column:
+def _score(title: Column, both: Column, n: Column, words: Column, rules: SimpleNamespace) -> Column:
     score = F.lit(0.0)
     for p in rules.positive:
-        score = score + _points(_low_has(both, p), 0.12)
+        score = score + _points(_low_has(both, p, words), 0.12)
     for p in rules.negative:
-        score = score - _points(_low_has(both, p), 0.25)
+        score = score - _points(_low_has(both, p, words), 0.25)
     score = score + _points(_has(title, rules.prefix), 0.2)
-    score = score + _points(_low_has(both, rules.organisations), 0.15)
-    imperatives = F.when(_may_match(both, rules.imperatives), F.regexp_count(both, F.lit(rules.imperatives))).otherwise(0)
-    score = score + F.least(imperatives * F.lit(0.05), F.lit(0.2))
+    score = score + _points(_low_has(both, rules.organisations, words), 0.15)
+    score = score + F.least(_number(both, rules.imperatives, both, words) * F.lit(0.05), F.lit(0.2))
     score = score + F.when(n > 500, -0.25).when(n > 300, -0.15).when(n < 12, -0.2).when(n.between(15, 250), 0.15).when(n.between(251, 300), 0.05).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
@@ -90,7 +144,9 @@ def framework_label(text, title, rules: SimpleNamespace = L.NOTICE_RULES) -> Col
     """CLS-02: struct (label, confidence, reason, action_hits, press_hits, other_hits, token_count, is_strict)."""
     both = let(collapse(text), lambda body: F.struct(strip_chars(F.concat(collapse(title), F.lit(". "), body), ". ").alias("both"), word_count(body).alias("n")))
     low = let(both, lambda b: F.struct(b["both"].alias("both"), b["n"].alias("n"), F.lower(b["both"]).alias("low")))
-    facts = let(low, lambda b: F.struct(b["both"].alias("both"), b["n"].alias("n"), b["low"].alias("low"), *[_number(b["both"], x, b["low"]).alias(k) for k, x in (("a", rules.action), ("p", rules.press), ("o", rules.other))]))
+    kinds = {"a": rules.action, "p": rules.press, "o": rules.other}
+    counts = lambda b, w: F.struct(b["both"].alias("both"), b["n"].alias("n"), b["low"].alias("low"), *[_number(b["both"], x, b["low"], w).alias(k) for k, x in kinds.items()])
+    facts = let(low, lambda b: let(_words_of(b["low"], *kinds.values()), lambda w: counts(b, w)))
     return let(facts, lambda f: _framework(f["both"], f["low"], f["n"], f["a"], f["p"], f["o"], rules))
 
 
@@ -145,11 +201,12 @@ def gate_reason(text, source="", lang="en", contributor="", origin_file="", rule
             F.coalesce(lit(lang), F.lit("unknown")).alias("lang"), raw.alias("raw"),
         ),
     )
-    forced = lambda f: let(_has(f["w"], rules.force, f["low"]), lambda force: _gate(f["w"], f["low"], f["n"], force, f["source"], f["lang"], f["raw"], raw_reason, rules))
-    return let(facts, forced)
+    words = lambda f: _words_of(f["low"], rules.force, rules.off_topic, rules.listicle, rules.report, rules.genre)
+    forced = lambda f, w: let(_has(f["w"], rules.force, f["low"], w), lambda force: _gate(f["w"], f["low"], w, f["n"], force, f["source"], f["lang"], f["raw"], raw_reason, rules))
+    return let(facts, lambda f: let(words(f), lambda w: forced(f, w)))
 
 
-def _gate(whole: Column, low: Column, n: Column, force: Column, source: Column, lang: Column, raw: Column, raw_reason: str, rules: SimpleNamespace) -> Column:
+def _gate(whole: Column, low: Column, words: Column, n: Column, force: Column, source: Column, lang: Column, raw: Column, raw_reason: str, rules: SimpleNamespace) -> Column:
     any_of = lambda names: source.rlike("|".join(x.replace(".", r"\.") for x in names))
     none = F.lit(None).cast("string")
 
@@ -167,18 +224,18 @@ def _gate(whole: Column, low: Column, n: Column, force: Column, source: Column,
         .when(raw, raw_reason)
         .when(_has(whole, rules.navigation, low), "nav_boilerplate")
         .when(_has(whole, rules.listing, low), "listing_page_dump")
-        .when((F.regexp_count(whole, F.lit("Home")) >= 3) & whole.contains("About"), "menu_like")
+        .when(navigation_crumb(whole, 3), "menu_like")
         .when(_has(whole, rules.stub, low) & ~force, "ngo_website_stub")
         .when(any_of(L.ABOUT_PAGES) & (~force | (n < 40)), "ngo_about_page")
-        .when(_has(whole, rules.off_topic, low) & ~force, "off_topic_news")
-        .when(_has(whole, rules.listicle, low) & ~force, "listicle_not_psa")
+        .when(_has(whole, rules.off_topic, low, words) & ~force, "off_topic_news")
+        .when(_has(whole, rules.listicle, low, words) & ~force, "listicle_not_psa")
         .when((n < 12) & force & (n >= 8), none)
         .when(n < 12, "too_short")
         .when(n > 350, "too_long_for_psa")
         .when(~lang.isin(L.GATE_LANGUAGES), F.concat(F.lit("non_target_language:"), lang))
         .when((n < 25) & ~force & any_of(L.NGO_HOSTS), "short_ngo_non_psa")
-        .when(_has(whole, rules.report, low), "report_not_psa")
-        .when(_has(whole, rules.genre, low) & ~force, "genre_news_not_psa")
+        .when(_has(whole, rules.report, low, words), "report_not_psa")
+        .when(_has(whole, rules.genre, low, words) & ~force, "genre_news_not_psa")
         .otherwise(let(title_and_body(whole), lambda p: let(notice_score(p["title"], p["body"], rules)["score"], by_score)))
     )
 

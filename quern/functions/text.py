@@ -57,13 +57,17 @@ def collapse(c) -> Column:
 
 
 def words(c) -> Column:
-    """Words of white space, as an array."""
-    return F.filter(F.split(text_or_empty(c), f"[{WS}]+"), lambda w: w != "")
+    """Words of white space, as an array.
+
+    White space of all kinds becomes spaces first: a text is cut at one character
+    several times as fast as by a pattern of many.
+    """
+    return F.array_remove(F.split(F.translate(text_or_empty(c), _WHITE, " " * len(_WHITE)), " "), "")
 
 
 def word_count(c) -> Column:
     """TXT-05: number of words of white space."""
-    return F.regexp_count(text_or_empty(c), F.lit(f"[^{WS}]+"))
+    return F.size(words(c))
 
 
 def long_in_either(en, sw, least: int = 8) -> Column:
