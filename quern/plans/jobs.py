@@ -6,9 +6,11 @@ year and the seed are parameters, so results repeat.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from types import SimpleNamespace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from quern.plans.stage_table import stage_table
 from quern.sources.sheets import TARGETS
 
 RULES = L.NOTICE_RULES
+#: Sources that are read at a time.
+ABREAST = 8
 
 
 def _map(**values: Column) -> Column:
@@ -68,6 +72,12 @@ def item_columns(items: DataFrame, rules: SimpleNamespace = RULES) -> DataFrame:
     return df.withColumn("errors", F.col("check_.errors")).withColumn("warnings", F.col("check_.warnings")).withColumn("status", status).drop("check_")
 
 
+def in_order(items: DataFrame) -> DataFrame:
+    """Items with ``order_``: by ``ord``, of equal ones by a digest of the whole item, so that only equal items share it."""
+    rest = F.to_json(F.struct(*[c for c in items.columns if c != "ord"]))
+    return items.withColumn("order_", F.struct("ord", F.md5(rest.cast("binary")).alias("item")))
+
+
 def ingest(items: DataFrame, stored: DataFrame, year: int = 2026, rules: SimpleNamespace = RULES) -> dict[str, DataFrame]:
     """JOB-01/02: items in order, each stored unless its hash or address is stored by then; numbered on from what is stored.
 
@@ -76,9 +86,7 @@ def ingest(items: DataFrame, stored: DataFrame, year: int = 2026, rules: SimpleN
     one are told apart by their hash alone. The log counts what became of each
     source's items (AGG-13): found, stored as active, and all others.
     """
-    done = item_columns(items, rules)
-    done = done.withColumn("order_", F.struct("ord", F.md5(F.to_json(F.struct(*[c for c in done.columns if c != "ord"])).cast("binary")).alias("item")))
-    done = stage_table(done, "items")
+    done = stage_table(in_order(item_columns(items, rules)), "items")
     new = stage_table(first_choice(not_known(done, stored, "content_hash", "source_url"), "order_", "content_hash", "source_url"), "first")
     top_number = stored.agg(F.coalesce(F.max(F.regexp_extract("psa_id", r"(\d+)$", 1).cast("long")), F.lit(0)).alias("top_"))
     new = dense_number(new, "number_", "order_").crossJoin(F.broadcast(top_number))
@@ -111,22 +119,31 @@ def ingest_sources(sources: DataFrame, read, stored: DataFrame, year: int = 2026
     """JOB-02, SRC-20: all sources of a work list in one ingest; one that can't be read fails by itself.
 
     ``read`` takes a source's row and returns its items ``(source_id, source_url,
-    title, raw_html, raw_text, published_at)`` or raises; what it raises, also when
-    the items' schema is resolved, is that source's ``error`` in the log, and the
-    others go on. The work list is small (a registry); its items may be any number.
+    title, raw_html, raw_text, published_at)`` or raises. Each source's items are
+    read and written by a job of their own, ``ABREAST`` at a time, so whatever is
+    raised, by ``read`` itself or by a task at any item, is that source's
+    ``error`` in the log, none of its items are stored, and the others go on. The
+    work list is small (a registry); its items may be any number.
     """
-    spark, parts, failed = sources.sparkSession, [], []
-    for k, source in enumerate(sources.toLocalIterator()):
+    spark = sources.sparkSession
+    work = list(enumerate(sources.toLocalIterator()))
+
+    def of_source(place: int, source) -> tuple[str, DataFrame | None, str | None]:
         try:
             if source["adapter"] is None:
                 raise LookupError(f"unknown source {source['source_id']}")
             items = read(source).select("source_id", "source_url", "title", "raw_html", "raw_text", "published_at")
+            k = place
             items = items.withColumn("ord", F.struct(F.lit(k).alias("source"), F.xxhash64("source_url", "raw_text").alias("item"), F.col("source_url").alias("url"), F.md5(F.coalesce("raw_text", F.lit("")).cast("binary")).alias("text")))
             for c, v in (("domain", (source["domains_covered"] or [None])[0]), ("language_default", source["primary_language"]), ("organization", source["organization"]), ("adapter", source["adapter"])):
                 items = items.withColumn(c, F.lit(v).cast("string"))
-            parts.append((source["source_id"], items.withColumn("trust_score", F.lit(source["trust_score"]).cast("int"))))
+            return source["source_id"], stage_table(items.withColumn("trust_score", F.lit(source["trust_score"]).cast("int")), "source"), None
         except Exception as e:  # a source's failure must not end the others
-            failed.append((source["source_id"], f"{type(e).__name__}: {e}"[:500]))
+            return source["source_id"], None, f"{type(e).__name__}: {e}"[:500]
+
+    with ThreadPoolExecutor(ABREAST) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(lambda w: of_source(*w)), work))
+    parts, failed = [(i, items) for i, items, _ in done if items is not None], [(i, e) for i, items, e in done if items is None]
     logs = spark.createDataFrame([(i, "failed", 0, 0, 0, e) for i, e in failed], S.RUN_LOG)
     if not parts:
         return {"notices": notice_records(spark.createDataFrame([], "psa_id string")), "log": logs}
