@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import collapse, text_or_empty, words
+from quern.functions.text import collapse, let, text_or_empty, words
 
 
 def mt_tokens(c) -> Column:
@@ -26,43 +26,75 @@ def mt_tokens(c) -> Column:
     return words(F.regexp_replace(c, r"([0-9])(-)", "$1 $2 "))
 
 
-def _grams(units: Column, n: int, sep: str) -> Column:
-    places = F.when(F.size(units) >= n, F.sequence(F.lit(1), F.size(units) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(units, i, F.lit(n)), sep))
+def _joined(a: Column, b: Column, f) -> Column:
+    """``f`` of the elements of two arrays at equal places, as far as both go."""
+    return F.filter(F.zip_with(a, b, lambda x, y: F.when(y.isNotNull(), f(x, y))), lambda x: x.isNotNull())
+
+
+def _after(c: Column, k: int) -> Column:
+    return F.when(F.size(c) > k, F.slice(c, F.lit(k + 1), F.size(c) - k)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _hashed(shorter: list[Column], units: Column) -> Column:
+    """Codes of the next order's n-grams of an array of longs: hashes of 64 bits, which two n-grams of a pair share with a probability of some 10^-13."""
+    return _joined(shorter[-1], _after(units, len(shorter)), F.xxhash64) if shorter else units
+
+
+def _rolled(shorter: list[Column], units: Column) -> Column:
+    """Codes of the next order's n-grams of an array of numbers below 2^21: three side by side fit a long; more are hashed as in :func:`_hashed`."""
+    n = len(shorter)
+    if n >= 3:
+        return _joined(shorter[2], _after(shorter[n - 3], 3), F.xxhash64)
+    return _joined(shorter[-1], _after(units, n), lambda a, b: F.shiftleft(a, 21).bitwiseOR(b)) if n else units
 
 
 def _matched(h: Column, r: Column) -> Column:
-    """N-grams of two lists that pair off: both are sorted as one, and each run of equal ones gives its smaller side."""
-    side = lambda grams, own: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(own).alias("h")))
-    state = lambda g, h, r, m: F.struct(g.alias("g"), h.alias("h"), r.alias("r"), m.alias("m"))
-    none = F.lit(0).cast("long")
-    done = lambda acc: acc["m"] + F.least(acc["h"], acc["r"])
+    """Codes of two lists that pair off: both are sorted as one, and each run of equal ones gives its smaller side.
+
+    A code's last bit tells the side, so longs are sorted and no structs. The
+    running state is one long: pairs so far above, codes of the reference that
+    the run has left below 2^32.
+    """
+    side = lambda codes, own: F.transform(codes, lambda c: F.shiftleft(c, 1).bitwiseOR(F.lit(own).cast("long")))
+    low, one = F.lit((1 << 32) - 1), F.lit(1).cast("long")
 
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["g"] == x["g"]
-        return state(x["g"], F.when(same, acc["h"]).otherwise(none) + x["h"], F.when(same, acc["r"]).otherwise(none) + (1 - x["h"]), F.when(same, acc["m"]).otherwise(done(acc)))
+    def steps(codes: Column) -> Column:
+        """The side of each code, and 2 more where it is that of the one before; a run's codes of the reference come first."""
+        before = F.concat(F.array(F.lit(None).cast("long")), codes)
+        return F.zip_with(codes, F.slice(before, F.lit(1), F.size(codes)), lambda x, y: x.bitwiseAND(one).cast("int") + F.when(F.shiftright(x, 1) == F.shiftright(y, 1), 2).otherwise(0))
 
-    return F.aggregate(F.sort_array(F.concat(side(h, 1), side(r, 0))), state(F.lit(""), none, none, none), step, done)
+    def step(s: Column, x: Column) -> Column:
+        left = s.bitwiseAND(low)
+        paired = F.when(left > 0, s + low).otherwise(s)  # one pair more, one left fewer
+        return F.when(x == 3, paired).when(x == 2, s + 1).when(x == 1, s - left).otherwise(s - left + 1)
 
+    runs = let(F.sort_array(F.concat(side(h, 1), side(r, 0))), steps)
+    return F.shiftright(F.aggregate(runs, F.lit(0).cast("long"), step), 32)
 
-def _counts(df: DataFrame, sides: dict[str, Column], orders: int, sep: str) -> DataFrame:
+
+def _counts(df: DataFrame, sides: dict[str, Column], orders: int, codes) -> DataFrame:
     """One row: matched n-grams ``m1..``, and each side's totals ``h1.., r1..``, and the number of pairs ``n``.
 
+    The sides are arrays of longs that stand for units, ``codes`` makes those of their n-grams.
+
     N-grams are counted within the pair's row and clipped to the smaller count,
     so that only sums leave it: nothing but one row a task is shuffled.
     """
     rows = df.select(*[c.alias(s) for s, c in sides.items()])
     h, r = F.col("h"), F.col("r")
+    for n in range(1, orders + 1):  # each order's codes from those before it
+        rows = rows.withColumns({f"{s}g{n}": codes([F.col(f"{s}g{k}") for k in range(1, n)], u) for s, u in (("h", h), ("r", r))})
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
     size = lambda c, n: F.greatest(F.size(c) - (n - 1), F.lit(0)).cast("long")
-    parts = [x for n in range(1, orders + 1) for x in (total(_matched(_grams(h, n, sep), _grams(r, n, sep)), f"m{n}"), total(size(h, n), f"h{n}"), total(size(r, n), f"r{n}"))]
+    parts = [x for n in range(1, orders + 1) for x in (total(_matched(F.col(f"hg{n}"), F.col(f"rg{n}")), f"m{n}"), total(size(h, n), f"h{n}"), total(size(r, n), f"r{n}"))]
     return rows.agg(*parts, F.count(F.lit(1)).alias("n"))
 
 
 def corpus_bleu(df: DataFrame, hypothesis: str, reference: str, orders: int = 4) -> DataFrame:
     """AGG-15: one row: ``bleu, n``; exponential smoothing, brevity penalty, 0 to 100."""
     pairs = df.select(F.col(hypothesis).alias("hyp_"), F.col(reference).alias("ref_"))
-    total = _counts(pairs, {"h": mt_tokens("hyp_"), "r": mt_tokens("ref_")}, orders, " ")
+    units = lambda c: F.transform(mt_tokens(c), lambda t: F.xxhash64(t))
+    total = _counts(pairs, {"h": units("hyp_"), "r": units("ref_")}, orders, _hashed)
     smooth, logs, dead = F.lit(1.0), [], F.lit(False)
     for n in range(1, orders + 1):
         m, t = F.col(f"m{n}"), F.col(f"h{n}")
@@ -76,9 +108,9 @@ def corpus_bleu(df: DataFrame, hypothesis: str, reference: str, orders: int = 4)
 
 def corpus_chrf(df: DataFrame, hypothesis: str, reference: str, orders: int = 6, beta: float = 2.0) -> DataFrame:
     """AGG-15: one row: ``chrf, n``; character orders 1 to ``orders``, white space removed, 0 to 100."""
-    chars = lambda c: F.filter(F.split(F.replace(collapse(c), F.lit(" "), F.lit("")), ""), lambda x: x != "")
+    chars = lambda c: F.transform(F.regexp_extract_all(F.replace(collapse(c), F.lit(" "), F.lit("")), F.lit("(?s)."), F.lit(0)), lambda x: F.ascii(x).cast("long"))
     pairs = df.select(F.col(hypothesis).alias("hyp_"), F.col(reference).alias("ref_"))
-    total = _counts(pairs, {"h": chars("hyp_"), "r": chars("ref_")}, orders, "")
+    total = _counts(pairs, {"h": chars("hyp_"), "r": chars("ref_")}, orders, _rolled)
     # Orders that either side is too short for don't count.
     k = range(1, orders + 1)
     both = [(F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0) for n in k]
