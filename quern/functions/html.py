@@ -62,13 +62,16 @@ _TEXT, _START, _END, _EMPTY = 0, 1, 2, 3
 
 
 def page_tokens(c) -> Column:
-    """Tags and texts of a page in order, ``(raw, name, kind)``; comments, scripts, styles and the document type are left out."""
+    """Tags and texts of a page in order, ``(at, raw, name, kind)``; comments, scripts, styles and the document type are left out.
+
+    It is the costly part of a selection, so several of them are best made of one column of tokens.
+    """
     bare = F.regexp_replace(text_or_empty(c), _DROPPED, "")
 
-    def token(raw: Column) -> Column:
+    def token(raw: Column, i: Column) -> Column:
         name = F.lower(F.regexp_extract(raw, r"^</?([A-Za-z][^\s/>]*)", 1))
         kind = F.when(~raw.rlike("^</?[A-Za-z]"), _TEXT).when(raw.startswith("</"), _END).when(name.isin(*_VOID) | raw.endswith("/>"), _EMPTY).otherwise(_START)
-        return F.struct(raw.alias("raw"), name.alias("name"), kind.alias("kind"))
+        return F.struct((i + 1).alias("at"), raw.alias("raw"), name.alias("name"), kind.alias("kind"))
 
     return F.transform(F.regexp_extract_all(bare, F.lit(_TOKEN), F.lit(0)), token)
 
@@ -169,24 +172,26 @@ def _walk(tokens: Column, selector: str, all_: bool) -> Column:
                 found = hit & is_last
                 grown = F.when(hit & (t["kind"] == _START) & ~(is_last & F.lit(all_)), F.concat(open_, F.array(F.struct(t["name"].alias("name"), F.lit(1).alias("n"), F.lit(0).alias("inner"))))).otherwise(open_)
                 if all_:
-                    places = F.when(found, F.concat(s["places"], F.array(s["at"]))).otherwise(s["places"])
-                    return F.struct((s["at"] + 1).alias("at"), grown.cast(_OPEN).alias("open"), places.alias("places"))
-                begin = F.when(s["begin"].isNull() & found, s["at"]).otherwise(s["begin"])
-                end = F.when(found & (t["kind"] == _EMPTY), s["at"]).when(s["begin"].isNotNull() & (F.size(open_) <= last), s["at"] - 1).otherwise(s["end"])
-                return F.struct((s["at"] + 1).alias("at"), grown.cast(_OPEN).alias("open"), begin.alias("begin"), end.alias("end"))
+                    places = F.when(found, F.concat(s["places"], F.array(t["at"]))).otherwise(s["places"])
+                    return F.struct(grown.cast(_OPEN).alias("open"), places.alias("places"))
+                begin = F.when(s["begin"].isNull() & found, t["at"]).otherwise(s["begin"])
+                end = F.when(found & (t["kind"] == _EMPTY), t["at"]).when(s["begin"].isNotNull() & (F.size(open_) <= last), t["at"] - 1).otherwise(s["end"])
+                return F.struct(grown.cast(_OPEN).alias("open"), begin.alias("begin"), end.alias("end"))
 
             return let(started, with_start)
 
         return let(_next_open(s["open"], t), with_open)
 
-    none = F.array().cast(_OPEN)
+    none, tags = F.array().cast(_OPEN), F.filter(tokens, lambda t: t["kind"] != _TEXT)
+
+    def step(s: Column, t: Column) -> Column:
+        # A tag that changes nothing, with nothing open that it could end, is passed over.
+        idle = (F.size(s["open"]) == 0) & ~(t["kind"].isin(_START, _EMPTY) & (steps[0](t)))
+        return F.when(idle if all_ else s["end"].isNotNull() | (s["begin"].isNull() & idle), s).otherwise(seen(s, t))
+
     if all_:
-        zero = F.struct(F.lit(1).alias("at"), none.alias("open"), F.array().cast("array<int>").alias("places"))
-        skip = lambda s: F.struct((s["at"] + 1).alias("at"), s["open"].alias("open"), s["places"].alias("places"))
-        return F.aggregate(tokens, zero, lambda s, t: F.when(t["kind"] == _TEXT, skip(s)).otherwise(seen(s, t)))["places"]
-    zero = F.struct(F.lit(1).alias("at"), none.alias("open"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"))
-    skip = lambda s: F.struct((s["at"] + 1).alias("at"), s["open"].alias("open"), s["begin"].alias("begin"), s["end"].alias("end"))
-    return F.aggregate(tokens, zero, lambda s, t: F.when((t["kind"] == _TEXT) | s["end"].isNotNull(), skip(s)).otherwise(seen(s, t)))
+        return F.aggregate(tags, F.struct(none.alias("open"), F.array().cast("array<int>").alias("places")), step)["places"]
+    return F.aggregate(tags, F.struct(none.alias("open"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end")), step)
 
 
 def element(tokens: Column, selector: str) -> Column:
@@ -212,20 +217,20 @@ def _selectors(selectors: str) -> list[str]:
 
 def _first_element(tokens: Column, selectors: str) -> Column:
     found = [element(tokens, s) for s in _selectors(selectors)]
-    return F.coalesce(*found) if found else F.lit(None).cast("array<struct<raw:string,name:string,kind:int>>")
+    return F.coalesce(*found) if found else F.lit(None).cast("array<struct<at:int,raw:string,name:string,kind:int>>")
 
 
-def select_first(c, selectors: str, separator: str = "") -> Column:
+def first_text(tokens: Column, selectors: str, separator: str = "") -> Column:
     """SRC-02: text of the first selector in the list that is on the page; texts within it are joined without a gap."""
-    return let(page_tokens(c), lambda tokens: let(_first_element(tokens, selectors), lambda e: F.when(e.isNotNull(), tokens_text(e, separator))))
+    return let(_first_element(tokens, selectors), lambda e: F.when(e.isNotNull(), tokens_text(e, separator)))
 
 
-def select_attribute(c, selectors: str, name: str) -> Column:
+def first_attribute(tokens: Column, selectors: str, name: str) -> Column:
     """SRC-02: an attribute of the first selector in the list that is on the page; null where that element lacks it."""
-    return let(page_tokens(c), lambda tokens: let(_first_element(tokens, selectors), lambda e: attribute(F.get(e, F.lit(0))["raw"], name)))
+    return let(_first_element(tokens, selectors), lambda e: attribute(F.get(e, F.lit(0))["raw"], name))
 
 
-def select_body(c, selectors: str, least: int = 10) -> Column:
+def body_text(tokens: Column, selectors: str, least: int = 10) -> Column:
     """SRC-03: the first selected text of ``least`` words, else the longest, the earlier on a tie."""
 
     def chosen(texts: Column) -> Column:
@@ -233,11 +238,23 @@ def select_body(c, selectors: str, least: int = 10) -> Column:
         longest = F.array_max(F.transform(texts, lambda t, i: F.struct(word_count(t).alias("n"), (-i).alias("o"), t.alias("t"))))["t"]
         return F.coalesce(first, longest, F.lit(""))
 
-    def texts_of(tokens: Column) -> Column:
-        found = [let(element(tokens, s), lambda e: F.when(e.isNotNull(), tokens_text(e))) for s in _selectors(selectors)]
-        return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    found = [let(element(tokens, s), lambda e: F.when(e.isNotNull(), tokens_text(e))) for s in _selectors(selectors)]
+    return let(F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"), chosen)
+
 
-    return let(page_tokens(c), lambda tokens: let(texts_of(tokens), chosen))
+def select_first(c, selectors: str, separator: str = "") -> Column:
+    """:func:`first_text` of a page's markup."""
+    return let(page_tokens(c), lambda tokens: first_text(tokens, selectors, separator))
+
+
+def select_attribute(c, selectors: str, name: str) -> Column:
+    """:func:`first_attribute` of a page's markup."""
+    return let(page_tokens(c), lambda tokens: first_attribute(tokens, selectors, name))
+
+
+def select_body(c, selectors: str, least: int = 10) -> Column:
+    """:func:`body_text` of a page's markup."""
+    return let(page_tokens(c), lambda tokens: body_text(tokens, selectors, least))
 
 
 def resolve_link(base, href) -> Column:

@@ -116,9 +116,9 @@ _NAV = _first(_bare("html"), r"(?s)<nav>(.*?)</nav>")
 @query("page_parts", f"SELECT page_id, {_text(_first(_ARTICLE, '(?s)<h1>(.*?)</h1>'))} AS title, sha256({_text(_first(_ARTICLE, '(?s)<p>(.*?)(?:</?p>|$)'))}) AS first_sha256, len(regexp_extract_all({_NAV}, '<a href='))::BIGINT AS links, {_first(_NAV, 'href=' + chr(34) + '([^' + chr(34) + ']*)' + chr(34))} AS first_link, {_text(_first(_bare('html'), '(?s)<div class=' + chr(34) + 'ad' + chr(34) + '>(.*?)</div>'))} AS ad FROM pages")
 def page_parts(spark, sf_dir):
     """SRC-02 to 04: selectors of several parts, classes and attributes; a paragraph without end tag ends at the next."""
-    tokens = H.page_tokens("html")
-    p = pages(spark, sf_dir).select("page_id", "html", H.start_tags(tokens, "nav li a[href]").alias("links"))
+    tokens = F.col("tokens")
+    p = pages(spark, sf_dir).select("page_id", H.page_tokens("html").alias("tokens")).withColumn("links", H.start_tags(tokens, "nav li a[href]"))
     return p.select(
-        "page_id", H.select_first("html", "body article h1").alias("title"), F.sha2(H.select_first("html", "article p", "\n").cast("binary"), 256).alias("first_sha256"), F.size("links").cast("long").alias("links"),
-        H.attribute(F.get("links", F.lit(0)), "href").alias("first_link"), H.select_first("html", "div.none, body div.ad").alias("ad"),
+        "page_id", H.first_text(tokens, "body article h1").alias("title"), F.sha2(H.first_text(tokens, "article p", "\n").cast("binary"), 256).alias("first_sha256"), F.size("links").cast("long").alias("links"),
+        H.attribute(F.get("links", F.lit(0)), "href").alias("first_link"), H.first_text(tokens, "div.none, body div.ad").alias("ad"),
     )

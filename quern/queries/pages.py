@@ -55,7 +55,8 @@ def _el(tag: str) -> str:
 @query("page_extract", f"SELECT page_id, title, sha256(CASE WHEN {D.wc('a')} >= 10 THEN a WHEN {D.wc('m')} >= 10 THEN m WHEN a IS NULL THEN coalesce(m, '') WHEN {D.wc('m')} > {D.wc('a')} THEN m ELSE a END) AS body_sha256 FROM (SELECT page_id, coalesce({_el('h1')}, {_el('title')}) AS title, {_el('article')} AS a, {_el('main')} AS m FROM pages)")
 def page_extract(spark, sf_dir):
     """SRC-01 to 03."""
-    return pages(spark, sf_dir).select("page_id", H.select_first("html", "h1, title").alias("title"), F.sha2(H.select_body("html", "article, main").cast("binary"), 256).alias("body_sha256"))
+    p = pages(spark, sf_dir).select("page_id", H.page_tokens("html").alias("tokens"))
+    return p.select("page_id", H.first_text(F.col("tokens"), "h1, title").alias("title"), F.sha2(H.body_text(F.col("tokens"), "article, main").cast("binary"), 256).alias("body_sha256"))
 
 
 @query(

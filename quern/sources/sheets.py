@@ -175,12 +175,13 @@ def read_pages(pages: DataFrame, source_id: str, title: str = "h1", body: str =
 
     The date is what the selected element's ``datetime`` attribute says, null if that is no date.
     """
-    from quern.functions.html import select_attribute, select_body, select_first, title_or_default
+    from quern.functions.html import body_text, first_attribute, first_text, page_tokens, title_or_default
 
-    when = F.try_to_timestamp(F.regexp_replace(select_attribute("html", date, "datetime"), "Z$", "+00:00"))
-    return pages.select(
-        F.lit(source_id).alias("source_id"), F.col("url").alias("source_url"), title_or_default(select_first("html", title)).alias("title"),
-        F.lit(None).cast("string").alias("raw_html"), select_body("html", body).alias("raw_text"), when.alias("published_at"),
+    tokens = F.col("tokens_")
+    when = F.try_to_timestamp(F.regexp_replace(first_attribute(tokens, date, "datetime"), "Z$", "+00:00"))
+    return pages.withColumn("tokens_", page_tokens("html")).select(
+        F.lit(source_id).alias("source_id"), F.col("url").alias("source_url"), title_or_default(first_text(tokens, title)).alias("title"),
+        F.lit(None).cast("string").alias("raw_html"), body_text(tokens, body).alias("raw_text"), when.alias("published_at"),
     ).where(word_count("raw_text") >= least)
 
 
