@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,29 +18,47 @@ def group_key(key: str) -> Column:
     return F.when(F.col(key).isNotNull() & (F.col(key).cast("string") != ""), F.col(key).cast("string")).otherwise("Unknown")
 
 
+def levelled(values: np.ndarray, target: int, floor: int) -> np.ndarray:
+    """``values`` with the largest one lowered by 1, of equal ones the first, until they sum up to ``target`` or none is above ``floor``.
+
+    The level that this ends at is searched for: all above it come down to it, and
+    the first ones of these by one more.
+    """
+    if values.sum() <= target or not len(values):
+        return values
+    low, high = floor, max(int(values.max()), floor)
+    while low < high:  # the lowest level that leaves the target or more
+        level = (low + high) // 2
+        low, high = (low, level) if np.minimum(values, level).sum() >= target else (level + 1, high)
+    out = np.minimum(values, np.maximum(low, floor)) if low > floor else np.where(values > floor, floor, values)
+    more = int(out.sum()) - target
+    if low > floor and more > 0:
+        out[np.flatnonzero(values >= low)[:more]] -= 1
+    return out
+
+
 def allocate(sizes: dict[str, int], n: int, least: int = 10) -> dict[str, int]:
-    """SMP-01: rows for each stratum: its share, at least ``least``, corrected one by one to ``n``."""
-    total = sum(sizes.values())
+    """SMP-01: rows for each stratum: its share, at least ``least``, corrected to ``n``.
+
+    Rows too many are taken one by one from the stratum that has most, but not its
+    last; rows too few are given to the one that leaves most out; of equal strata
+    the first by name. What this comes to is worked out by :func:`levelled`.
+    """
     groups = sorted(sizes)
-    out = {g: min(sizes[g], max(least, round(sizes[g] / total * n))) for g in groups}
-    while sum(out.values()) > n:
-        g = max(groups, key=out.__getitem__)
-        if out[g] <= 1:
-            break
-        out[g] -= 1
-    while sum(out.values()) < n:
-        g = max(groups, key=lambda x: sizes[x] - out[x])
-        if out[g] >= sizes[g]:
-            break
-        out[g] += 1
-    return out
+    have = np.array([sizes[g] for g in groups], np.int64)
+    total = int(have.sum())
+    out = np.array([min(sizes[g], max(least, round(sizes[g] / total * n))) for g in groups], np.int64)
+    out = levelled(out, n, 1)
+    left = have - out
+    out = have - levelled(left, int(left.sum()) - max(n - int(out.sum()), 0), 0)
+    return dict(zip(groups, out.tolist(), strict=True))
 
 
 def stratified_sample(df: DataFrame, n: int, id_col: str, key: str, seed: int = 42, least: int = 10) -> DataFrame:
     """SMP-01: ``n`` rows (all, if there are no more) in shares of the strata.
 
-    Sizes of at most ``MOST_GROUPS`` strata are collected for the allocation,
-    which is a sequence of corrections; more are an error.
+    Sizes of at most ``MOST_GROUPS`` strata are collected for the allocation;
+    more are an error.
     """
     if n <= 0:
         return df.limit(0)

@@ -162,6 +162,29 @@ def guessed_language(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("lang", T.guess_language("text").alias("guess")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_LETTERS = r"regexp_extract_all(lower(coalesce({}, '')), '[\pL]+')"
+_GROUPS = "unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3)))"
+
+
+@query(
+    "learned_language",
+    f"""WITH words AS (SELECT lang AS language, word, count(*) AS n FROM (SELECT lang, unnest({_LETTERS.format('text')}) AS word FROM documents WHERE doc_id % 5 > 0 AND lang IS NOT NULL) GROUP BY 1, 2),
+      groups AS MATERIALIZED (SELECT language, g, sum(n) AS n FROM (SELECT language, n, {_GROUPS} AS g FROM words) GROUP BY 1, 2),
+      frequent AS (SELECT g FROM groups GROUP BY g ORDER BY sum(n) DESC, g LIMIT 3000), totals AS (SELECT language, sum(n) AS total, count(*) AS kinds FROM groups GROUP BY 1),
+      profile AS MATERIALIZED (SELECT f.g, t.language, ln((coalesce(x.n, 0)::DOUBLE + 0.5::DOUBLE) / (total::DOUBLE + 0.5::DOUBLE * kinds)) AS p FROM frequent f CROSS JOIN totals t LEFT JOIN groups x ON x.g = f.g AND x.language = t.language),
+      cut AS MATERIALIZED (SELECT doc_id, {_GROUPS} AS g FROM (SELECT doc_id, unnest({_LETTERS.format('substr(text, 1, 2000)')}) AS word FROM documents)),
+      sizes AS (SELECT doc_id, len({_LETTERS.format('substr(text, 1, 2000)')}) AS n FROM documents), known AS (SELECT doc_id, count(*) AS groups, count(*) FILTER (WHERE g IN (SELECT g FROM frequent)) AS met FROM cut GROUP BY 1),
+      sums AS (SELECT doc_id, language, round(sum(p), 6) AS s FROM cut JOIN profile USING (g) GROUP BY 1, 2), best AS (SELECT doc_id, arg_min(language, {{'s': -s, 'l': language}}) AS language FROM sums GROUP BY 1)
+      SELECT doc_id, CASE WHEN n >= 5 AND met >= 0.5::DOUBLE * groups AND groups > 0 THEN best.language ELSE 'unknown' END AS language FROM sizes LEFT JOIN known USING (doc_id) LEFT JOIN best USING (doc_id)""",
+)
+def learned_language(spark, sf_dir):
+    """TXT-17/18, UDF-02: languages by profiles that are learned from four fifths of the documents."""
+    from quern.operators.language_profiles import detect_languages, learn_profiles
+
+    docs = documents(spark, sf_dir)
+    return detect_languages(docs, learn_profiles(docs.where("doc_id % 5 > 0")), "doc_id").select("doc_id", "language")
+
+
 _W = D.collapse("text")
 _OWNT = f"contains(substr(w, 1, 180), '. ') AND {D.wc('head')} BETWEEN 3 AND 25"
 
