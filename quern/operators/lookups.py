@@ -69,14 +69,18 @@ def aligned_versions(en: DataFrame, sw: DataFrame, least: float = 0.85) -> DataF
     """JON-13: versions of one notice: the same address but for its language part, or the same date and a like title.
 
     Both frames have ``id, url, date, title``. Titles compare by Levenshtein
-    distance against the longer one, within equal dates only.
+    distance against the longer one, within equal dates only, different titles
+    once each, and without all pairs of a date (:func:`like_titles`).
     """
+    from quern.operators.title_join import like_titles
+
     bare = lambda c: F.regexp_replace(F.lower(c), r"/(en|sw)(/|$)", "/*$2")
     e = en.select(F.col("id").alias("en_id"), bare(F.col("url")).alias("u"), F.col("date").alias("en_date"), F.lower("title").alias("en_title"))
     s = sw.select(F.col("id").alias("sw_id"), bare(F.col("url")).alias("v"), F.col("date").alias("sw_date"), F.lower("title").alias("sw_title"))
     by_url = e.join(s, e["u"] == s["v"]).select("en_id", "sw_id", F.lit("url_match").alias("method"), F.lit(1.0).alias("score"))
-    like = F.lit(1.0) - F.levenshtein("en_title", "sw_title") / F.greatest(F.length("en_title"), F.length("sw_title"), F.lit(1))
-    by_title = e.join(s, e["en_date"] == s["sw_date"]).select("en_id", "sw_id", F.lit("date_title_fuzzy").alias("method"), like.alias("score")).where(F.col("score") >= least)
+    like = like_titles(e.select(F.col("en_date").alias("date"), F.col("en_title").alias("title")), s.select(F.col("sw_date").alias("date"), F.col("sw_title").alias("title")), least)
+    by_title = e.join(like, (F.col("en_date") == F.col("date")) & (F.col("en_title") == F.col("l_title"))).join(s, (F.col("sw_date") == F.col("date")) & (F.col("sw_title") == F.col("r_title")))
+    by_title = by_title.select("en_id", "sw_id", F.lit("date_title_fuzzy").alias("method"), "score")
     both = by_url.union(by_title)
     return both.groupBy("en_id", "sw_id").agg(F.max("method").alias("method"), F.max("score").alias("score"))
 
