@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.sound_vectors import scaled_down, sound_vectors
-from quern.plans.stage_table import stage_table
+from quern.plans.stage_table import drop_stage_table, stage_table
 
 SCALE = 64
 #: The contract's integers are those above plus this, which cancels out of all results.
@@ -113,6 +113,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     means = F.array(*[F.lit(s / n) for s in _sums(white, "w", "double")[1]])
     error = float(np.abs(_gramian(white, F.zip_with("w", means, lambda v, m: v - m)) / n - np.eye(len(order))).max())
     explained = variance[order] / np.trace(covariance)
+    drop_stage_table(fit)  # what is returned reads the vectors alone
 
     def of_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(order)
