@@ -1,13 +1,16 @@
 """Byte-pair encoding by a pair occurrence index.
 
 Method: the distinct words of a run of texts that aren't known yet are laid out
-as one linked list of symbols. An index maps each mergeable pair's rank to all
-of its positions. Active ranks are taken in ascending order: a rank's merges
-are applied at all its positions at once, and the lists of the pairs to the
-left and right are updated. Ranks with few positions are taken together, each
-word's lowest active one first, so that the work is done by numpy on long rows
-however the positions spread. Equal words are encoded once; texts are put
-together from their words' ids.
+as one linked list of symbols. An index maps mergeable pairs to all of their
+positions, by their ranks. Active ranks are taken in ascending order: a rank's
+merges are applied at all its positions at once, and the lists of the pairs to
+the left and right are updated. The index's keys are groups of successive ranks,
+at most ``GROUPS``: frequent ranks are a group of their own, rare ones share one,
+so that the work is done by numpy on long rows however the positions spread. The
+order is kept all the same: groups are taken in ascending order, within a group
+each word's lowest active rank goes first, and words don't touch each other; a
+merge that makes a pair of a lower group active returns to that group at once.
+Equal words are encoded once; texts are put together from their words' ids.
 
 The vocabulary file is a parameter. It is read once by the driver and
 broadcast as one compressed value of fixed size.
