@@ -51,7 +51,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and disclosing terms are replaced in the text."""
+    """Personal data and disclosing terms are replaced in the text.
+
+    A null text stays null and an empty one empty; repeated rows are treated alike
+    and stay, a null id stays null. Only the text and its count of characters
+    change, and only where something was found. A very long text is one row's work.
+    """
     names = _columns(docs)
     found = find_personal_data(docs.withColumn("had_text", F.col("text").isNotNull()), keep=(*[c for c in names if c != "text"], "had_text"))
     done = sanitise(found).withColumn("text", F.when(F.col("had_text"), F.col("text")))
