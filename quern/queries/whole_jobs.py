@@ -128,3 +128,45 @@ def merged_stats(spark, sf_dir):
     rows = read_table(spark, sf_dir, "events").select("event_id", merged.alias("m"))
     of = lambda p: F.get_json_object("m", p)
     return rows.select("event_id", of("$.page").alias("page"), of("$.k").alias("k"), of("$.stage.n[0]").alias("nested"), F.size(F.json_object_keys("m")).cast("long").alias("keys"))
+
+
+_KEPT_LINES = f"array_to_string(list_filter({X._LINES}, lambda x: x <> '' AND NOT regexp_matches(x, {D.q('(?i)' + L.BOILERPLATE)})), chr(10))"
+#: ``doc_id, url, h, errors``: documents as items of an ingest, up to its checks. NFKC, which SQL lacks, changes none of these.
+_ITEMS = f"""(SELECT doc_id, url, sha256({D.collapse('lower(b)')}) AS h, list_filter([CASE WHEN {D.wc('b')} < 10 THEN 'too_short' END, CASE WHEN {D.score('title', 'b', L.NOTICE_RULES)} < 0.28::DOUBLE THEN 'not_classified_as_psa' END,
+    CASE WHEN coalesce(url, '') = '' THEN 'missing_source_url' END], lambda x: x IS NOT NULL) AS errors FROM (
+  SELECT doc_id, title, url, CASE WHEN {D.wc('c')} >= 12 THEN c ELSE t0 END AS b FROM (SELECT *, CASE WHEN {D.wc('t0')} > 320 THEN {D.core('title', 't0', 340, L.FORCE)} END AS c FROM (
+    SELECT doc_id, {D.title_hint('text')} AS title, CASE WHEN doc_id % 7 > 0 THEN source || ':' || (doc_id // 3) END AS url, {D.collapse(_KEPT_LINES)} AS t0 FROM documents) WHERE t0 <> '')))"""
+
+
+def _items(docs: DataFrame) -> DataFrame:
+    address = F.when(F.col("doc_id") % 7 > 0, F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 3)))
+    rest = {"source_id": "s", "domain": "governance", "language_default": "en", "organization": "x", "adapter": "rss"}
+    rows = docs.select("doc_id", address.alias("source_url"), T.title_hint("text").alias("title"), F.lit(None).cast("string").alias("raw_html"), F.col("text").alias("raw_text"), F.lit(None).cast("timestamp").alias("published_at"), F.col("doc_id").alias("ord"))
+    return rows.select("*", F.lit(80).alias("trust_score"), *[F.lit(v).alias(k) for k, v in rest.items()])
+
+
+@query(
+    "ingested_documents",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS n, * FROM {_ITEMS}),
+      run(n, doc_id, valid, kept, hs, us) AS (SELECT 0::BIGINT, NULL::BIGINT, false, false, []::VARCHAR[], []::VARCHAR[] UNION ALL
+        SELECT n, doc_id, valid, k, CASE WHEN k THEN list_append(hs, h) ELSE hs END, CASE WHEN k AND url IS NOT NULL THEN list_append(us, url) ELSE us END
+        FROM (SELECT d.n, d.doc_id, d.h, d.url, len(errors) = 0 AS valid, hs, us, NOT (list_contains(hs, h) OR coalesce(list_contains(us, url), false)) AS k FROM run JOIN d ON d.n = run.n + 1))
+      SELECT doc_id, printf('psa_%d_%06d', 2026, row_number() OVER (ORDER BY doc_id) + 41) AS psa_id, CASE WHEN valid THEN 'active' ELSE 'quarantined' END AS status FROM run WHERE kept""",
+)
+def ingested_documents(spark, sf_dir):
+    """JOB-01/02, JON-02: documents through the whole ingest, with chains of hashes and addresses and items without an address; numbers go on."""
+    stored = spark.createDataFrame([("psa_2025_000041", "h", "u")], "psa_id string, content_hash string, source_url string")
+    return jobs.ingest(_items(documents(spark, sf_dir)), stored)["notices"].select("doc_id", "psa_id", "status")
+
+
+@query(
+    "diagnosed_items",
+    f"""WITH known AS (SELECT sha256({D.collapse('lower(text)')}) AS h, source || ':' || (doc_id // 3) AS u FROM documents WHERE doc_id % 10 = 3),
+      i AS (SELECT *, h IN (SELECT h FROM known) OR coalesce(url IN (SELECT u FROM known), false) AS there FROM {_ITEMS})
+      SELECT CASE WHEN there THEN 'duplicate' WHEN len(errors) > 0 THEN 'reject:' || array_to_string(errors, ',') ELSE 'WOULD_STORE' END AS outcome, count(*) AS n FROM i GROUP BY 1""",
+)
+def diagnosed_items(spark, sf_dir):
+    """CLS-13: what would become of each document as an item, where some hashes and addresses are stored."""
+    docs = documents(spark, sf_dir)
+    stored = docs.where("doc_id % 10 = 3").select(T.content_hash("text").alias("content_hash"), F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 3)).alias("source_url"))
+    return jobs.diagnose(_items(docs), stored).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
