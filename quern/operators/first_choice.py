@@ -67,4 +67,5 @@ def first_choice(rows: DataFrame, order: str, *keys: str, tail: int = TAIL, roun
     kind = live.select("o_").schema
     kept.append(live.repartition(1).sortWithinPartitions("o_").mapInArrow(settle, kind))
     chosen = reduce(DataFrame.union, kept).withColumnRenamed("o_", "kept_")
-    return rows.dropDuplicates([order]).join(chosen, F.col(order) == F.col("kept_"), "left_semi")
+    # The join has put equal orders together, so that repeats of a kept row go without another exchange.
+    return rows.join(chosen, F.col(order) == F.col("kept_"), "left_semi").dropDuplicates([order])
