@@ -7,6 +7,8 @@ the empty text unless they say otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from quern.functions import lexicons as L
 WS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The same characters themselves.
 _WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Runs that aren't a single plain space: what collapsing has to touch.
-_TO_COLLAPSE = f"[{WS}]{{2,}}|[{WS.replace(' ', '')}]"
+#: Those beyond ASCII, after a range that rules out most characters at one look.
+_FAR_WHITE = r"[\x85-\u3000&&[\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]"
+#: Characters of a text's start among which its title is looked for first.
+_HEAD = 1000
 
 
 def _col(c) -> Column:
@@ -51,23 +55,39 @@ def strip_chars(c, chars: str) -> Column:
     return F.trim(text_or_empty(c), F.lit(chars))
 
 
+def _spaced(t: Column) -> Column:
+    """A space for each white-space character.
+
+    A replacement of one character by another passes over a text several times as
+    fast as a pattern of many or a translation, which is left to texts with white space beyond ASCII.
+    """
+    plain = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit(" ")), "\t\n\x0b\f\r", t)
+    return F.when((F.octet_length(t) > F.length(t)) & t.rlike(_FAR_WHITE), F.translate(t, _WHITE, " " * len(_WHITE))).otherwise(plain)
+
+
 def collapse(c) -> Column:
     """TXT-01: runs of white space become one space; stripped."""
-    return F.trim(F.regexp_replace(text_or_empty(c), _TO_COLLAPSE, " "))
+    single = lambda s: F.when(s.contains("  "), F.regexp_replace(s, " {2,}", " ")).otherwise(s)
+    return F.trim(let(let(text_or_empty(c), _spaced), single))
 
 
 def words(c) -> Column:
     """Words of white space, as an array.
 
-    White space of all kinds becomes spaces first: a text is cut at one character
-    several times as fast as by a pattern of many.
+    White space of all kinds becomes single spaces first: a text is cut at one
+    character several times as fast as by a pattern of many.
     """
-    return F.array_remove(F.split(F.translate(text_or_empty(c), _WHITE, " " * len(_WHITE)), " "), "")
+    return let(collapse(c), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def word_count(c) -> Column:
     """TXT-05: number of words of white space."""
-    return F.size(words(c))
+    return let(collapse(c), collapsed_count)
+
+
+def collapsed_count(t: Column) -> Column:
+    """Number of words of a text that is collapsed already."""
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
 def long_in_either(en, sw, least: int = 8) -> Column:
@@ -107,8 +127,17 @@ def tokens(c) -> Column:
 
 
 def token_count(c) -> Column:
-    """TXT-10: how many tokens there are, without making a list of them."""
-    return F.regexp_count(text_or_empty(c), F.lit(L.TOKEN.replace("\\s", WS)))
+    """TXT-10: how many tokens there are, without making a list of them.
+
+    These are the word tokens and every mark but the inner ones; each inner mark
+    joins two runs of letters and digits to one word token.
+    """
+
+    def count(t: Column) -> Column:
+        marks = F.length(F.regexp_replace(t, f"[A-Za-z0-9{WS}]+", ""))
+        return let(word_token_count(t), lambda n: marks + n + n - F.regexp_count(t, F.lit("[A-Za-z0-9]+")))
+
+    return let(text_or_empty(c), count)
 
 
 def word_token_count(c) -> Column:
@@ -225,7 +254,12 @@ def primary_text(en, sw) -> Column:
 
 def title_hint(c) -> Column:
     """TXT-24: up to the first ``. `` if it comes within 160 characters, else 100 characters."""
-    return let(collapse(c), _hint)
+
+    def hint(t: Column) -> Column:
+        """By the start alone where that is long enough when collapsed."""
+        return let(collapse(F.substring(t, 1, _HEAD)), lambda head: F.when((F.length(head) > 160) | (F.length(t) <= _HEAD), _hint(head)).otherwise(_hint(collapse(t))))
+
+    return let(text_or_empty(c), hint)
 
 
 def _hint(t: Column) -> Column:
@@ -255,9 +289,9 @@ def first_sentences(c, most: int = 600) -> Column:
     grow = lambda a, p: F.when((a["n"] >= 2) | (F.length(a["text"]) >= 120), a).otherwise(F.struct(F.when(a["n"] == 0, p).otherwise(F.concat(a["text"], F.lit(" "), p)).alias("text"), (a["n"] + 1).alias("n")))
 
     def cut(t: Column) -> Column:
-        parts = F.filter(F.split(t, r"(?<=[.!?]) +"), lambda p: word_count(p) >= 5)
+        parts = F.filter(F.split(t, r"(?<=[.!?]) +"), lambda p: collapsed_count(p) >= 5)
         long = let(F.aggregate(parts, start, grow)["text"], lambda x: F.when(x != "", x).otherwise(t))
-        return strip(F.substring(F.when(word_count(t) <= 200, t).otherwise(long), 1, most))
+        return strip(F.substring(F.when(collapsed_count(t) <= 200, t).otherwise(long), 1, most))
 
     return let(collapse(c), cut)
 
