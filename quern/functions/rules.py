@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import lexicons as L
-from quern.functions.text import _col, collapse, let, navigation_crumb, strip, strip_chars, text_or_empty, title_and_body, word_count
+from quern.functions.text import _col, collapse, collapsed_count, let, navigation_crumb, strip, strip_chars, text_or_empty, title_and_body, word_count
 
 THRESHOLD = 0.28
 
@@ -49,6 +49,9 @@ def _may_match(lowered: Column, pattern: str) -> Column:
 #: What stands between two words as the boundaries of patterns see them: neither letter, digit, underscore nor a mark on one of these.
 _BETWEEN_WORDS = r"(?:[^\p{javaLetterOrDigit}_\p{Mn}]|(?<![\p{javaLetterOrDigit}_\p{Mn}])\p{Mn})+"
 
+#: The ASCII characters between words of a lower-cased text, one by one: a class that is a table, without ranges to try in turn.
+_ASCII_GAP = "[" + "".join(f"\\x{i:02X}" for i in range(128) if not re.match("[A-Za-z0-9_]", chr(i))) + "]+"
+
 
 def _alternatives(inner: str) -> list[str]:
     """The alternatives of a pattern, split where no bracket is open."""
@@ -83,17 +86,94 @@ def _word_index(pattern: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(words), rf"\b({'|'.join(rest)})\b" if rest else None
 
 
+def _whole_words(alternative: str) -> tuple[str, ...]:
+    """Words one of which stands by itself in every match of an alternative between word boundaries; none if that can't be told.
+
+    They come from the letters that the alternative begins with, where one more may be there or not.
+    """
+    texts, ended = [""], True
+    for op, value in re._parser.parse(alternative):
+        if op is re._parser.LITERAL:
+            texts = [t + chr(value).lower() for t in texts]
+        elif op is re._parser.MAX_REPEAT and value[:2] == (0, 1) and len(value[2]) == 1 and value[2][0][0] is re._parser.LITERAL:
+            texts = [t + x for t in texts for x in ("", chr(value[2][0][1]).lower())]
+        else:
+            ended = False
+            break
+    found = [max(re.findall("[a-z0-9_]+" if ended else "[a-z0-9_]+(?![a-z0-9_]|$)", t), key=len, default="") for t in texts]
+    return tuple(dict.fromkeys(found)) if all(found) and "".join(texts).isascii() else ()
+
+
+def _beginnings(items, most: int = 12) -> tuple[list[str], bool]:
+    """Lower-case texts with one of which every match of a parsed pattern begins, and whether they are all of it."""
+    texts = [""]
+    for op, value in items:
+        more, whole = None, True
+        if op is re._parser.LITERAL:
+            more = [chr(value).lower()]
+        elif op is re._parser.SUBPATTERN:
+            more, whole = _beginnings(value[3], most)
+        elif op is re._parser.BRANCH:
+            parts = [_beginnings(b, most) for b in value[1]]
+            more, whole = [x for p, _ in parts for x in p], all(w for _, w in parts)
+        elif op is re._parser.MAX_REPEAT and value[:2] == (0, 1):
+            more, whole = _beginnings(value[2], most)
+            more = ["", *more] if whole else None
+        if more is None or len(texts) * len(more) > most:
+            return texts, False
+        texts = [t + x for t in texts for x in more]
+        if not whole:
+            return texts, False
+    return texts, True
+
+
+def _near(alternative: str) -> tuple[str, ...]:
+    """Texts one of which every match of an alternative holds: its beginnings, unless other letters of it tell more."""
+    parsed = re._parser.parse(alternative)
+    begin, other = _beginnings(parsed)[0], _literals(parsed) or []
+    return tuple(dict.fromkeys(begin if min(map(len, begin)) >= min(map(len, other), default=0) else other))
+
+
+@lru_cache(maxsize=256)
+def _rest_index(rest: str) -> tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]:
+    """Of each alternative that isn't a word: words of :func:`_whole_words` and texts of :func:`_near`."""
+    inner = rest[3:-3] if rest.startswith(r"\b(") and rest.endswith(r")\b") and not rest.startswith(r"\b(?") else None
+    if inner is None:
+        return (((), tuple(dict.fromkeys(_literals(re._parser.parse(rest)) or ()))),)
+    return tuple((_whole_words(x), _near(x)) for x in _alternatives(inner))
+
+
+def _rest_may_match(lowered: Column, rest: str, words: Column | None) -> Column:
+    """As :func:`_may_match`, but letters are looked for only where ``words`` have what stands by itself in a match."""
+    if words is None:
+        return _may_match(lowered, rest)
+    found = []
+    for whole, texts in _rest_index(rest):
+        near = reduce(lambda a, b: a | b, [lowered.contains(x) for x in texts]) if texts else F.lit(True)
+        found.append(reduce(lambda a, b: a | b, [F.array_contains(words, w) for w in whole]) & near if whole else near)
+    return reduce(lambda a, b: a | b, found)
+
+
 def _words_of(lowered: Column, *patterns: str) -> Column:
-    """The text's words that are alternatives of the patterns, in order: one pass for all of them."""
-    known = list(dict.fromkeys(w for p in patterns for w in _word_index(p)[0]))
-    return F.filter(F.split(lowered, _BETWEEN_WORDS), lambda w: w.isin(*known)) if known else F.array().cast("array<string>")
+    """The text's words that are alternatives of the patterns, or stand by themselves in other alternatives: one pass for all of them."""
+    known = []
+    for own, rest in map(_word_index, patterns):
+        known += [*own, *[w for whole, _ in (_rest_index(rest) if rest else ()) for w in whole]]
+    known = list(dict.fromkeys(known))
+    if not known:
+        return F.array().cast("array<string>")
+    # Cut at ASCII characters; only pieces with others are cut again as these ask for, all at once, and known words have none.
+    is_known = lambda w: w.isin(*known)
+    pieces = F.filter(F.split(lowered, _ASCII_GAP), lambda w: is_known(w) | (F.octet_length(w) > F.length(w)))
+    far = lambda x: F.filter(F.split(F.array_join(F.filter(x, lambda w: ~is_known(w)), " "), _BETWEEN_WORDS), is_known)
+    return let(pieces, lambda x: F.when(F.forall(x, is_known), x).otherwise(F.concat(F.filter(x, is_known), far(x))))
 
 
 def _low_has(lowered: Column, pattern: str, words: Column | None = None) -> Column:
     """Whether a pattern matches a lower-cased text: by ``words`` of :func:`_words_of`, else by its other alternatives where these may match."""
     own, rest = _word_index(pattern) if words is not None else ((), pattern)
     found = [F.arrays_overlap(words, F.array(*map(F.lit, own)))] if own else []
-    found += [_may_match(lowered, rest) & lowered.rlike(rest)] if rest else []
+    found += [_rest_may_match(lowered, rest, words) & lowered.rlike(rest)] if rest else []
     return reduce(lambda a, b: a | b, found)
 
 
@@ -103,7 +183,7 @@ def _has(c: Column, pattern: str, lowered: Column | None = None, words: Column |
         return c.rlike("(?i)" + pattern)
     own, rest = _word_index(pattern) if words is not None else ((), pattern)
     found = [F.arrays_overlap(words, F.array(*map(F.lit, own)))] if own else []
-    found += [_may_match(lowered, rest) & c.rlike("(?i)" + rest)] if rest else []
+    found += [_rest_may_match(lowered, rest, words) & c.rlike("(?i)" + rest)] if rest else []
     return reduce(lambda a, b: a | b, found)
 
 
@@ -111,7 +191,7 @@ def _number(c: Column, pattern: str, lowered: Column, words: Column) -> Column:
     """How often a pattern matches: its words, unless another of its alternatives matches too."""
     own, rest = _word_index(pattern)
     of_words = F.size(F.filter(words, lambda w: w.isin(*own))) if own else F.lit(0)
-    return F.when(_may_match(lowered, rest) & lowered.rlike(rest), F.regexp_count(c, F.lit("(?i)" + pattern))).otherwise(of_words) if rest else of_words
+    return F.when(_rest_may_match(lowered, rest, words) & lowered.rlike(rest), F.regexp_count(c, F.lit("(?i)" + pattern))).otherwise(of_words) if rest else of_words
 
 
 def _points(condition: Column, value: float) -> Column:
@@ -142,7 +222,7 @@ def _score(title: Column, both: Column, n: Column, words: Column, rules: SimpleN
 
 def framework_label(text, title, rules: SimpleNamespace = L.NOTICE_RULES) -> Column:
     """CLS-02: struct (label, confidence, reason, action_hits, press_hits, other_hits, token_count, is_strict)."""
-    both = let(collapse(text), lambda body: F.struct(strip_chars(F.concat(collapse(title), F.lit(". "), body), ". ").alias("both"), word_count(body).alias("n")))
+    both = let(collapse(text), lambda body: F.struct(strip_chars(F.concat(collapse(title), F.lit(". "), body), ". ").alias("both"), collapsed_count(body).alias("n")))
     low = let(both, lambda b: F.struct(b["both"].alias("both"), b["n"].alias("n"), F.lower(b["both"]).alias("low")))
     kinds = {"a": rules.action, "p": rules.press, "o": rules.other}
     counts = lambda b, w: F.struct(b["both"].alias("both"), b["n"].alias("n"), b["low"].alias("low"), *[_number(b["both"], x, b["low"], w).alias(k) for k, x in kinds.items()])
@@ -197,7 +277,7 @@ def gate_reason(text, source="", lang="en", contributor="", origin_file="", rule
     facts = let(
         collapse(text),
         lambda w: F.struct(
-            w.alias("w"), F.lower(w).alias("low"), word_count(w).alias("n"), F.lower(F.coalesce(lit(source), F.lit(""))).alias("source"),
+            w.alias("w"), F.lower(w).alias("low"), collapsed_count(w).alias("n"), F.lower(F.coalesce(lit(source), F.lit(""))).alias("source"),
             F.coalesce(lit(lang), F.lit("unknown")).alias("lang"), raw.alias("raw"),
         ),
     )
