@@ -1,7 +1,7 @@
 """Dictionary matches: domains, urgency, audience, keywords, glossary.
 
-Lexicons are literals of the plan; a text is matched in place, so none of these
-needs a join or a broadcast.
+Lexicons are literals of the plan, or of a small UDF where all of a text's keywords
+are asked for; a text is matched in place, so none of these needs a join or a broadcast.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import lexicons as L
+from quern.functions.python_hooks import held
 from quern.functions.text import _col, let, text_or_empty
 
 #: Regex metacharacters get a backslash, nothing else does.
@@ -27,8 +28,23 @@ def _any(lowered: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [lowered.contains(k) for k in keywords])
 
 
-def _hits(lowered: Column, keywords: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [lowered.contains(k).cast("int") for k in keywords])
+def _hits(found: Column, keywords: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.array_contains(found, k).cast("int") for k in keywords])
+
+
+def _held(text, groups) -> Column:
+    """The keywords of all groups that a text holds, lower-cased."""
+    return held(F.lower(text_or_empty(text)), list(dict.fromkeys(k for g in groups for k in g)))
+
+
+def _one_of(found: Column, keywords: list[str]) -> Column:
+    return F.arrays_overlap(found, F.array(*map(F.lit, keywords)))
+
+
+def _first_group(text, groups, otherwise: str) -> Column:
+    """The name of the first group that a text has a keyword of."""
+    first = lambda f: reduce(lambda c, g: c.when(_one_of(f, g[1]), g[0]), groups[1:], F.when(_one_of(f, groups[0][1]), groups[0][0])).otherwise(otherwise)
+    return let(_held(text, [g[1] for g in groups]), first)
 
 
 def infer_domain(text, default="governance", domains=L.DOMAINS) -> Column:
@@ -38,8 +54,8 @@ def infer_domain(text, default="governance", domains=L.DOMAINS) -> Column:
     """
     default = default if isinstance(default, Column) else F.lit(default)
 
-    def scores(lowered: Column) -> Column:
-        return F.array(*[F.struct(_hits(lowered, kws).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("domain"), F.lit(s).alias("sub")) for i, (d, s, kws) in enumerate(domains)])
+    def scores(found: Column) -> Column:
+        return F.array(*[F.struct(_hits(found, kws).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("domain"), F.lit(s).alias("sub")) for i, (d, s, kws) in enumerate(domains)])
 
     def choice(x: Column) -> Column:
         best, own = x["best"], x["own"]
@@ -50,25 +66,24 @@ def infer_domain(text, default="governance", domains=L.DOMAINS) -> Column:
     def bests(scored: Column) -> Column:
         return F.struct(F.array_max(scored).alias("best"), F.array_max(F.filter(scored, lambda x: x["domain"] == default)).alias("own"))
 
-    return let(let(let(F.lower(text_or_empty(text)), scores), bests), choice)
+    return let(let(let(_held(text, [kws for _, _, kws in domains]), scores), bests), choice)
 
 
 def infer_urgency(text, levels=L.URGENCY) -> Column:
     """LEX-02: the first level with a keyword, else medium."""
-    first = lambda low: reduce(lambda c, lv: c.when(_any(low, lv[1]), lv[0]), levels[1:], F.when(_any(low, levels[0][1]), levels[0][0])).otherwise("medium")
-    return let(F.lower(text_or_empty(text)), first)
+    return _first_group(text, levels, "medium")
 
 
 def infer_audience(text, groups=L.AUDIENCES) -> Column:
     """LEX-03: every group with a keyword, else everyone."""
-    found = let(F.lower(text_or_empty(text)), lambda low: F.array_compact(F.array(*[F.when(_any(low, kws), name) for name, kws in groups])))
+    found = let(_held(text, [kws for _, kws in groups]), lambda f: F.array_compact(F.array(*[F.when(_one_of(f, kws), name) for name, kws in groups])))
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("everyone"))))
 
 
 def extract_keywords(text, limit: int = 5, domains=L.DOMAINS) -> Column:
     """LEX-04: the first distinct keywords in the order of the lexicon."""
     known = list(dict.fromkeys(k for _, _, kws in domains for k in kws))
-    return let(F.lower(text_or_empty(text)), lambda low: F.slice(F.array_compact(F.array(*[F.when(low.contains(k), k) for k in known])), 1, limit))
+    return held(F.lower(text_or_empty(text)), known, limit)
 
 
 def _forms(keep: str, others: list[str]) -> list[str]:
@@ -118,8 +133,7 @@ def glossary_preservation(source, target, glossary=L.GLOSSARY) -> Column:
 
 def bilingual_domain(text, domains=L.BILINGUAL_DOMAINS) -> Column:
     """LEX-08: the first domain with a keyword, else Governance."""
-    first = lambda low: reduce(lambda c, d: c.when(_any(low, d[1]), d[0]), domains[1:], F.when(_any(low, domains[0][1]), domains[0][0])).otherwise("Governance")
-    return let(F.lower(text_or_empty(text)), first)
+    return _first_group(text, domains, "Governance")
 
 
 def model_code(language) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from quern.functions.text import text_or_empty
 
@@ -29,6 +30,19 @@ def with_nfkc(df: DataFrame, column: str) -> DataFrame:
     return df.where(~other).withColumn(column, text_or_empty(column)).unionByName(df.where(other).withColumn(column, nfkc(column)))
 
 
+def held(c, keywords: list[str], most: int | None = None) -> Column:
+    """Those of the keywords that a text holds anywhere, in their order, the first ``most`` of them.
+
+    Python looks for a hundred short texts in a long one in a quarter of the time that as many expressions take.
+    """
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(islice((k for k in keywords if k in t), most)))
+
+    return found(text_or_empty(c))
+
+
 def translate(df: DataFrame, source: str, language: str, out: str, load: Callable[[], Callable[[list[str], str], list[str]]], languages: tuple[str, ...] = ("sw", "kik")) -> DataFrame:
     """UDF-04/05/06: ``out`` by a model that ``load`` returns, once for each task.
 
