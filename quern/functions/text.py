@@ -55,14 +55,26 @@ def strip_chars(c, chars: str) -> Column:
     return F.trim(text_or_empty(c), F.lit(chars))
 
 
+def _holds(t: Column, characters: str) -> Column:
+    return reduce(lambda a, b: a | b, [t.contains(w) for w in characters])
+
+
+def _may_be_far(t: Column) -> Column:
+    """Whether a text can hold white space beyond ASCII: by its characters, those from U+2000 on by the two bytes they begin with."""
+    return _holds(t, "\x85\xa0\u1680\u205f\u3000") | F.contains(t.cast("binary"), F.unhex(F.lit("E280")))
+
+
 def _spaced(t: Column) -> Column:
     """A space for each white-space character.
 
     A replacement of one character by another passes over a text several times as
     fast as a pattern of many or a translation, which is left to texts with white space beyond ASCII.
     """
+    lines = F.when(t.contains("\n"), F.replace(t, F.lit("\n"), F.lit(" "))).otherwise(t)
     plain = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit(" ")), "\t\n\x0b\f\r", t)
-    return F.when((F.octet_length(t) > F.length(t)) & t.rlike(_FAR_WHITE), F.translate(t, _WHITE, " " * len(_WHITE))).otherwise(plain)
+    rare = _holds(t, "\t\x0b\f\r")
+    far = (F.octet_length(t) > F.length(t)) & _may_be_far(t) & t.rlike(_FAR_WHITE)
+    return F.when(far, F.translate(t, _WHITE, " " * len(_WHITE))).when(rare, plain).otherwise(lines)
 
 
 def collapse(c) -> Column:
@@ -87,7 +99,7 @@ def word_count(c) -> Column:
 
 def collapsed_count(t: Column) -> Column:
     """Number of words of a text that is collapsed already."""
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+    return F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
 
 
 def long_in_either(en, sw, least: int = 8) -> Column:
@@ -158,8 +170,15 @@ def sentence_marks(c) -> Column:
 
 def sentence_parts(c) -> Column:
     """TXT-13: parts after ``.!?`` and white space that have three words, at least 1."""
-    parts = F.split(strip(c), rf"(?<=[.!?])[{WS}]+")
-    return F.greatest(F.lit(1), F.size(F.filter(parts, lambda p: word_count(p) >= 3)))
+    return collapsed_parts(collapse(c))
+
+
+def collapsed_parts(t: Column) -> Column:
+    """The same of a text that is collapsed already, without a list of the parts.
+
+    A part has three words if none of the first two that it begins with ends it.
+    """
+    return F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"(?<=^|[.!?] )[^ ]*[^ .!?] [^ ]*[^ .!?] [^ ]")))
 
 
 def simple_sentences(c, least: int = 5) -> Column:
@@ -232,8 +251,10 @@ def _hits(own: Column, known: list[str]) -> Column:
 
 def clean_text(c) -> Column:
     """TXT-20: blanks and tabs collapse, at most one empty line; newlines stay."""
-    c = F.regexp_replace(F.regexp_replace(text_or_empty(c), "\r", "\n"), r"[ \t]+", " ")
-    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    # Each pattern is tried only where a text has what it would change.
+    blanks = lambda t: F.when(t.contains("\t") | t.contains("  "), F.regexp_replace(t, r"[ \t]+", " ")).otherwise(t)
+    lines = lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    return strip(let(let(F.replace(text_or_empty(c), F.lit("\r"), F.lit("\n")), blanks), lines))
 
 
 def dedup_key(c) -> Column:
@@ -246,6 +267,11 @@ def content_hash(c) -> Column:
     return F.sha2(dedup_key(c).cast("binary"), 256)
 
 
+def collapsed_hash(t: Column) -> Column:
+    """TXT-21 of a text that is collapsed already; lower-casing makes no white space and takes none away."""
+    return F.sha2(F.lower(t).cast("binary"), 256)
+
+
 def primary_text(en, sw) -> Column:
     """TXT-23: the version with more words, the first on a tie."""
     both = F.struct(text_or_empty(en).alias("en"), text_or_empty(sw).alias("sw"))

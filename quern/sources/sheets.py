@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from quern import schemas as S
 from quern.functions.jsonmeta import literal_keys, parse, prefixed
 from quern.functions.lexicons import EXTERNAL_FILES
-from quern.functions.text import blank_to_null, clean_text, content_hash, guess_language, join_title, long_in_either, normalize_domain, primary_text, sentence_parts, strip, text_or_empty, word_count
+from quern.functions.text import blank_to_null, clean_text, collapse, collapsed_count, collapsed_hash, collapsed_parts, guess_language, join_title, let, normalize_domain, strip, text_or_empty, word_count
 from quern.sources.file_order import in_file_order, small
 
 TARGETS = '["Kikuyu"]'
@@ -54,11 +54,14 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType, multi_line:
     return _records(spark, path, schema.names, multi_line).drop("file_")
 
 
-def write_sheet(df: DataFrame, path: str, schema: T.StructType, mode: str = "overwrite") -> None:
-    """SNK-01: a CSV sheet of the schema's columns in order; missing ones and nulls are empty, booleans lower case."""
+def write_sheet(df: DataFrame, path: str, schema: T.StructType, mode: str = "overwrite", most: int = 0) -> None:
+    """SNK-01: a CSV sheet of the schema's columns in order; missing ones and nulls are empty, booleans lower case.
+
+    ``most`` rows go to a file, where it isn't 0; a partition's files follow each other by name.
+    """
     there = set(df.columns)
     out = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string") if c in there else F.lit(None), F.lit("")).alias(c) for c in schema.names])
-    out.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    out.write.mode(mode).option("maxRecordsPerFile", most).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -223,18 +226,29 @@ def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
 # --- Contributors' sheets in the canonical columns (SRC-12) ---------------------------------------
 
 
+def _long_versions(english, kiswahili, least: int = 8) -> Column:
+    """Both versions and what is said of the longer one, the first on a tie, in an array; an empty one unless either has ``least`` words.
+
+    All of it is one value, made once and exploded, since a filter of rows would have their texts cleaned and counted again.
+    """
+    sized = lambda t: F.struct(t["text"].alias("text"), t["flat"].alias("flat"), collapsed_count(t["flat"]).alias("n"))
+    version = lambda c: let(let(clean_text(c), lambda t: F.struct(t.alias("text"), collapse(t).alias("flat"))), sized)
+    said = lambda b, m: F.struct(b["en"].alias("en"), b["sw"].alias("sw"), guess_language(m["text"]).alias("lang"), m["n"].alias("n"), collapsed_parts(m["flat"]).alias("parts"), collapsed_hash(m["flat"]).alias("hash"))
+    long = F.filter(F.array(F.struct(version(english).alias("en"), version(kiswahili).alias("sw"))), lambda b: (b["en"]["n"] >= least) | (b["sw"]["n"] >= least))
+    return F.transform(long, lambda b: let(F.when(b["en"]["n"] >= b["sw"]["n"], b["en"]).otherwise(b["sw"]), lambda m: said(b, m)))
+
+
 def canonical(df: DataFrame, psa_id, domain, english, kiswahili, source, date, fixed: dict[str, Column], extra: Column | None = None, targets: Column | None = None) -> DataFrame:
     """Rows with eight words in either language; metadata gets language, counts and hash where it has none."""
     rows = df.select(
-        "ord", psa_id.alias("PSA_ID"), normalize_domain(domain).alias("Domain"), clean_text(english).alias("English"), clean_text(kiswahili).alias("Kiswahili"),
+        "ord", psa_id.alias("PSA_ID"), normalize_domain(domain).alias("Domain"), F.explode(_long_versions(english, kiswahili)).alias("v_"),
         (targets if targets is not None else F.lit(TARGETS)).alias("Target Languages"), text_or_empty(source).alias("Source"), text_or_empty(date).alias("Date"),
         *[v.alias(f"m_{k}") for k, v in fixed.items()], (extra if extra is not None else F.create_map().cast("map<string,string>")).alias("m_extra_"),
-    ).where(long_in_either("English", "Kiswahili"))
-    main = F.col("main_")
-    rows = rows.withColumn("main_", primary_text("English", "Kiswahili"))
+    )
+    rows = rows.select("*", F.col("v_.en.text").alias("English"), F.col("v_.sw.text").alias("Kiswahili"))
     own = F.struct(
-        *[F.col(f"m_{k}").alias(k) for k in fixed], F.coalesce(guess_language(main), F.lit("unknown")).alias("lang_detected"), word_count(main).alias("token_count"),
-        sentence_parts(main).alias("sentence_count"), content_hash(main).alias("content_hash"),
+        *[F.col(f"m_{k}").alias(k) for k in fixed], F.coalesce(F.col("v_.lang"), F.lit("unknown")).alias("lang_detected"), F.col("v_.n").alias("token_count"),
+        F.col("v_.parts").alias("sentence_count"), F.col("v_.hash").alias("content_hash"),
     )
     whole = F.to_json(own, {"ignoreNullFields": "false"})
     more = F.to_json("m_extra_")
