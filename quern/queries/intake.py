@@ -45,16 +45,27 @@ def ingest_choice(spark, sf_dir):
     return first_choice(rows, "doc_id", "h", "u", tail=64).select("doc_id")
 
 
-def _uneven(df: DataFrame, order: str) -> DataFrame:
-    """Written, this makes files of very different sizes that follow the order of their names."""
-    return df.repartitionByRange(6, F.floor(F.log2(F.col(order) + 2))).sortWithinPartitions(order)
+#: Rows of a part or file that one task writes or reads, on average.
+PART_ROWS = 8192
+
+
+def _uneven(df: DataFrame, order: str, least: int = 6) -> tuple[DataFrame, int]:
+    """Written with so many rows to a file, this makes files of different sizes that follow the order of their names.
+
+    The parts grow in number with the rows, so that none is a large share of
+    them; a part fills one file and begins another with what is left.
+    """
+    rows = df.count()
+    parts = max(least, -(-rows // PART_ROWS))
+    return df.repartitionByRange(parts, order).sortWithinPartitions(order), max(1, 3 * rows // (4 * parts))
 
 
 @query("sheet_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
 def sheet_order(spark, sf_dir):
     """SRC-11: a sheet in files of different sizes comes back in the order of names and lines."""
     path = folder(spark, "uneven")
-    sheets.write_sheet(_uneven(sheet_rows(spark, sf_dir).withColumn("at", F.col("PSA_ID").cast("long")), "at"), path, S.CORPUS)
+    rows, most = _uneven(sheet_rows(spark, sf_dir).withColumn("at", F.col("PSA_ID").cast("long")), "at")
+    sheets.write_sheet(rows, path, S.CORPUS, most=most)
     back = sheets.read_sheet(spark, path, S.CORPUS)
     return back.select(F.col("PSA_ID").cast("long").alias("doc_id"), "ord", F.sha2(F.coalesce("English", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
@@ -79,8 +90,9 @@ def bitext_files(spark, sf_dir):
     """SRC-15: two folders of text files of other sizes each, side by side line by line."""
     docs = documents(spark, sf_dir).select("doc_id", T.collapse("text").alias("en"), F.upper("lang").alias("sw"))
     left, right = folder(spark, "en"), folder(spark, "sw")
-    _uneven(docs, "doc_id").select("en").write.text(left)
-    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("sw").write.text(right)
+    for side, path, least in (("en", left, 6), ("sw", right, 3)):
+        rows, most = _uneven(docs.select("doc_id", side), "doc_id", least)
+        rows.select(side).write.option("maxRecordsPerFile", most).text(path)
     back = sheets.read_bitext(spark, left, right)
     return back.select("line", F.md5(F.col("en").cast("binary")).alias("en_md5"), F.md5(F.col("sw").cast("binary")).alias("sw_md5"))
 
@@ -90,18 +102,20 @@ _PLAIN = f"trim({D.collapse('regexp_replace(text, ' + D.q('[^!-%(-;=?-~]+') + ',
 
 @query("feed_items", f"SELECT doc_id, title, md5({_PLAIN}) AS text_md5, TIMESTAMP '2026-01-01 07:30:00' + INTERVAL 1 DAY * (doc_id % 28) AS published_at FROM (SELECT *, 'Item ' || doc_id AS title FROM documents) WHERE {D.wc(_PLAIN)} >= 10")
 def feed_items(spark, sf_dir):
-    """SRC-06: a feed of all documents in five files, with dates in forms that feeds use."""
+    """SRC-06: a feed of all documents in five files, more for many documents, with dates in forms that feeds use."""
     plain = T.collapse(F.regexp_replace("text", "[^!-%(-;=?-~]+", " "))
     day, zone = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.element_at(F.array(*map(F.lit, ("07:30:00 GMT", "10:30 +0300", "02:30:00 EST"))), (F.col("doc_id") % 3 + 1).cast("int"))
     when = F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("2026-01-"), day, F.lit("T07:30:00Z"))).otherwise(F.concat(F.lit("Wed, "), day, F.lit(" January 2026 "), zone))
     item = F.concat(F.lit("<item><title>Item "), F.col("doc_id"), F.lit("</title><link>https://x/"), F.col("doc_id"), F.lit("</link><description>"), plain, F.lit("</description><pubDate>"), when, F.lit("</pubDate></item>"))
     path = folder(spark, "feed")
     docs = documents(spark, sf_dir)
-    part = F.pmod(F.col("doc_id"), F.lit(5))
+    n = docs.count()
+    parts = max(5, -(-n // PART_ROWS))
+    part = F.pmod(F.col("doc_id"), F.lit(parts))
     ends = docs.select(part.alias("part")).distinct().select("part", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("<rss><channel>").alias("value")), F.struct(F.lit(2).alias("at"), F.lit("</channel></rss>").alias("value")))).alias("e"))
     lines = docs.select(part.alias("part"), F.lit(1).alias("at"), item.alias("value")).unionByName(ends.select("part", "e.at", "e.value"))
-    lines.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
-    back = sheets.read_feed(spark, f"{path}/part=*", "s", most=docs.count())
+    lines.repartition(parts, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    back = sheets.read_feed(spark, f"{path}/part=*", "s", most=n)
     return back.select(F.regexp_extract("source_url", r"(\d+)$", 1).cast("long").alias("doc_id"), "title", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"), "published_at")
 
 

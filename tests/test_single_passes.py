@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.plans import jobs
+from quern.queries import intake as I
 from quern.sources import sheets
 from tests.test_shared_steps import _texts
 
@@ -59,3 +62,19 @@ def test_texts_cleaned_and_cut_as_patterns_do(spark):
         clean = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t.replace("\r", "\n"))).strip(T._WHITE)
         parts = [p for p in re.split(f"(?<=[.!?])[{white}]+", t.strip(T._WHITE)) if len([w for w in re.split(f"[{white}]+", p) if w]) >= 3]
         assert (r["c"], r["p"], r["h"]) == (clean, max(1, len(parts)), r["own"]), repr(t)
+
+
+def test_parts_and_files_stay_small(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "PART_ROWS", 20)
+    monkeypatch.setattr(I, "folder", lambda _, name: str(tmp_path / name))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(I.sheet_order(spark, sf).collect()) == len(docs)
+    lines = {r.line: r.en_md5 for r in I.bitext_files(spark, sf).collect()}
+    flat = [" ".join(x for x in re.split(f"[{re.escape(T._WHITE)}]+", docs[i] or "") if x) for i in sorted(docs)]
+    assert lines == {n: hashlib.md5(t.encode()).hexdigest() for n, t in enumerate(flat, 1) if t}
+    I.feed_items(spark, sf).collect()
+    for name, count in (("en", lambda s: s.count("\n")), ("sw", lambda s: s.count("\n")), ("feed", lambda s: s.count("<item>"))):
+        files = [p for p in Path(tmp_path, name).rglob("part-*") if p.suffix == ".txt"]
+        sizes = [count(p.read_text()) for p in files]
+        assert sum(sizes) == len(docs) and max(sizes) <= 60, (name, sizes)  # before: half, a third and a fifth of all rows
+    assert len(list(Path(tmp_path, "uneven").glob("part-*.csv"))) >= len(docs) // 20
