@@ -34,12 +34,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.text_bytes import frugal
+
 #: Tokens between white space of one generation of a worker's memory, which holds two.
 REMEMBERED = 100_000
 #: Ids of a generation for each of its tokens.
 IDS_EACH = 8
 #: Characters of text whose new words are encoded together, and of a piece of a longer text.
-RUN = 1 << 21
+RUN = 1 << 19
 #: Positions that ranks taken together have on average, and most groups of ranks.
 TOGETHER, GROUPS = 4096, 192
 
@@ -410,6 +412,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
     kind = dict(docs.dtypes)[id_col]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder_of(spec.value)
         for batch in batches:

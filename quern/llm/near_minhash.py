@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.llm.text_bytes import LOWER, chunks, mix, random_words, run_hashes, words
+from quern.llm.text_bytes import LOWER, chunks, frugal, mix, random_words, run_hashes, words
 from quern.plans.stage_table import drop_stage_table, stage_table
 
 SHINGLE = 5
@@ -119,6 +119,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return (low + high) / 2
 
 
+@frugal
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in chunks(batch.column(1)):
@@ -135,6 +136,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(percent: int):
     """Rows (leader, part, id, text), a leader's own first -> (a, b) of confirmed links."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leaders = None, []
         for batch in batches:
@@ -204,6 +206,7 @@ def confirmed_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, per
     )
 
 
+@frugal
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in chunks(batch.column(2)):

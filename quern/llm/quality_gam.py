@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quern.llm.labelled import FIT_ROWS, fit_rows, scored
-from quern.llm.text_bytes import chunks, run_hashes, words
+from quern.llm.text_bytes import chunks, frugal, run_hashes, words
 
 FEATURES = ["bytes", "words", "word_bytes", "upper", "digits", "stops", "symbols", "word_symbols", "repeats", "longest_run", "distinct", "top_word", "distinct_runs", "lines", "repeated_lines", "word_spread"]
 BINS, PAIR_BINS, PAIRS = 48, 12, 8
@@ -168,6 +168,7 @@ class PairwiseAdditiveModel:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
+@frugal
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in chunks(batch.column(0)):
@@ -192,10 +193,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", modulu
     """
     model = fit_quality(docs, labels, modulus=modulus, remainder=remainder)
 
+    @frugal
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [model.score(text_features(data, offsets)) for _, _, data, offsets in chunks(texts)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
     @F.arrow_udf(DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        parts = [model.score(text_features(data, offsets)) for _, _, data, offsets in chunks(texts)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scores(batches)
 
     return docs.where(score(text_col) >= 0.5)
 
