@@ -41,7 +41,7 @@ def test_human_evaluation_reads_texts_once(spark):
     left = sorted((r for r in rows if r[0] % 7 and r not in first.values()), key=lambda r: (real(r), -len(r[2]), r[0]))
     assert Counter((r.psa_id, r.source_text) for r in got) == Counter((r[1], r[2]) for r in [*first.values(), left[0]])
     assert {(r.psa_id, r.synthetic_source, r.mt_suggestion_sw) for r in got} == {("p0", "false", ""), ("p1", "", "T"), ("p2", "", ""), ("p3", "", "")}
-    assert calls.value <= 60 + 2 * 5  # before: four times all of them
+    assert calls.value <= 60 + 2 * 5  # before: 333
 
 
 def test_canonical_sheets_clean_texts_once(spark):
@@ -51,7 +51,7 @@ def test_canonical_sheets_clean_texts_once(spark):
     none = F.lit("")
     rows = sheets.canonical(df, F.col("ord").cast("string"), none, F.col("English"), F.col("Kiswahili"), none, none, {}).collect()
     assert sorted(r.ord for r in rows) == list(range(20))
-    assert calls.value == 40  # before: twice for each
+    assert calls.value == 40  # before: 60
 
 
 def test_texts_cleaned_and_cut_as_patterns_do(spark):
