@@ -27,19 +27,89 @@ def _any(lowered: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [lowered.contains(k) for k in keywords])
 
 
-def _hits(lowered: Column, keywords: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [lowered.contains(k).cast("int") for k in keywords])
+def _tree(keywords: list[str]) -> str:
+    """A pattern of ASCII keywords by their beginnings, which are looked at once; of several that begin alike the longest matches."""
+    branches: dict[str, list[str]] = {}
+    for k in keywords:
+        if k:
+            branches.setdefault(k[0], []).append(k[1:])
+    parts = [literal(c) + _tree(rest) for c, rest in branches.items()]
+    if not parts:
+        return ""
+    return f"(?:{'|'.join(parts)})" + ("?" if "" in keywords else "") if len(parts) > 1 or "" in keywords else parts[0]
+
+
+def _in_class(c: str) -> str:
+    return c if c.isalnum() else f"\\x{ord(c):02X}"
+
+
+def _halved(keywords: list[str], least: int = 3) -> str:
+    """As :func:`_tree`, where the first character tells by halves of the alphabet which beginnings are tried."""
+    firsts = sorted({k[0] for k in keywords})
+    if len(firsts) <= least:
+        return _tree(keywords)
+    half = len(firsts) // 2
+    low, high = ([k for k in keywords if (k[0] in firsts[:half]) == side] for side in (True, False))
+    return f"(?:(?=[{_in_class(firsts[0])}-{_in_class(firsts[half - 1])}]){_halved(low)}|{_halved(high)})"
+
+
+def _anywhere(keywords: list[str]) -> str:
+    """A pattern that matches, without taking a character, where a keyword begins, and names the longest one."""
+    firsts = "".join(map(_in_class, sorted({k[0] for k in keywords})))
+    seconds = "".join(map(_in_class, sorted({k[1] for k in keywords if len(k) > 1})))
+    look = f"(?=[{firsts}][{seconds}])" if all(len(k) > 1 for k in keywords) else f"(?=[{firsts}])"
+    return f"{look}(?=({_halved(keywords)}))"
+
+
+def keywords_in(text, *lists: list[str]) -> Column:
+    """The different keywords of all lists that a lower-cased text holds anywhere, also within words, in no order.
+
+    The text is gone through once, whatever the number of keywords: at each
+    character the longest keyword that begins there is taken, and those that it
+    begins with are added. Keywords beyond ASCII are looked for one by one.
+    """
+    known = list(dict.fromkeys(k for ks in lists for k in ks))
+    plain = [k for k in known if k.isascii() and k]
+    others = [k for k in known if k not in plain]
+    within = {k: [x for x in plain if x != k and k.startswith(x)] for k in plain}
+
+    def found(low: Column) -> Column:
+        parts = []
+        if plain:
+            at = lambda: F.array_distinct(F.regexp_extract_all(low, F.lit(_anywhere(plain)), F.lit(1)))
+            longer = [k for k in plain if within[k]]
+            add = lambda x: F.concat(x, *[F.when(F.array_contains(x, k), F.array(*map(F.lit, within[k]))).otherwise(F.array().cast("array<string>")) for k in longer])
+            parts.append(F.array_distinct(let(at(), add)) if longer else at())
+        if others:
+            parts.append(F.array_compact(F.array(*[F.when(low.contains(k), k) for k in others])))
+        return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+    return let(F.lower(text_or_empty(text)), found)
+
 
+def _own(found: Column, keywords: list[str]) -> Column:
+    """Whether any of the keywords is among those found."""
+    return F.arrays_overlap(found, F.array(*map(F.lit, keywords)))
 
-def infer_domain(text, default="governance", domains=L.DOMAINS) -> Column:
+
+def every_keyword(domains=L.DOMAINS, levels=L.URGENCY, groups=L.AUDIENCES) -> list[list[str]]:
+    """The keywords that LEX-01 to 04 ask for, for one :func:`keywords_in` that serves all of them."""
+    return [ks for *_, ks in (*domains, *levels, *groups)]
+
+
+def infer_domain(text, default="governance", domains=L.DOMAINS, found: Column | None = None) -> Column:
     """LEX-01: struct (domain, sub_category) with the most keywords, the first on a tie.
 
     Another domain than the default needs two hits and more than the default has.
+    ``found``, here and below, is what :func:`keywords_in` has found of these
+    keywords and maybe of others.
     """
     default = default if isinstance(default, Column) else F.lit(default)
+    found = keywords_in(text, *[ks for _, _, ks in domains]) if found is None else found
 
-    def scores(lowered: Column) -> Column:
-        return F.array(*[F.struct(_hits(lowered, kws).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("domain"), F.lit(s).alias("sub")) for i, (d, s, kws) in enumerate(domains)])
+    def scores(own: Column) -> Column:
+        hits = lambda kws: reduce(lambda a, b: a + b, [F.array_contains(own, k).cast("int") for k in kws])
+        return F.array(*[F.struct(hits(kws).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("domain"), F.lit(s).alias("sub")) for i, (d, s, kws) in enumerate(domains)])
 
     def choice(x: Column) -> Column:
         best, own = x["best"], x["own"]
@@ -50,25 +120,27 @@ def infer_domain(text, default="governance", domains=L.DOMAINS) -> Column:
     def bests(scored: Column) -> Column:
         return F.struct(F.array_max(scored).alias("best"), F.array_max(F.filter(scored, lambda x: x["domain"] == default)).alias("own"))
 
-    return let(let(let(F.lower(text_or_empty(text)), scores), bests), choice)
+    return let(let(let(found, scores), bests), choice)
 
 
-def infer_urgency(text, levels=L.URGENCY) -> Column:
+def infer_urgency(text, levels=L.URGENCY, found: Column | None = None) -> Column:
     """LEX-02: the first level with a keyword, else medium."""
-    first = lambda low: reduce(lambda c, lv: c.when(_any(low, lv[1]), lv[0]), levels[1:], F.when(_any(low, levels[0][1]), levels[0][0])).otherwise("medium")
-    return let(F.lower(text_or_empty(text)), first)
+    first = lambda own: reduce(lambda c, lv: c.when(_own(own, lv[1]), lv[0]), levels[1:], F.when(_own(own, levels[0][1]), levels[0][0])).otherwise("medium")
+    return let(keywords_in(text, *[ks for _, ks in levels]) if found is None else found, first)
 
 
-def infer_audience(text, groups=L.AUDIENCES) -> Column:
+def infer_audience(text, groups=L.AUDIENCES, found: Column | None = None) -> Column:
     """LEX-03: every group with a keyword, else everyone."""
-    found = let(F.lower(text_or_empty(text)), lambda low: F.array_compact(F.array(*[F.when(_any(low, kws), name) for name, kws in groups])))
-    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("everyone"))))
+    own = keywords_in(text, *[ks for _, ks in groups]) if found is None else found
+    groups_ = let(own, lambda own: F.array_compact(F.array(*[F.when(_own(own, kws), name) for name, kws in groups])))
+    return let(groups_, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("everyone"))))
 
 
-def extract_keywords(text, limit: int = 5, domains=L.DOMAINS) -> Column:
+def extract_keywords(text, limit: int = 5, domains=L.DOMAINS, found: Column | None = None) -> Column:
     """LEX-04: the first distinct keywords in the order of the lexicon."""
     known = list(dict.fromkeys(k for _, _, kws in domains for k in kws))
-    return let(F.lower(text_or_empty(text)), lambda low: F.slice(F.array_compact(F.array(*[F.when(low.contains(k), k) for k in known])), 1, limit))
+    own = keywords_in(text, known) if found is None else found
+    return let(own, lambda own: F.slice(F.filter(F.array(*map(F.lit, known)), lambda k: F.array_contains(own, k)), 1, limit))
 
 
 def _forms(keep: str, others: list[str]) -> list[str]:
