@@ -355,24 +355,31 @@ def navigation_crumb(c, homes: int = 2) -> Column:
 def extract_core(title, text, most: int = 350, force: str = L.FORCE) -> Column:
     """TXT-29: title and leading paragraphs of up to ``most`` words, stopping at a solid notice."""
     stop = "(?i)" + L.STOP_MARKERS.replace("\\s", f"[{WS}]")
-    body = strip(F.regexp_replace(F.element_at(F.split(F.regexp_replace(text_or_empty(text), "\r", "\n"), stop, 2), 1), r"\n{3,}", "\n\n"))
+    lines = lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    body = strip(let(F.element_at(F.split(F.replace(text_or_empty(text), F.lit("\r"), F.lit("\n")), stop, 2), 1), lines))
 
     def add(a: Column, p: Column) -> Column:
-        skip = a["done"] | (word_count(p) < 5) | navigation_crumb(p)
-        joined = let(F.trim(F.concat(a["text"], F.lit(" "), p)), lambda j: F.struct(j.alias("text"), word_count(j).alias("n")))
+        """A paragraph, collapsed as what is held already, so that words are counted by their spaces and the sum is known beforehand."""
+        joined = F.trim(F.concat(a["text"], F.lit(" "), p))
+
+        def whole(n: Column) -> Column:
+            full = lambda j: (n >= 160) | ((n >= 80) & j.rlike("(?i)" + force))
+            return let(joined, lambda j: F.struct(j.alias("text"), n.alias("n"), full(j).alias("done")))
 
-        def grown(j: Column) -> Column:
-            room = F.lit(most) - word_count(a["text"])
-            part = let(room, lambda r: F.when(r >= 20, F.trim(F.concat(a["text"], F.lit(" "), F.array_join(F.slice(words(p), F.lit(1), F.greatest(r, F.lit(0))), " ")))).otherwise(a["text"]))
-            full = (j["n"] >= 160) | ((j["n"] >= 80) & j["text"].rlike("(?i)" + force))
-            return F.when(j["n"] > most, F.struct(part.alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(j["text"].alias("text"), full.alias("done")))
+        def cut(n: Column) -> Column:
+            room = F.lit(most) - a["n"]
+            part = F.trim(F.concat(a["text"], F.lit(" "), F.call_function("substring_index", p, F.lit(" "), room)))
+            return F.struct(F.when(room >= 20, part).otherwise(a["text"]).alias("text"), n.alias("n"), F.lit(True).alias("done"))
 
-        return F.when(skip, a).otherwise(let(joined, grown))
+        grown = lambda k: F.when((k < 5) | navigation_crumb(p), a).otherwise(let(a["n"] + k, lambda n: F.when(n > most, cut(n)).otherwise(whole(n))))
+        return F.when(a["done"], a).otherwise(let(collapsed_count(p), grown))
 
     def fold(title: Column, body: Column, paragraphs: Column) -> Column:
-        first = F.lower(F.coalesce(F.get(paragraphs, F.lit(0)), F.lit("")))
+        # Of the first paragraph more than the title's 40 characters can reach.
+        first = F.lower(F.substring(F.coalesce(F.get(paragraphs, F.lit(0)), F.lit("")), 1, 400))
         head = F.when((title != "") & ~first.startswith(F.substring(F.lower(title), 1, 40)), F.concat(F.regexp_replace(title, r"\.+$", ""), F.lit("."))).otherwise("")
-        core = F.trim(F.aggregate(paragraphs, F.struct(head.alias("text"), F.lit(False).alias("done")), add)["text"])
+        start = let(head, lambda h: F.struct(h.alias("text"), collapsed_count(h).alias("n"), F.lit(False).alias("done")))
+        core = F.trim(F.aggregate(paragraphs, start, add)["text"])
         return let(core, lambda x: F.when(x != "", x).otherwise(first_words(body, most)))
 
     paragraphs = lambda b: F.filter(F.transform(F.split(b, rf"\n[{WS}]*\n"), collapse), lambda p: p != "")
