@@ -105,7 +105,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("psa_id"), F.col("lang").alias("domain"), T.title_hint("text").alias("title"), "text", F.col("lang").alias("language"), F.concat(F.lit("https://x/"), "doc_id").alias("source_url"),
         F.lit(None).cast("timestamp").alias("published_at"), F.lit("medium").alias("urgency"), F.lit("x").alias("organization"), F.lit("{}").alias("metadata"), F.col("source").alias("source_id"),
-        F.when(F.col("n_chars") < 500, "active").otherwise("quarantined").alias("status"), F.size(T.words("text")).alias("token_count"), T.content_hash("text").alias("content_hash"),
+        F.when(F.col("n_chars") < 500, "active").otherwise("quarantined").alias("status"), T.word_count("text").alias("token_count"), T.content_hash("text").alias("content_hash"),
     )
 
 
