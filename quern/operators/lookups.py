@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import dedup_key
+from quern.functions.text import content_hash, dedup_key
 from quern.operators.ranking import keep_first
 
 
@@ -25,6 +27,13 @@ def seen_keys(*texts: DataFrame) -> DataFrame:
     return out.where("key <> ''").distinct()
 
 
+def seen_digests(*texts: DataFrame) -> DataFrame:
+    """SET-02 by 64 characters a text: distinct digests of dedup keys, also that of an empty one, which rows leave out themselves."""
+    # Never null, as a test for nulls would make each key again.
+    keys = [t.select(F.coalesce(content_hash(F.col(t.columns[0])), F.lit("")).alias("key")) for t in texts]
+    return reduce(DataFrame.union, keys).distinct()
+
+
 def first_decides(rows: DataFrame, seen: DataFrame, *order) -> DataFrame:
     """JON-03: of each unseen ``key`` the first row, whether or not it passes later rules."""
     return keep_first(rows.where("key <> ''").join(seen, "key", "left_anti"), "key", *order)
